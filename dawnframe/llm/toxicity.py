@@ -21,7 +21,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +30,10 @@ from dawnframe.llm.arrow import add_columns, pieces
 from dawnframe.llm.langid import held_out
 
 BUCKETS = 1 << 20
-FIT_ROWS = 40000
-SHARD_ROWS = 20000
+FIT_ROWS = 20000
+SHARD_ROWS = 5000
+#: A bucket that fewer training texts of a shard have is left out.
+LEAST_TEXTS = 3
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 #: Bytes turned into features at once; bounds the memory of a very long text.
@@ -90,7 +91,7 @@ def buckets(text: str | None) -> np.ndarray:
 
 def features(text: str | None) -> np.ndarray:
     """The distinct buckets of a text, sorted."""
-    return np.unique(buckets(text))
+    return np.unique(buckets(text)).astype(np.int32)
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -105,22 +106,24 @@ def _featured(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in pieces(batches):
             made = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic").cast(pa.int32()), "features": pa.array(made, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic").cast(pa.int32()), "features": pa.array(made, pa.list_(pa.int32()))})
 
-    return rows.mapInArrow(run, "doc_id long, toxic int, features array<long>")
+    return rows.mapInArrow(run, "doc_id long, toxic int, features array<int>")
 
 
-def ftrl(rows: list[tuple[int, np.ndarray]]) -> dict[int, float]:
-    """Non-zero weights (bucket -1: the bias) after ``EPOCHS`` passes over (label, buckets)."""
-    used, at = np.unique(np.concatenate([b for _, b in rows] or [np.empty(0, np.int64)]), return_inverse=True)
-    cuts = np.cumsum([0, *(len(b) for _, b in rows)])
+def ftrl(labels: np.ndarray, cuts: np.ndarray, found: np.ndarray) -> dict[int, float]:
+    """Non-zero weights (bucket -1: the bias) after ``EPOCHS`` passes over texts whose buckets lie between the cuts."""
+    common = np.bincount(found, minlength=BUCKETS) >= LEAST_TEXTS
+    used, stays = np.flatnonzero(common), common[found]
+    cuts = np.concatenate([[0], np.cumsum(stays)])[cuts]
+    at = np.searchsorted(used, found[stays])
     z, n = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
 
     def weights(i):
         return np.where(np.abs(z[i]) > L1, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2), 0.0)
 
     for _ in range(EPOCHS):
-        for r, (label, _) in enumerate(rows):
+        for r, label in enumerate(labels.tolist()):
             i = np.append(at[cuts[r] : cuts[r + 1]], len(used))
             w = weights(i)
             gradient = 1 / (1 + math.exp(-max(-35.0, min(35.0, w.sum())))) - label
@@ -137,13 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict[int, f
     n = labels.where(~held_out()).limit(rows).count()
     shards = max(1, math.ceil(n / SHARD_ROWS))
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.iloc[[i for _, i in sorted((zlib.crc32(str(d).encode()), i) for i, d in enumerate(part.doc_id))]]
-        found = ftrl([(int(y), np.asarray(x, np.int64)) for y, x in zip(part.toxic, part.features, strict=True)])
-        return pd.DataFrame({"bucket": list(found.keys()), "weight": list(found.values())}).astype({"bucket": "int64", "weight": "float64"})
+    def learn(part: pa.Table) -> pa.Table:
+        mixed = np.array([zlib.crc32(str(d).encode()) for d in part["doc_id"].to_pylist()])
+        part = part.take(pa.array(np.argsort(mixed, kind="stable"))).combine_chunks()
+        lists = pa.concat_arrays(part["features"].chunks) if part.num_rows else pa.array([], pa.list_(pa.int32()))
+        found = ftrl(part["toxic"].to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy())
+        return pa.table({"bucket": pa.array(list(found.keys()), pa.int64()), "weight": pa.array(list(found.values()), pa.float64())})
 
     shard = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(shards))
-    learnt = train.groupBy(shard.alias("shard")).applyInPandas(learn, "bucket long, weight double")
+    learnt = train.groupBy(shard.alias("shard")).applyInArrow(learn, "bucket long, weight double")
     mixed = learnt.groupBy("bucket").agg((F.sum("weight") / shards).alias("weight"))
     return {r.bucket: r.weight for r in mixed.collect()}  # at most BUCKETS + 1 rows, in fact a few thousand
 
