@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dawnframe.llm import decontaminate, html, langid, pii, simhash, toxicity
+from dawnframe.llm import decontaminate, html, langid, pii, quality, simhash, toxicity
 from dawnframe.tables import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_pii": op3_pii,
     "op4_decontaminate": op4_decontaminate,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
