@@ -27,23 +27,30 @@ def shifted(array: Column, by: int) -> Column:
     return F.slice(array, by + 1, F.greatest(F.size(array) - by, F.lit(0)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 BLOCK = 128
 
 
 def running_totals(sizes: Column) -> Column:
-    """For each element the sum of all before it.  Blocks keep the cost far below the square of the length."""
-    n = F.size(sizes)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(BLOCK)), lambda s: s < n)
-    cut = F.zip_with(starts, F.array_repeat(sizes, F.size(starts)), lambda s, a: F.slice(a, s + 1, BLOCK))
+    """For each element (long) the sum of all before it.  Blocks keep the cost far below the square of the length."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    blocks = F.transform(cut, lambda b: F.struct(b.alias("b"), total(b).alias("t")))
-    before = F.aggregate(
-        blocks,
-        F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<struct<b:array<long>,t:bigint>>").alias("done")),
-        lambda state, b: F.struct((state.t + b.t).alias("t"), F.concat(state.done, F.array(F.struct(b.b.cast("array<long>").alias("b"), state.t.alias("t")))).alias("done")),
-    )
-    inner = lambda x: F.transform(x.b, lambda _, i: x.t + total(F.slice(x.b, 1, i)))
-    return F.flatten(F.transform(before.done, inner))
+
+    def blocks(a: Column) -> Column:
+        starts = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: let(F.slice(a, s, BLOCK), lambda b: F.struct(b.alias("own"), total(b).alias("sum"))))
+
+    def inner(b: Column) -> Column:  # b: all blocks
+        def one(x: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(b, 1, i), F.lit(0).cast("long"), lambda s, y: s + y.sum)
+            return let(before, lambda t: F.transform(x.own, lambda _, j: t + total(F.slice(x.own, 1, j))))
+
+        return F.flatten(F.transform(b, one))
+
+    return let(let(sizes, blocks), inner)
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -51,11 +58,15 @@ def spans(text: Column, pattern: str) -> Column:
 
     ``split`` gives what lies between the matches, so the offsets are running totals of gap and match lengths.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.zip_with(found, gaps, lambda m, g: F.struct(F.coalesce(F.length(g), F.lit(0)).cast("long").alias("gap"), F.coalesce(F.length(m), F.lit(0)).cast("long").alias("own"), m.alias("found")))
-    full = F.filter(sizes, lambda s: s.found.isNotNull())
-    before = running_totals(F.transform(full, lambda s: s.gap + s.own))
-    made = F.zip_with(full, before, lambda s, b: F.struct((b + s.gap).alias("start"), (b + s.gap + s.own).alias("end"), s.found.alias("found")))
     none = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
-    return F.when(text.rlike(pattern), made).otherwise(none)
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    long = lambda c: F.length(c).cast("long")
+
+    def sized(p: Column) -> Column:
+        return F.zip_with(p.found, F.slice(p.gaps, 1, F.size(p.found)), lambda m, g: F.struct(long(g).alias("gap"), long(m).alias("own"), m.alias("found")))
+
+    def placed(f: Column) -> Column:
+        before = running_totals(F.transform(f, lambda s: s.gap + s.own))
+        return F.zip_with(f, before, lambda s, b: F.struct((b + s.gap).alias("start"), (b + s.gap + s.own).alias("end"), s.found.alias("found")))
+
+    return F.when(text.rlike(pattern), let(let(parts, sized), placed)).otherwise(none)
