@@ -11,7 +11,7 @@ its alphabet size.  Three tests ask how likely natural text of the same length i
 - runs: changes of character class (upper, digit, lower or separator), which natural tokens seldom make;
 - serial correlation of neighbouring symbols, which is near zero for random tokens.
 
-Their p-values are combined by Fisher's method.  The false-discovery rate over all candidates of the corpus is held
+Their scores are combined by Stouffer's method, so one test that speaks for natural text counts against the others.  The false-discovery rate over all candidates of the corpus is held
 at ``ALPHA`` by the Benjamini-Hochberg rule with length weights: power grows with length, so a candidate's p-value
 is divided by its length over the mean length, at most ``MOST_WEIGHT``.  The rule needs only how many candidates lie
 in each of ``BINS`` classes of the p-value, one small aggregation; rounding is to the careful side.
@@ -87,12 +87,12 @@ def battery(found: Column) -> Column:
         chi = k / n * s.squares - n
         natural = k + k * (n - 1) * SQUARES - n
         spread = k * F.sqrt(4 * n * (CUBES - SQUARES * SQUARES) + 2 * SQUARES * SQUARES)
-        uniform = _normal((chi - natural) / spread)  # natural tokens as even as this one
-        runs = 1 - _normal((s.changes - CHANGES * (n - 1)) / F.sqrt(CHANGES * (1 - CHANGES) * (n - 1)))
+        within = lambda z, most: F.least(F.greatest(z, F.lit(-most)), F.lit(most))
+        even = within((natural - chi) / spread, 12.0)  # how far natural tokens are from being as even as this one
+        runs = within((s.changes - CHANGES * (n - 1)) / F.sqrt(CHANGES * (1 - CHANGES) * (n - 1)), 12.0)
         serial = F.abs((s.s12 / (n - 1) - mean * mean) / variance)
-        even = F.least(F.greatest(_normal((serial - SERIAL) * F.sqrt(n)), F.lit(0.05)), F.lit(1.0))
-        fisher = -(F.log(F.greatest(uniform, F.lit(1e-30))) + F.log(F.greatest(runs, F.lit(1e-30))) + F.log(even))  # half of chi-squared, 6 degrees
-        return F.struct(s.start.alias("start"), s.end.alias("end"), n.alias("n"), (F.exp(-fisher) * (1 + fisher + fisher * fisher / 2)).alias("p"))
+        apart = within((SERIAL - serial) * F.sqrt(n), 1.5)
+        return F.struct(s.start.alias("start"), s.end.alias("end"), n.alias("n"), _normal(-(even + runs + apart) / 3**0.5).alias("p"))
 
     return F.transform(sums, scored)
 
