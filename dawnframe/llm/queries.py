@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dawnframe.llm import decontaminate, html, langid, pii, quality, secrets, simhash, toxicity
+from dawnframe.llm import chat, chat_sql, decontaminate, html, langid, mixing, pii, quality, secrets, simhash, toxicity
 from dawnframe.tables import table
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_chars", "probability")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -38,19 +42,27 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op4_decontaminate": op4_decontaminate,
     "op5_secret_scan": op5_secret_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_chat_format": op9_chat_format,
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat_format": chat_sql.COLLAPSE,
+}

@@ -101,18 +101,17 @@ def _marked(found: Column, kind: int) -> Column:
     return F.transform(found, lambda f: F.struct(f.start.alias("start"), f.end.alias("end"), F.lit(kind).alias("kind")))
 
 
-def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id``, ``base`` (start, end, kind) and ``candidates`` (start, end, n, p); no text."""
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", *[spans(F.col("text"), p).alias(n) for n, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", CANDIDATE))])
-    assign = F.filter("assign", lambda f: F.length(F.regexp_extract(f.found, ASSIGN, 2)) >= 6)
-    access = F.filter("access", lambda f: f.end - f.start >= 20)
-    base = _sorted(F.concat(_marked(assign, 0), _marked(access, 1), _marked(F.col("hex"), 2)))
-    rows = rows.select("doc_id", "token", base.alias("base"))
-    clear = F.filter("token", lambda t: t.found.rlike("[0-9]") & t.found.rlike("[A-Za-z]"))
-    rows = rows.select("doc_id", "base", clear.alias("token"))
-    free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b.start < t.end) & (b.end > t.start)))
-    return rows.select("doc_id", "base", battery(free).alias("candidates"))
+def scanned(docs: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
+    """The ``kept`` columns, ``_base`` (start, end, kind) and ``_candidates`` (start, end, n, p)."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(*kept, *[spans(whole, p).alias(n) for n, p in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_token", CANDIDATE))])
+    assign = F.filter("_assign", lambda f: F.length(F.regexp_extract(f.found, ASSIGN, 2)) >= 6)
+    access = F.filter("_access", lambda f: f.end - f.start >= 20)
+    clear = F.filter("_token", lambda t: t.found.rlike("[0-9]") & t.found.rlike("[A-Za-z]"))
+    base = _sorted(F.concat(_marked(assign, 0), _marked(access, 1), _marked(F.col("_hex"), 2)))
+    rows = rows.select(*kept, base.alias("_base"), clear.alias("_token"))
+    free = F.filter("_token", lambda t: ~F.exists("_base", lambda b: (b.start < t.end) & (b.end > t.start)))
+    return rows.select(*kept, "_base", battery(free).alias("_candidates"))
 
 
 def _bin(p: Column) -> Column:
@@ -121,7 +120,7 @@ def _bin(p: Column) -> Column:
 
 def threshold(rows: DataFrame) -> tuple[float, int]:
     """(mean length, least class of p-values that counts as discovery) over all candidates of ``scanned`` rows."""
-    each = rows.select(F.explode("candidates").alias("c"))
+    each = rows.select(F.explode("_candidates").alias("c"))
     mean = each.agg(F.avg("c.n")).first()[0] or 1.0
     classes = each.select(_bin(F.col("c.p") / F.least(F.col("c.n") / mean, F.lit(MOST_WEIGHT))).alias("bin")).groupBy("bin").count().collect()  # at most BINS + 1
     total, above, least = sum(r["count"] for r in classes), 0, BINS + 1
@@ -132,12 +131,34 @@ def threshold(rows: DataFrame) -> tuple[float, int]:
     return mean, least
 
 
+def _all_spans(mean: float, least: int) -> Column:
+    """Base spans and the discoveries among the candidates, by start and then kind."""
+    random = F.filter("_candidates", lambda c: _bin(c.p / F.least(c.n / mean, F.lit(MOST_WEIGHT))) >= least)
+    return _sorted(F.concat("_base", _marked(random, 3)))
+
+
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id``, ``base`` and ``spans``: arrays of (start, end, kind), by start and then kind."""
-    rows = written(scanned(docs, text), "secret-candidates")
-    mean, least = threshold(rows)
-    random = F.filter("candidates", lambda c: _bin(c.p / F.least(c.n / mean, F.lit(MOST_WEIGHT))) >= least)
-    return rows.select("doc_id", "base", _sorted(F.concat("base", _marked(random, 3))).alias("spans"))
+    rows = written(scanned(docs, ["doc_id"], text), "secret-candidates")
+    return rows.select("doc_id", F.col("_base").alias("base"), _all_spans(*threshold(rows)).alias("spans"))
+
+
+def redact(docs: DataFrame, mask: str = "<SECRET>") -> DataFrame:
+    """``docs`` with every secret of ``text`` masked (touching spans become one) and ``n_chars`` brought up to date.
+
+    The texts are scanned twice, for the threshold and for the spans, so none of them is shuffled or joined.
+    """
+    found = _all_spans(*threshold(written(scanned(docs, []).where(F.size("_candidates") > 0), "secret-candidates")))
+    rows = scanned(docs, docs.columns).select(*docs.columns, found.alias("_spans"))
+    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.when(s.start >= state.at, F.concat(state.done, F.substring("text", (state.at + 1).cast("int"), (s.start - state.at).cast("int")), F.lit(mask))).otherwise(state.done)
+        return F.struct(gap.alias("done"), F.greatest(s.end, state.at).alias("at"))
+
+    masked = F.aggregate("_spans", start, step, lambda s: F.concat(s.done, F.substring("text", (s.at + 1).cast("int"), F.length("text"))))
+    rows = rows.withColumn("text", F.when(F.size("_spans") > 0, masked).otherwise(F.col("text"))).drop("_spans")
+    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
 
 
 def _sorted(found: Column) -> Column:
