@@ -10,7 +10,7 @@ import importlib
 from collections.abc import Callable
 
 FLAGSHIP = "t9_regime_snapshot"
-MODULES = ("series",)
+MODULES = ("series", "quotes", "signals")
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
