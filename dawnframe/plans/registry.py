@@ -10,7 +10,7 @@ import importlib
 from collections.abc import Callable
 
 FLAGSHIP = "t9_regime_snapshot"
-MODULES = ("series", "quotes", "signals")
+MODULES = ("series", "quotes", "signals", "news")
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
