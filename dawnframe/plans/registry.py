@@ -10,7 +10,7 @@ import importlib
 from collections.abc import Callable
 
 FLAGSHIP = "t9_regime_snapshot"
-MODULES = ("series", "quotes", "signals", "news", "places", "registry")
+MODULES = ("series", "quotes", "signals", "news", "places", "registry", "runs")
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
