@@ -151,7 +151,7 @@ def s12(spark, sf_dir):
 
 @query(
     "s13_model_output_rows",
-    "SELECT event_id, event_type AS ticker, CASE WHEN value > 5 THEN 'bullish' ELSE 'bearish' END AS sentiment, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE 0.75 END AS confidence, 'r' || user_id AS reason FROM events",
+    "SELECT event_id, event_type AS ticker, CASE WHEN value > 5 THEN 'bullish' ELSE 'bearish' END AS sentiment, CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE 0.75 END AS DOUBLE) AS confidence, 'r' || user_id AS reason FROM events",
 )
 def s13(spark, sf_dir):
     entry = F.struct(
