@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dawnframe.durable import written
 from dawnframe.functions.exprs import canonical_json, canonical_json_map, first_filled, short_digest
 from dawnframe.operators.topk import first_k
 
@@ -24,10 +25,11 @@ def record_history(history: DataFrame, batch: DataFrame, order: list[str], chunk
     """``history`` with the batch appended; new ids follow the largest one in the batch's order.
 
     The batch is range-partitioned by its order; ids are the partition's offset plus the place in it, so no task sees
-    the whole batch.  The offsets are one row for each partition.
+    the whole batch.  The numbered batch is written out, since a second range shuffle may cut elsewhere.  The offsets
+    are one row for each partition.
     """
     dealt = batch.repartitionByRange(chunks, *order).withColumn("_p", F.spark_partition_id())
-    placed = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    placed = written(dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order))), "numbered")
     counts = placed.groupBy("_p").agg(F.count("*").alias("_size"))
     before = counts.withColumn("_from", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     last = F.coalesce(history.agg(F.max("id")).scalar(), F.lit(0))
