@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = roots.join(least, "root").select(F.col("node").alias("fingerprint"), "component_id")
     of_print = groups.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first_id").alias("component_id"))
-    joined = prints.join(of_print, "fingerprint", "left")
+    joined = prints.join(written(of_print, "simhash-components"), "fingerprint", "left")  # both sides shuffled as they are read: skewed partitions can be split
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
