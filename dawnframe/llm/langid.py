@@ -22,17 +22,18 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dawnframe.durable import written
 from dawnframe.llm.arrow import add_columns, pieces
+from dawnframe.llm.sampling import least_hashed
 
 DIMENSIONS = 4096
 CENTROIDS = 3
 PER_LANGUAGE = 800
-SLACK = 0.5
+SLACK = 0.3
 ROUNDS = 8
 UNKNOWN = "und"
 FOLDS = 5
@@ -86,8 +87,7 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """(doc_id, text, lang): at most so many labelled documents of each language outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ids = labelled.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("doc_id", "lang")
+    chosen = least_hashed(ids, "doc_id", per_language, by="lang")
     texts = labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen: per_language ids of each language
     return texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("lang").alias("lang"))
 
