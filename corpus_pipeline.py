@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dawnframe.durable import written
 from dawnframe.llm import decontaminate, langid, mixing, secrets, simhash
+from dawnframe.shipping import ship
 from dawnframe.tables import table
 
 
@@ -51,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
