@@ -9,8 +9,8 @@ Training takes at most ``FIT_ROWS`` labelled documents (those with the least has
 shards of about ``SHARD_ROWS``; each shard learns on its own and the weights are averaged (parameter mixing).
 Scoring covers every row and whole texts.
 
-Defined results: a null or wordless text scores the bias alone; without any label every
-score is 0; several labels of one document count as their highest; repeated rows are scored one
+Defined results: a text without a known word (null and empty ones too) scores the training share of toxic
+texts; without any label every score is 0; several labels of one document count as their highest; repeated rows are scored one
 by one; further columns are ignored.
 """
 
@@ -28,14 +28,18 @@ from pyspark.sql import types as T
 
 from dawnframe.llm.arrow import add_columns, pieces
 from dawnframe.llm.langid import held_out
+from dawnframe.llm.sampling import least_hashed
 
 BUCKETS = 1 << 20
+OFFSET = -1
 FIT_ROWS = 20000
 SHARD_ROWS = 5000
 #: A bucket that fewer training texts of a shard have is left out.
 LEAST_TEXTS = 3
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 12.0, 0.1
+#: Toxic texts are rare: each counts as so many.
+TOXIC_WEIGHT = 4
 #: Bytes turned into features at once; bounds the memory of a very long text.
 BLOCK = 1 << 17
 
@@ -97,7 +101,8 @@ def features(text: str | None) -> np.ndarray:
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(doc_id, toxic, text): at most ``rows`` labelled documents outside the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.lit(0).alias("all"))
+    chosen = least_hashed(ids, "doc_id", rows, by="all").select("doc_id", "toxic")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen: at most ``rows`` pairs of numbers
     return texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
 
@@ -111,46 +116,53 @@ def _featured(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, toxic int, features array<int>")
 
 
-def ftrl(labels: np.ndarray, cuts: np.ndarray, found: np.ndarray) -> dict[int, float]:
-    """Non-zero weights (bucket -1: the bias) after ``EPOCHS`` passes over texts whose buckets lie between the cuts."""
+def ftrl(offset: float, labels: np.ndarray, cuts: np.ndarray, found: np.ndarray) -> dict[int, float]:
+    """Non-zero weights after ``EPOCHS`` passes over texts whose buckets lie between the cuts."""
     common = np.bincount(found, minlength=BUCKETS) >= LEAST_TEXTS
     used, stays = np.flatnonzero(common), common[found]
     cuts = np.concatenate([[0], np.cumsum(stays)])[cuts]
     at = np.searchsorted(used, found[stays])
-    z, n = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    z, n = np.zeros(len(used)), np.zeros(len(used))
 
     def weights(i):
         return np.where(np.abs(z[i]) > L1, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2), 0.0)
 
     for _ in range(EPOCHS):
         for r, label in enumerate(labels.tolist()):
-            i = np.append(at[cuts[r] : cuts[r + 1]], len(used))
+            i = at[cuts[r] : cuts[r + 1]]
             w = weights(i)
-            gradient = 1 / (1 + math.exp(-max(-35.0, min(35.0, w.sum())))) - label
+            gradient = (_share(offset + w.sum()) - label) * (TOXIC_WEIGHT if label else 1)
             rate = (np.sqrt(n[i] + gradient * gradient) - np.sqrt(n[i])) / ALPHA
             z[i] += gradient - rate * w
             n[i] += gradient * gradient
-    w = weights(np.arange(len(used) + 1))
-    return {int(b): float(v) for b, v in zip([*used, -1], w, strict=True) if v}
+    w = weights(np.arange(len(used)))
+    return {int(b): float(v) for b, v in zip(used, w, strict=True) if v}
+
+
+def _share(odds: float) -> float:
+    return 1 / (1 + math.exp(-max(-35.0, min(35.0, odds))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict[int, float]:
-    """Bucket -> weight."""
+    """Bucket -> weight, and the log odds of the training share of toxic texts under ``OFFSET``."""
     train = _featured(sample(docs, labels, rows))
-    n = labels.where(~held_out()).limit(rows).count()
-    shards = max(1, math.ceil(n / SHARD_ROWS))
+    n, toxic = labels.where(~held_out() & F.col("toxic").isNotNull()).agg(F.count("*"), F.sum("toxic")).first()  # one row
+    if not n:
+        return {}
+    offset = math.log(((toxic or 0) + 1) / (n - (toxic or 0) + 1))
+    shards = max(1, math.ceil(min(n, rows) / SHARD_ROWS))
 
     def learn(part: pa.Table) -> pa.Table:
         mixed = np.array([zlib.crc32(str(d).encode()) for d in part["doc_id"].to_pylist()])
         part = part.take(pa.array(np.argsort(mixed, kind="stable"))).combine_chunks()
         lists = pa.concat_arrays(part["features"].chunks) if part.num_rows else pa.array([], pa.list_(pa.int32()))
-        found = ftrl(part["toxic"].to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy())
+        found = ftrl(offset, part["toxic"].to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy())
         return pa.table({"bucket": pa.array(list(found.keys()), pa.int64()), "weight": pa.array(list(found.values()), pa.float64())})
 
     shard = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(shards))
     learnt = train.groupBy(shard.alias("shard")).applyInArrow(learn, "bucket long, weight double")
     mixed = learnt.groupBy("bucket").agg((F.sum("weight") / shards).alias("weight"))
-    return {r.bucket: r.weight for r in mixed.collect()}  # at most BUCKETS + 1 rows, in fact a few thousand
+    return {OFFSET: offset} | {r.bucket: r.weight for r in mixed.collect()}  # at most BUCKETS rows, in fact a few thousand
 
 
 def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
@@ -162,12 +174,11 @@ def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
         for bucket, weight in shared.value.items():
             if bucket >= 0:
                 dense[bucket] = weight
-        bias = shared.value.get(-1, 0.0)
+        offset = shared.value.get(OFFSET, 0.0)
 
         def one(text):
             found = buckets(text)
-            total = bias + float(dense[np.unique(found[dense[found] != 0])].sum(dtype=np.float64))
-            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, total)))) if shared.value else 0.0
+            p = _share(offset + float(dense[np.unique(found[dense[found] != 0])].sum(dtype=np.float64))) if shared.value else 0.0
             return p, int(p >= 0.5)
 
         return one
