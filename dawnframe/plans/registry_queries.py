@@ -97,11 +97,11 @@ def r8(spark, sf_dir):
     return found.select("id", "persona_slug", F.col("date").cast("string").alias("date"), "rank")
 
 
-@query("r9_update_by_id", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 7 ELSE o_custkey END AS devto_id, CASE WHEN o_orderkey % 5 = 0 THEN 'u' || o_orderkey ELSE o_orderpriority END AS devto_url FROM orders")
+@query("r9_update_by_id", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 7 ELSE o_custkey END AS remote_id, CASE WHEN o_orderkey % 5 = 0 THEN 'u' || o_orderkey ELSE o_orderpriority END AS remote_url FROM orders")
 def r9(spark, sf_dir):
-    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("devto_id"), F.col("o_orderpriority").alias("devto_url"))
-    updates = base.where("id % 5 = 0").select("id", F.lit(7).cast("long").alias("devto_id"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("devto_url"))
-    return keyed.update_by_id(base, updates, "id", ["devto_id", "devto_url"])
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("remote_id"), F.col("o_orderpriority").alias("remote_url"))
+    updates = base.where("id % 5 = 0").select("id", F.lit(7).cast("long").alias("remote_id"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("remote_url"))
+    return keyed.update_by_id(base, updates, "id", ["remote_id", "remote_url"])
 
 
 @query("r10_decode_links", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a ' || event_type ELSE '' END AS links FROM events")

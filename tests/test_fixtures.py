@@ -108,7 +108,7 @@ def test_index_or_nodata(spark, index, places_, want):
     assert row.select(quotes.index_or_nodata(F.col("i"), F.col("p")).alias("x")).first().x == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("cct2:tickers: aapl  MSFT", ["AAPL", "MSFT"]), ("tickers: tsla", ["TSLA"]), ("cct2:tickers:", ["D"]), ("", ["D"]), ("nvda", ["NVDA"])])
+@pytest.mark.parametrize(("text", "want"), [("desk:tickers: aapl  MSFT", ["AAPL", "MSFT"]), ("tickers: tsla", ["TSLA"]), ("desk:tickers:", ["D"]), ("", ["D"]), ("nvda", ["NVDA"])])
 def test_ticker_list(spark, text, want):
     assert one(spark, quotes.parse_ticker_list(F.col("t"), ["D"]), t=text) == want
 
