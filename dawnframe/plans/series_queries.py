@@ -51,6 +51,16 @@ def t4(spark, sf_dir):
 EVENT_DAYS = "e AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS date, arg_max(value, event_id) AS close FROM events WHERE value IS NOT NULL GROUP BY 1, 2)"
 
 
+@query(
+    "a1_chart_rows",
+    """SELECT event_type AS symbol, CAST(ts AS DATE) AS date, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY event_id) - 1 AS "order", CAST(floor(epoch(ts)) AS BIGINT) AS at, value AS close FROM events QUALIFY value IS NOT NULL""",
+    dates=("date",),
+)
+def a1(spark, sf_dir):
+    rows = charts.chart_rows(charts.packed_charts(table(spark, sf_dir, "events")))
+    return rows.select("symbol", "date", F.col("order").cast("long").alias("order"), F.unix_seconds("at").alias("at"), "close")
+
+
 @query("t5_fetch_latest", f"WITH {EVENT_DAYS} SELECT symbol, max(date) AS date, arg_max(close, date) AS close FROM e GROUP BY symbol", dates=('date',))
 def t5(spark, sf_dir):
     days = charts.chart_rows(charts.packed_charts(table(spark, sf_dir, "events")))
