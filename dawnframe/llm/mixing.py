@@ -125,8 +125,10 @@ def plan(docs: DataFrame, budget: float = BUDGET, shares: dict[str, dict[str, fl
 
 
 def mixed(docs: DataFrame, budget: float = BUDGET, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The drawn documents, with the columns of ``docs``, their ``topic`` and ``probability``."""
-    chance = _chance(labelled(docs), budget, shares).toDF("_s", "_l", "_t", "_p")
-    keyed = docs.withColumns({"_s0": F.coalesce("source", F.lit(NONE)), "_l0": F.coalesce("lang", F.lit(NONE)), "_t0": topic(F.col("text")), "_u": uniform()})
-    drawn = keyed.join(chance, (F.col("_s0") == F.col("_s")) & (F.col("_l0") == F.col("_l")) & (F.col("_t0") == F.col("_t"))).where("_u < _p")
-    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_t").alias("topic"), F.col("_p").alias("probability"))
+    """The drawn documents, with the columns of ``docs``, their ``topic`` and ``probability`` (in place of such columns of ``docs``)."""
+    chance = _chance(labelled(docs), budget, shares).toDF("_mix_s", "_mix_l", "_mix_t", "_mix_p")
+    own = {"_mix_source": F.coalesce("source", F.lit(NONE)), "_mix_lang": F.coalesce("lang", F.lit(NONE)), "_mix_topic": topic(F.col("text")), "_mix_u": uniform()}
+    same = [F.col(f"_mix_{m}") == F.col(f"_mix_{m[0]}") for m in MARGINS]
+    drawn = docs.withColumns(own).join(chance, same).where("_mix_u < _mix_p")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("topic", "probability")]
+    return drawn.select(*kept, F.col("_mix_t").alias("topic"), F.col("_mix_p").alias("probability"))

@@ -77,7 +77,7 @@ def documents(spark, n=6000):
         text = " ".join(["word"] * rng.randrange(20, 120)) if i % 5 else " | ".join(["CELL"] * 40)
         rows.append((i, text, lang, source, len(text), "clash", 0.5))
     rows += [(n, None, "en", None, 0, "x", 0.1), (n + 1, "", None, "hot", 0, "x", 0.1), (5, rows[5][1], rows[5][2], rows[5][3], rows[5][4], "x", 0.1)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, tokens string, weight double")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, topic string, weight double")
 
 
 def test_drawn_tokens_meet_the_targets(spark):
@@ -97,5 +97,5 @@ def test_the_draw_repeats_and_keeps_columns(spark):
     docs = documents(spark, 600)
     once, again = (sorted((r.doc_id, r.weight) for r in mixing.mixed(docs).collect()) for _ in range(2))
     assert once == again
-    assert mixing.mixed(docs).columns == [*docs.columns, "topic", "probability"]
+    assert mixing.mixed(docs).columns == ["doc_id", "text", "lang", "source", "n_chars", "weight", "topic", "probability"]
     assert mixing.mixed(docs.limit(0)).count() == 0
