@@ -45,6 +45,7 @@ MOST_WEIGHT = 4.0
 SQUARES, CUBES, CHANGES, SERIAL = 0.066, 0.0055, 0.12, 0.25
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 
+
 def _normal(z: Column) -> Column:
     """P(Z <= z), to about 1e-4 relative in the middle and by the logistic form in the tails; never zero."""
     x = F.least(F.greatest(z, F.lit(-12.0)), F.lit(12.0))
@@ -71,7 +72,7 @@ def battery(found: Column) -> Column:
         kind = lambda x: F.when(x <= 26, 1).when((x > 52) & (x <= 62), 3).otherwise(2)
         return F.struct(
             f.start.alias("start"), f.end.alias("end"), f.n.alias("n"), f.k.alias("k"),
-            total(F.transform(counts, lambda x: (x * x).cast("double"))).alias("squares"),
+            total(F.transform(counts, lambda x: x.cast("double") * x)).alias("squares"),
             F.size(F.filter(pairs, lambda p: kind(p.a) != kind(p.b))).cast("double").alias("changes"),
             total(F.transform(f.c, lambda x: x.cast("double"))).alias("s1"),
             total(F.transform(f.c, lambda x: (x * x).cast("double"))).alias("s2"),
