@@ -3,8 +3,11 @@
 A text is lower-cased, runs of non-letters become one space, and its character 1-, 2- and 3-grams are counted in
 ``DIMENSIONS`` hashed buckets; the vector is root term frequency times inverse document frequency, normalised.  Each
 language has up to ``CENTROIDS`` centroids by spherical k-means; a text takes the language of the centroid with
-the highest cosine.  It is rejected if that cosine is under ``SLACK`` times the lowest that the training texts of
-about its length reach, which leaves unusual but real text alone.
+the highest cosine.  It is rejected if that cosine is under ``SLACK`` times the ``LOW`` quantile of the training
+texts of that language and about its length, which leaves unusual but real text alone.  Lengths count by powers of two;
+a class with fewer than ``ENOUGH`` training texts takes in its nearest ones.  Below the shortest training text the bound
+falls as the root of the length, as the cosine of so few n-grams does; above the longest it stays.  Texts alone in their
+cluster don't count, as their cosine is 1 whatever they hold; a language with no others takes the least bound of the rest.
 
 Training takes at most ``PER_LANGUAGE`` labelled documents of each language (those with the least hash of their id,
 so the choice doesn't depend on the partitioning); whole texts of these are read.  Prediction covers every row and
@@ -33,7 +36,9 @@ from dawnframe.llm.sampling import least_hashed
 DIMENSIONS = 4096
 CENTROIDS = 3
 PER_LANGUAGE = 800
-SLACK = 0.3
+SLACK, LOW, ENOUGH = 0.55, 0.01, 50
+#: Classes of length: bit lengths of the number of n-grams.
+CLASSES = 64
 ROUNDS = 8
 UNKNOWN = "und"
 FOLDS = 5
@@ -83,6 +88,16 @@ def _cluster(unit: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def _floors(cosines: np.ndarray, sizes: np.ndarray) -> list[float]:
+    """The least accepted cosine of each class of length, from training texts' cosines and classes."""
+    floors = []
+    for size in range(CLASSES if len(sizes) else 0):
+        apart = np.abs(sizes - size)
+        near = apart <= np.sort(apart)[min(ENOUGH, len(apart)) - 1]
+        floors.append(SLACK * float(np.quantile(cosines[near], LOW)) * 2.0 ** (min(size - int(sizes.min()), 0) / 2))
+    return floors
+
+
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """(doc_id, text, lang): at most so many labelled documents of each language outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -102,7 +117,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
-    """The model: languages, centroids, idf and the least accepted cosine by length class; a few hundred KB."""
+    """The model: languages, centroids, idf and the least accepted cosines by language and length class; a few hundred KB."""
     vectors = written(_vectors(sample(docs.select("doc_id", "text", "lang"), per_language)), "langid-sample")
 
     def seen(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -117,26 +132,22 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
         counts = np.stack(rows.sort_values("doc_id").counts)
         unit = _normalised(np.sqrt(counts) * idf)
         centres = _cluster(unit, CENTROIDS)
-        best, size = (unit @ centres.T).max(1), [int(n).bit_length() for n in counts.sum(1)]
-        least = {s: float(min(b for b, z in zip(best, size, strict=True) if z == s)) for s in set(size)}
+        cosines, size = unit @ centres.T, np.array([int(n).bit_length() for n in counts.sum(1)])
+        own = cosines.argmax(1)
+        shared = np.bincount(own)[own] > 1
+        least = _floors(cosines.max(1)[shared], size[shared])
         return pd.DataFrame({"lang": [key[0]] * len(centres), "centre": [c.tolist() for c in centres], "least": [least] * len(centres)})
 
-    rows = vectors.groupBy("lang").applyInPandas(cluster, "lang string, centre array<double>, least map<int,double>").collect()  # a few rows for each language
+    rows = vectors.groupBy("lang").applyInPandas(cluster, "lang string, centre array<double>, least array<double>").collect()  # a few rows for each language
     rows.sort(key=lambda r: (r.lang, r.centre))
-    least: dict[int, float] = {}
-    for r in rows:
-        for size, cosine in r.least.items():
-            least[size] = min(cosine, least.get(size, 1.0))
+    known = [r.least for r in rows if r.least]
+    others = np.min(known, axis=0).tolist() if known else [0.0] * CLASSES
+    least = [r.least or others for r in rows]
     centres = np.array([r.centre for r in rows], np.float32).reshape(-1, DIMENSIONS)
     return {"langs": [r.lang for r in rows], "centres": centres.T.copy(), "idf": idf.astype(np.float32), "least": least}
 
 
 def _predictor(model: dict):
-    least = model["least"]
-
-    def floor(n: int) -> float:
-        return SLACK * min((c for s, c in least.items() if abs(s - n) <= 1), default=0.0)
-
     def one(text):
         counts = ngram_counts(text) if model["langs"] else None
         if counts is None:
@@ -144,7 +155,7 @@ def _predictor(model: dict):
         cosines = _normalised(np.sqrt(counts) * model["idf"]) @ model["centres"]
         best = int(cosines.argmax())
         cosine = float(min(max(cosines[best], 0.0), 1.0))
-        return model["langs"][best], cosine, cosine < floor(int(counts.sum()).bit_length())
+        return model["langs"][best], cosine, cosine < model["least"][best][int(counts.sum()).bit_length()]
 
     return one
 

@@ -121,6 +121,21 @@ def test_language_is_learned_and_odd_texts_are_unknown(spark):
     assert kept == {i for i, _, _ in made} | {2000}
 
 
+def test_texts_of_unlearned_languages_are_rejected_at_every_length(spark):
+    rng = random.Random(14)
+    sounds = {"aa": ("th", "en", "ing", "ou", "er", "a"), "bb": ("sch", "ung", "ei", "ö", "zu", "e")}
+    made = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(n))
+    learned = [(i, made(sounds[g], n), g) for i, (g, n) in enumerate((g, n) for g in sounds for n in [2, 8, 30, 60, 100, 300] * 25)]
+    again = [(i + 1000, made(sounds[g], n), None) for i, (g, n) in enumerate((g, n) for g in sounds for n in (2, 20, 60, 250, 3000))]
+    foreign = ["".join(map(chr, range(97, 123))), ["który", "się", "być", "przez", "jak", "tylko", "książka", "wszystko"], ["м", "д", "ы", "п", "ю", "жк"], ["的", "是", "不", "了", "在", "人"]]
+    other = [(i + 2000, made(parts, n), None) for i, (parts, n) in enumerate((p, n) for p in foreign for n in (1, 2, 5, 20, 200, 1000, 5000))] + [(3000, "ж", None), (3001, "中", None)]
+    docs = spark.createDataFrame(learned + again + other, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.rejected for r in langid.identify(docs, langid.fit(docs)).collect()}
+    assert sum(found[i] for i, _, _ in learned) <= 3
+    assert not any(found[i] for i, _, _ in again)
+    assert [i for i, _, _ in other if not found[i]] == []
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.identify(docs, langid.fit(docs)).first().lang_pred == "und"
