@@ -3,9 +3,10 @@
 A page is read into a light tree.  Elements that never hold the article (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) are cut by tag, role or class.  Each remaining paragraph earns
 points for its length and its commas and passes them to its ancestors: all to the parent, half to the next, less
-beyond; a container's sum is discounted by the share of its text that stands in links.  The best container is kept,
-and those of its siblings that score well or are long plain paragraphs.  Of what is kept every block is returned in
-page order: character references decoded, white space inside a block made one space, blocks joined by one space.
+beyond; a container's sum is discounted by the share of its text that stands in links.  From the best container the
+way leads up to its article or main element, or else through parents that score alike.  What is reached is kept, with all
+beside it that has less than half its text in links or scores well, however short.  Of what is kept every block but lists
+of links is returned in page order: character references decoded, white space inside a block made one space, blocks joined by one space.
 
 Unclosed paragraphs, list items and cells are closed as browsers do; broken markup never fails.  Defined results: a
 null or empty page, or one without article text, gives an empty string; whole pages of any length are read; repeated
@@ -186,25 +187,40 @@ def _dense(n: _Node) -> float:
     return n.linked / n.size if n.size else 0.0
 
 
+def _value(n: _Node) -> float:
+    return (n.score + n.weight * (n.score > 0)) * (1 - _dense(n))
+
+
+def _whole(best: _Node) -> _Node:
+    """The nearest article or main element around a container, or the highest of its parents that score alike."""
+    n = best
+    while n is not None:
+        if n.tag in ("article", "main"):
+            return n
+        n = n.up
+    while best.up is not None and best.up.tag not in ("#", "html", "body") and 3 * _value(best.up) >= _value(best):
+        best = best.up
+    return best
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root, parts = _read(page)
     nodes = _score(parts)
-    kept = set()
+    kept, beside = set(), None
     if nodes:
-        total = [((n.score + n.weight * (n.score > 0)) * (1 - _dense(n)), n) for n in nodes if n.tag not in INLINE]
+        total = [(_value(n), n) for n in nodes if n.tag not in INLINE]
         best_score, best = max(total, key=lambda x: x[0], default=(0.0, root))
         if best_score <= 0:
             return ""
         if best.tag in PARAGRAPHS and best.up is not None:
             best = best.up
-        kept = {id(best)}
+        best = _whole(best)
+        beside, kept = best.up, {id(best)}
         for n in best.up.below if best.up is not None else ():
-            if n is not best and not n.cut and n.size:
-                score = (n.score + n.weight * (n.score > 0)) * (1 - _dense(n))
-                if score >= max(10, 0.2 * best_score) or (n.tag == "p" and n.size > 80 and _dense(n) < 0.25):
-                    kept.add(id(n))
+            if n is not best and not n.cut and n.size and (_dense(n) < 0.5 or _value(n) >= max(10, 0.2 * best_score)):
+                kept.add(id(n))
     verdict: dict[int, bool] = {}
 
     def stays(node) -> bool:
@@ -220,7 +236,7 @@ def main_text(page: str | None) -> str:
 
     out = []
     for part in parts:
-        out.append(" " if part is None else part[1] if stays(part[0]) else " ")
+        out.append(" " if part is None else part[1] if stays(part[0]) or (part[0] is beside and not part[2]) else " ")
     return " ".join("".join(out).split())
 
 

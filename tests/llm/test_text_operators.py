@@ -235,6 +235,23 @@ def test_page_text(page, want):
     assert html.main_text(page) == want
 
 
+LONG_P, SHORT_P = "a, b, c, d, e, " + "word " * 57, "Short one."
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_unequal_parts_of_an_article_are_kept(outer):
+    section = lambda n: "<section>" + f"<p>{LONG_P}</p>" * n + "</section>"
+    links = "<ul>" + "<li><a href=x>elsewhere</a></li>" * 5 + "</ul>"
+    page = f"<body><nav>menu</nav><{outer}><h1>Title</h1>{section(12)}{links}{section(2)}<h2>Head</h2><p>{SHORT_P}</p><section><p>Last.</p></section></{outer}><footer>foot</footer></body>"
+    assert html.main_text(page).split() == f"Title {LONG_P * 14} Head {SHORT_P} Last.".split()
+
+
+def test_parts_beside_the_article_without_a_common_container():
+    column = lambda n: "<div><div>" + f"<p>{LONG_P}</p>" * n + "</div></div>"
+    page = f"<body><h1>Title</h1>{column(12)}<div><a href=x>linked</a> <a href=y>elsewhere</a></div>{column(1)}<p>{SHORT_P}</p>loose</body>"
+    assert html.main_text(page).split() == f"Title {LONG_P * 13} {SHORT_P} loose".split()
+
+
 def test_pages_keep_their_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (2, None, None, 5)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html.extract(rows).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
