@@ -3,12 +3,15 @@
 Base spans (leftmost, non-overlapping per kind; a match that fails its test is dropped without a retry): ``assign``
 (a named value of six or more characters), ``access`` (``AKIA`` keys of 20 or more), ``hex`` (24 or more digits).
 They always count.  The method adds kind ``random``: runs of 20 or more token characters that look drawn at random.
+All of them are tested, with or without digits and letters; of digits alone 24 are ``hex``, and fewer tell too little.
 
 Each candidate's encoding is inferred from its characters (lower or upper hexadecimal, base 32, base 64), which gives
 its alphabet size.  Three tests ask how likely natural text of the same length is to look this random:
 
 - chi-squared uniformity over the alphabet; natural letters are uneven, and the more so the longer they run;
-- runs: changes of character class (upper, digit, lower or separator), which natural tokens seldom make;
+- runs: changes of character class (upper, digit, lower or separator), which natural tokens seldom make; a token
+  without a digit is tested for its letters instead, as names and paths change case and hyphenate, while a key of one
+  case never changes: rare letters are as frequent as others in random tokens only;
 - serial correlation of neighbouring symbols, which is near zero for random tokens.
 
 Their scores are combined by Stouffer's method, so one test that speaks for natural text counts against the others.  The false-discovery rate over all candidates of the corpus is held
@@ -43,6 +46,10 @@ MOST_WEIGHT = 4.0
 #: Sums of squared and cubed letter shares of European prose, its change rate of character classes, and the
 #: size of its serial correlation.
 SQUARES, CUBES, CHANGES, SERIAL = 0.066, 0.0055, 0.12, 0.25
+#: Log of a random letter's share over its share in prose (mean of English, German, French and Spanish; 1.2 at most),
+#: a to z; the mean over prose, and the spread of one letter, widened since a word's letters depend on each other.
+LETTERS = (-0.81, 0.84, 0.16, -0.18, -1.31, 0.98, 0.68, 0.23, -0.59, 1.2, 1.2, -0.17, 0.31, -0.7, -0.49, 0.69, 1.2, -0.57, -0.67, -0.58, -0.07, 1.16, 1.2, 1.2, 1.2, 1.2)
+LETTER, LETTER_SPREAD = -0.39, 0.9
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 
 
@@ -69,11 +76,15 @@ def battery(found: Column) -> Column:
     def tested(f: Column) -> Column:
         counts = F.transform(F.array_distinct(f.c), lambda x: F.size(f.c) - F.size(F.array_remove(f.c, x)))
         pairs = F.zip_with(F.slice(f.c, 1, F.size(f.c) - 1), shifted(f.c, 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        rarity = lambda x: F.element_at(F.array(*[F.lit(v) for v in LETTERS]), ((x - 1) % 26 + 1).cast("int"))
         kind = lambda x: F.when(x <= 26, 1).when((x > 52) & (x <= 62), 3).otherwise(2)
         return F.struct(
             f.start.alias("start"), f.end.alias("end"), f.n.alias("n"), f.k.alias("k"),
             total(F.transform(counts, lambda x: x.cast("double") * x)).alias("squares"),
             F.size(F.filter(pairs, lambda p: kind(p.a) != kind(p.b))).cast("double").alias("changes"),
+            F.exists(f.c, lambda x: (x > 52) & (x <= 62)).alias("digit"),
+            F.size(F.filter(f.c, lambda x: x <= 52)).cast("double").alias("letters"),
+            total(F.transform(f.c, lambda x: F.when(x <= 52, rarity(x)).otherwise(0.0))).alias("rare"),
             total(F.transform(f.c, lambda x: x.cast("double"))).alias("s1"),
             total(F.transform(f.c, lambda x: (x * x).cast("double"))).alias("s2"),
             total(F.transform(pairs, lambda p: (p.a * p.b).cast("double"))).alias("s12"),
@@ -91,9 +102,10 @@ def battery(found: Column) -> Column:
         within = lambda z, most: F.least(F.greatest(z, F.lit(-most)), F.lit(most))
         even = within((natural - chi) / spread, 12.0)  # how far natural tokens are from being as even as this one
         runs = within((s.changes - CHANGES * (n - 1)) / F.sqrt(CHANGES * (1 - CHANGES) * (n - 1)), 12.0)
+        letters = within((s.rare - LETTER * s.letters) / (LETTER_SPREAD * F.sqrt(F.greatest(s.letters, F.lit(1.0)))), 12.0)
         serial = F.abs((s.s12 / (n - 1) - mean * mean) / variance)
         apart = within((SERIAL - serial) * F.sqrt(n), 1.5)
-        return F.struct(s.start.alias("start"), s.end.alias("end"), n.alias("n"), _normal(-(even + runs + apart) / 3**0.5).alias("p"))
+        return F.struct(s.start.alias("start"), s.end.alias("end"), n.alias("n"), _normal(-(even + F.when(s.digit, runs).otherwise(letters) + apart) / 3**0.5).alias("p"))
 
     return F.transform(sums, scored)
 
@@ -108,9 +120,8 @@ def scanned(docs: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
     rows = docs.select(*kept, *[spans(whole, p).alias(n) for n, p in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_token", CANDIDATE))])
     assign = F.filter("_assign", lambda f: F.length(F.regexp_extract(f.found, ASSIGN, 2)) >= 6)
     access = F.filter("_access", lambda f: f.end - f.start >= 20)
-    clear = F.filter("_token", lambda t: t.found.rlike("[0-9]") & t.found.rlike("[A-Za-z]"))
     base = _sorted(F.concat(_marked(assign, 0), _marked(access, 1), _marked(F.col("_hex"), 2)))
-    rows = rows.select(*kept, base.alias("_base"), clear.alias("_token"))
+    rows = rows.select(*kept, base.alias("_base"), "_token")
     free = F.filter("_token", lambda t: ~F.exists("_base", lambda b: (b.start < t.end) & (b.end > t.start)))
     return rows.select(*kept, "_base", battery(free).alias("_candidates"))
 

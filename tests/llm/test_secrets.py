@@ -47,5 +47,18 @@ def test_random_tokens_are_found_and_natural_ones_left(spark):
     assert sum("random" in found[i].spans for i in range(40, 120)) == 0
 
 
+def test_keys_without_digits_are_found_and_long_words_left(spark):
+    rng = random.Random(10)
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    drawn = [key(string.ascii_letters, 20) for _ in range(40)] + [key(string.ascii_letters, 40) for _ in range(40)]
+    drawn += [key(string.ascii_uppercase, 40) for _ in range(40)] + [key(string.ascii_lowercase, 40) for _ in range(40)]
+    names = "keitstlichschenverpf internationalization-of-things Donaudampfschifffahrtsgesellschaft getElementsByTagNameAndClassName how-to-make-a-cup-of-tea path/to/some_ordinary_directory"
+    plain = f"{names} dichlorodiphenyltrichloroethane pneumonoultramicroscopicsilicovolcanoconiosis auxauxentionmentment SCREAMING_SNAKE_CASE_NAME ------------------------ ======================== aaaaaaaaaaaaaaaaaaaaaaaa 20240131123059000000".split()
+    found = scan(spark, [f"see {t} here" for t in drawn + plain])
+    for at, least in ((0, 32), (40, 38), (80, 36), (120, 36)):
+        assert sum("random" in found[i].spans for i in range(at, at + 40)) >= least, at
+    assert [t for i, t in enumerate(plain, 160) if "random" in found[i].spans] == []
+
+
 def test_empty_table(spark):
     assert scan(spark, []) == {}
