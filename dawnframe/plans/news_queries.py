@@ -179,7 +179,7 @@ def n10(spark, sf_dir):
 
 @query("n11_locale_route", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'zh-TW' ELSE 'en-US' END AS locale FROM documents")
 def n11(spark, sf_dir):
-    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.substring("text", 1, 40), F.lit("新聞"))).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("新聞"))).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", news.locale_route(text).alias("locale"))
 
 
@@ -204,7 +204,7 @@ PLAIN = "trim(substr(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 1, 150))"
 
 
 def _markdown(spark, sf_dir):
-    plain = F.trim(F.substring(F.regexp_replace("text", "[^A-Za-z]+", " "), 1, 150))
+    plain = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
     kind = F.col("doc_id") % 3
     quote = F.concat(F.lit("# T\n\nbefore\n> "), F.col("source"), F.lit("\n>\n>> "), F.col("lang"), F.lit("\n\n> late\nafter"))
     md = F.when(kind == 0, quote).when(kind == 1, F.concat(F.lit("## H\n\n"), plain, F.lit("\n\nrest"))).otherwise("# only\n\n")
