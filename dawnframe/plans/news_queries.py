@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dawnframe.operators import markdown, news
+from dawnframe.operators.topk import first_k
 from dawnframe.plans.registry import query
 from dawnframe.sources import feeds
 from dawnframe.tables import table
@@ -196,7 +197,8 @@ def n12(spark, sf_dir):
 )
 def n13(spark, sf_dir):
     link = F.concat(F.lit("see [it]("), F.regexp_replace("url", "[()]", ""), F.lit(") and [again]("), F.regexp_replace("url", "[()]", ""), F.lit(")"))
-    md = pages(spark, sf_dir).groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_id", link.alias("x"))))["x"], "\n").alias("md"))
+    links = pages(spark, sf_dir).groupBy("host", link.alias("x")).agg(F.min("page_id").alias("page_id"))
+    md = first_k(links, ["host"], ["page_id"], 5).groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_id", "x")))["x"], "\n").alias("md"))
     return md.select("host", F.array_join(markdown.extract_links(F.col("md"), 5), " ").alias("links"))
 
 

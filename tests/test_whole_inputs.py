@@ -27,3 +27,10 @@ def test_summaries_read_the_whole_text(spark, monkeypatch, name, operator):
     want = {r.doc_id: r.n + len("## H\n\n\n\nrest") for r in table(spark, SF, "documents").where("doc_id % 3 = 1").select("doc_id", plain.alias("n")).collect()}
     found = {r[0]: r[1] for r in registry.QUERIES[name](spark, SF).where("doc_id % 3 = 1").collect()}
     assert found == want and max(want.values()) > 1000
+
+
+def test_no_group_becomes_one_value(spark):
+    plan = lambda name: registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan("q5_index_or_nodata")
+    below = plan("n13_extract_links").split("collect_list", 1)[1]
+    assert "row_number()" in below  # what is collected are the first links by rank
