@@ -1,16 +1,21 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a light tree.  Elements that never hold the article (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) are cut by tag, role or class.  Each remaining paragraph earns
+adverts, forms, scripts, styles, reader comments) are cut: by tag or role, or by a class or id name that is page
+furniture (see ``_furniture``: ``site-footer`` is, ``no-sidebar`` and ``has-comments`` only say how a page is laid out),
+unless another name of the same element speaks for the article.  Each remaining paragraph earns
 points for its length and its commas and passes them to its ancestors: all to the parent, half to the next, less
-beyond; a container's sum is discounted by the share of its text that stands in links.  From the best container the
+beyond; a container's sum is discounted by the share of its text that stands in links.  A cut by name or a form is taken back where
+the element holds most of the page's points and no article, main or article-named element outside it holds any, so a misleading name
+can't empty a page.  From the best container the
 way leads up to its article or main element, or else through parents that score alike.  What is reached is kept, with all
 beside it that has less than half its text in links or scores well, however short.  Of what is kept every block but lists
 of links is returned in page order: character references decoded, white space inside a block made one space, blocks joined by one space.
 
-Unclosed paragraphs, list items and cells are closed as browsers do; broken markup never fails.  Defined results: a
-null or empty page, or one without article text, gives an empty string; whole pages of any length are read; repeated
-rows are extracted one by one; further columns are ignored.
+Unclosed paragraphs, list items and cells are closed as browsers do; broken markup never fails.  A page is read in time
+proportional to its length, however deep its tags nest: totals are summed from the leaves up, open tags are found by name.
+Defined results: a null or empty page, or one without article text, gives an empty string; whole pages of any length are read; of containers that
+score the same the one that starts first is taken; repeated rows are extracted one by one; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +33,24 @@ from dawnframe.llm.arrow import add_columns
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-CUT_TAGS = RAW | {"nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "fieldset", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "head"}
+CUT_TAGS = RAW | {"nav", "header", "footer", "aside", "button", "select", "option", "input", "fieldset", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "head"}
 CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-CUT_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner nav navbar navigation menu "
-    "menubar breadcrumb breadcrumbs sidebar side aside rail header masthead topbar footer foot bottombar comment comments commentlist "
-    "disqus reply replies respond discussion cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay "
-    "newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget widgets toolbar "
-    "pager pagination tags form hidden legal copyright".split()
+FURNITURE = set(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored nav navbar navigation menu menubar breadcrumb "
+    "breadcrumbs sidebar header masthead topbar footer bottombar cookie cookies consent gdpr popup modal overlay newsletter pager pagination toolbar".split()
 )
+#: Names that mean furniture alone or with each other, or beside words that say nothing: ``social-share`` is, ``social-studies`` isn't.
+LOOSE_FURNITURE = set(
+    "promo promotion banner side aside rail foot notice notices notification notifications alert alerts disclaimer subscribe subscription "
+    "signup login search share sharing social related recommended recommendations latest popular trending widget widgets tags form hidden legal copyright".split()
+)
+PLAIN = set(
+    "head box bar block list links link area section wrapper container inner left right top bottom secondary primary site global "
+    "buttons icons posts articles stories news js".split()
+)
+READERS = set("comment comments commentlist disqus reply replies respond discussion".split())
+#: What follows such a word only says how a page is laid out.
+MODIFIERS = set("has have no not with without is hide show visible hidden on off".split())
 GOOD_WORDS = set("article articlebody body content entry main page post prose story text".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSE_LIMIT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -46,57 +60,86 @@ _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'
 _UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_END = {tag: re.compile(rf"</{tag}(?![\w-])[^>]*(?:>|\Z)", re.I) for tag in RAW}
+_AGAIN = {tag: re.compile(rf"<{tag}(?![\w-])", re.I) for tag in RAW}
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/>=]|$)")
 _STYLED_AWAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption"}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd", "figcaption", *HEADINGS}
 
 
 class _Node:
-    __slots__ = ("tag", "up", "cut", "weight", "score", "size", "linked", "links", "own", "commas", "below")
+    __slots__ = ("tag", "up", "cut", "soft", "reader", "weight", "score", "size", "linked", "links", "own", "commas", "block", "depth", "ended", "below")
 
-    def __init__(self, tag, up, cut=False, weight=0.0):
-        self.tag, self.up, self.cut, self.weight = tag, up, cut, weight
+    def __init__(self, tag, up, depth, cut=False, soft=False, reader=False, weight=0.0):
+        self.tag, self.up, self.depth, self.weight = tag, up, depth, weight
+        self.cut = cut  # never taken, with all below
+        self.soft = soft  # cut by its name; may be taken back
+        self.reader = reader  # cut as reader comments; never taken back
         self.score = 0.0  # points passed up by paragraphs
         self.size = self.linked = self.links = 0  # characters below, those in links, and links
         self.own = self.commas = 0  # of a block: its own characters and commas
+        self.block = self if tag not in INLINE else up.block  # the block that its text belongs to
+        self.ended = False  # a link whose end tag came while blocks inside it were open
         self.below = []
 
 
-def _node(tag: str, rest: str, up: _Node) -> _Node:
-    cut, weight = up.cut or tag in CUT_TAGS, 25.0 * (tag in ("article", "main"))
+def _furniture(names: str) -> tuple[bool, bool, bool]:
+    """Whether class and id names say page furniture, reader comments, or article."""
+    cut = reader = good = False
+    for name in names.split():
+        words = _WORDS.findall(_CAMEL.sub("-", name).lower())
+        if len(words) > 1:
+            words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+        own = set(words)
+        loose = own & LOOSE_FURNITURE
+        if own & READERS:
+            reader = True
+        elif own & FURNITURE or (loose and own <= LOOSE_FURNITURE | PLAIN | GOOD_WORDS):
+            cut = True
+        elif own & GOOD_WORDS and not loose:
+            good = True
+    return cut, reader, good
+
+
+def _node(tag: str, rest: str, up: _Node, depth: int) -> _Node:
+    cut, soft, reader, weight = tag in CUT_TAGS, tag == "form", False, 25.0 * (tag in ("article", "main"))
     if "=" in rest or "hidden" in rest:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
-        names = _CAMEL.sub(" ", f"{found.get('class', '')} {found.get('id', '')}").lower()
-        words = set(_WORDS.findall(names))
-        good = bool(words & GOOD_WORDS) or found.get("role") in ("main", "article") or found.get("itemprop") == "articleBody"
+        named, reader, good = _furniture(f"{found.get('class', '')} {found.get('id', '')}")
+        good |= found.get("role") in ("main", "article") or found.get("itemprop") == "articleBody"
+        reader &= tag not in ("main", "body", "html") and not good
         if tag not in ("article", "main", "body", "html"):
-            bad = words & CUT_WORDS
-            cut |= bool(bad) or found.get("role", "").lower() in CUT_ROLES
-            cut |= found.get("aria-hidden") == "true" or bool(_STYLED_AWAY.search(found.get("style", ""))) or bool(re.search(r"(?:^|\s)hidden(?=[\s/>=]|$)", _ATTRIBUTE.sub(" ", rest)))
-        weight += 25.0 * good * (tag not in INLINE)
-    return _Node(tag, up, cut, weight)
+            soft |= named and not good
+            cut |= found.get("role", "").lower() in CUT_ROLES
+            cut |= found.get("aria-hidden") == "true" or bool(_STYLED_AWAY.search(found.get("style", ""))) or bool(_HIDDEN.search(_ATTRIBUTE.sub(" ", rest)))
+        weight += 25.0 * (good and tag not in INLINE)
+    return _Node(tag, up, depth, cut, soft, reader, weight)
 
 
 def _read(page: str):
-    """The tree's root, and what stands in it in page order: (block node, text) or None for a break."""
-    root = _Node("#", None)
-    stack, parts, at, link = [root], [], 0, 0
-    lower = None
+    """All nodes, parents first, and what stands in the page in its order: (block node, text, in a link, innermost node) or None for a break."""
+    root = _Node("#", None, 0)
+    nodes, stack, parts, at, link = [root], [root], [], 0, 0
+    opened: dict[str, list[int]] = {}  # tag -> depths at which it is open
+    stops: dict[str, re.Match | None] = {}  # tag -> its next end tag
     end = page.rfind(">") + 1
 
-    def block():
-        return next(n for n in reversed(stack) if n.tag not in INLINE)
-
     def text(value):
-        if not stack[-1].cut and value:
-            parts.append((block(), references.unescape(value) if "&" in value else value, link))
+        if value:
+            parts.append((stack[-1].block, references.unescape(value) if "&" in value else value, link > 0, stack[-1]))
 
-    def close_to(i):
+    def close_to(depth):
         nonlocal link
-        for n in stack[i:]:
-            link -= n.tag == "a"
+        for n in stack[depth:]:
+            opened[n.tag].pop()
+            link -= n.tag == "a" and not n.ended
             if n.tag not in INLINE:
                 parts.append(None)
-        del stack[i:]
+        del stack[depth:]
+
+    def deepest(tags):
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
 
     while m := _TAG.search(page, at, end):
         text(page[at : m.start()])
@@ -105,82 +148,121 @@ def _read(page: str):
         if not tag:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close_to(i)
-                    break
-            else:
-                if tag not in INLINE:
-                    parts.append(None)
+            depth = deepest((tag,))
+            if depth and (tag not in INLINE or depth > stack[-1].block.depth):
+                close_to(depth)
+            elif depth and tag == "a" and not stack[depth].ended:
+                stack[depth].ended, link = True, link - 1
+            elif tag not in INLINE:
+                parts.append(None)
             continue
         if tag in VOID:
             parts.append(None)
             continue
-        if tag in RAW and not m[0].endswith("/>"):
-            lower = page.lower() if lower is None else lower
-            stop = lower.find(f"</{tag}", at)
-            at = len(page) if stop < 0 else (page.find(">", stop) + 1 or len(page))
+        if tag in RAW:
+            if tag not in stops or (stops[tag] is not None and stops[tag].start() < at):
+                stops[tag] = _END[tag].search(page, at)
+            stop = stops[tag]
+            if m[0].endswith("/>") and (stop is None or _AGAIN[tag].search(page, at, stop.start())):
+                continue  # written as an empty element, and without an end tag of its own
+            at = stop.end() if stop else len(page)
             parts.append(None)
             if at >= end:
                 break
             continue
         if tag not in INLINE:
-            for i in range(len(stack) - 1, 0, -1):  # an open paragraph or heading ends where the next block begins
-                t = stack[i].tag
-                if t == "p" or (t == tag and t in ("h1", "h2", "h3", "h4", "h5", "h6")):
-                    close_to(i)
-                    break
-                if t not in INLINE:
-                    break
-            if tag in CLOSES:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in CLOSE_LIMIT[tag]:
-                        break
-                    if stack[i].tag in CLOSES[tag]:
-                        close_to(i)
-                        break
+            block = stack[-1].block  # an open paragraph or heading ends where the next block begins
+            if block.tag == "p" or (block.tag == tag and tag in HEADINGS):
+                close_to(block.depth)
+            while tag in CLOSES and (depth := deepest(CLOSES[tag])) > deepest(CLOSE_LIMIT[tag]):
+                close_to(depth)
             parts.append(None)
         if m[0].endswith("/>"):
             continue
-        node = _node(tag, m[3], stack[-1])
+        node = _node(tag, m[3], stack[-1], len(stack))
         stack[-1].below.append(node)
-        stack.append(node)
         if tag == "a":
+            if before := opened.get("a"):  # links don't nest
+                if not stack[before[-1]].ended:
+                    stack[before[-1]].ended, link = True, link - 1
             link += 1
-            for n in stack:
-                n.links += 1
+            node.links = 1
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append(node)
+        nodes.append(node)
     if at < len(page):
         text(_UNFINISHED.split(page[at:], maxsplit=1)[0])
-    return root, parts
+    return nodes, parts
+
 
+def _cut_below(nodes: list[_Node]) -> None:
+    for n in nodes:  # parents come first
+        n.cut |= n.soft or n.reader or (n.up is not None and n.up.cut)
 
-def _score(parts) -> list[_Node]:
-    """Sizes and scores of all containers of text, in page order."""
-    seen: dict[int, _Node] = {}
+
+def _points(n: _Node) -> float:
+    return n.own / 100 if n.own < 25 else 1 + n.commas + min(n.own // 100, 3) + n.own / 1000
+
+
+def _take_back(nodes: list[_Node], parts) -> None:
+    """Undo cuts by name of elements that hold most of a page that has no article outside them."""
     for part in parts:
-        if part is None:
-            continue
-        node, value, link = part
-        size = len(" ".join(value.split()))
-        node.own += size * (not link)
-        node.commas += value.count(",") + value.count("，") + value.count("、")
-        n = node
-        while n is not None:
-            n.size += size
-            n.linked += size * bool(link)
-            seen.setdefault(id(n), n)
-            n = n.up
-    nodes = list(seen.values())
+        if part is not None and not part[2]:
+            part[0].own += len(part[1])
+            part[0].commas += _commas(part[1])
+    barred: dict[_Node, bool] = {}  # under a cut that stands whatever is below
+    for n in nodes:  # parents come first
+        barred[n] = n.reader or n.cut or (n.up is not None and barred[n.up])
+    below = {n: _points(n) if n.own and not barred[n] else 0.0 for n in nodes}
+    for n in reversed(nodes):
+        if n.up is not None:
+            below[n.up] += below[n]
+    most = [n for n in nodes if n.soft and 2 * below[n] > below[nodes[0]]]  # each inside the one before
+    inside: dict[_Node, int | None] = {}  # how many of ``most`` are around a node; None under another cut by name
+    place = {n: i for i, n in enumerate(most, 1)}
+    for n in nodes:
+        around = inside[n.up] if n.up is not None else 0
+        inside[n] = place.get(n, None if n.soft else around) if around is not None else None
+    articles = [inside[n] for n in nodes if n.weight and below[n] and inside[n] is not None]
+    for n in most[: min(articles, default=len(most))]:
+        n.soft = False
+
+
+def _commas(value: str) -> int:
+    return value.count(",") + value.count("，") + value.count("、")
+
+
+def _score(nodes: list[_Node], parts) -> list:
+    """Sums sizes and scores of all nodes; returns the parts that aren't cut."""
+    if any(n.soft for n in nodes):
+        _take_back(nodes, parts)
+        for n in nodes:
+            n.own = n.commas = 0
+    _cut_below(nodes)
+    parts = [p for p in parts if p is None or not p[3].cut]
+    for part in parts:
+        if part is not None:
+            node, value, link, _ = part
+            size = len(" ".join(value.split()))
+            node.size += size
+            node.linked += size * link
+            node.own += size * (not link)
+            node.commas += _commas(value)
+    for n in reversed(nodes):
+        if n.up is not None:
+            n.up.size += n.size
+            n.up.linked += n.linked
+            n.up.links += n.links
     for n in nodes:
         if n.own:
-            points = n.own / 100 if n.own < 25 else 1 + n.commas + min(n.own // 100, 3) + n.own / 1000
-            up, share = (n.up, 1.0) if n.tag in PARAGRAPHS and n.up is not None else (n, 1.0)
-            for step in range(4):
+            points = _points(n)
+            up = n.up if n.tag in PARAGRAPHS and n.up is not None else n
+            for share in (1.0, 0.5, 0.2, 0.1):
                 if up is None:
                     break
                 up.score += points * share
-                up, share = up.up, (0.5, 0.2, 0.1, 0.05)[step]
-    return nodes
+                up = up.up
+    return parts
 
 
 def _dense(n: _Node) -> float:
@@ -206,12 +288,12 @@ def _whole(best: _Node) -> _Node:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root, parts = _read(page)
-    nodes = _score(parts)
+    nodes, parts = _read(page)
+    parts = _score(nodes, parts)
     kept, beside = set(), None
-    if nodes:
-        total = [(_value(n), n) for n in nodes if n.tag not in INLINE]
-        best_score, best = max(total, key=lambda x: x[0], default=(0.0, root))
+    if nodes[0].size:
+        best = max((n for n in nodes if n.size and n.tag not in INLINE), key=_value)
+        best_score = _value(best)
         if best_score <= 0:
             return ""
         if best.tag in PARAGRAPHS and best.up is not None:

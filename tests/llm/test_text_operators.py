@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -255,3 +256,108 @@ def test_parts_beside_the_article_without_a_common_container():
 def test_pages_keep_their_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (2, None, None, 5)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html.extract(rows).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
+
+
+@pytest.mark.parametrize(
+    "names",
+    [
+        'class="content has-sidebar"', 'class="main-content no-sidebar"', 'class="page right-sidebar"', 'class="content hidden-xs"', 'class="post with-comments"',
+        'class="entry-content social-post"', 'id="legal-guide" class="article"', 'class="layout-no-sidebar"', 'class="sidebar"', 'class="social widget"',
+    ],
+)
+def test_names_alone_never_empty_a_page(names):
+    """Names of layout aren't furniture, a good name beats a bad one, and a bad one can't take most of the page."""
+    assert html.main_text(f"<body><nav>menu</nav><div {names}><p>{LONG_P}</p><p>{LONG_P}</p></div><footer>f</footer></body>").split() == f"{LONG_P} {LONG_P}".split()
+
+
+@pytest.mark.parametrize("names", ["site-footer", "ad-slot", "cookieNotice", "nav-primary", "related-posts", "social-share", "widget", "comment-list", "sidebar left", "has-icon newsletter"])
+@pytest.mark.parametrize("outer", ["<article>{}</article>{}", "<div class=content>{}</div>{}", "<div>{}</div>{}", "<article>{}{}</article>"])
+def test_furniture_goes_by_name(names, outer):
+    long, furniture = f"<p>{LONG_P}</p>" * 3, f'<div class="{names}"><p>{LONG_P}</p></div>'
+    assert html.main_text("<body>" + outer.format(long, furniture) + "</body>").split() == LONG_P.split() * 3
+
+
+def test_comments_stay_out_however_many():
+    page = f"<body><div><p>{LONG_P}</p></div><div class=comments>" + f"<article class=comment><p>{LONG_P}</p></article>" * 9 + "</div></body>"
+    assert html.main_text(page).split() == LONG_P.split()
+    assert html.main_text(f"<div class=comments><p>{LONG_P}</p></div>") == ""
+
+
+def test_letters_that_change_length_in_lower_case_move_nothing():
+    assert html.main_text("<p>" + "İ" * 40 + "</p><script>no</SCRIPT ><p>yes</p>") == "İ" * 40 + " yes"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a</p><script src=x />var code</script><p>b</p>", "a b"),
+        ("<p>a</p><iframe src=x /><p>b</p><script/><p>c</p><script>no</script>", "a b c"),
+        ("<p>a <span class=ad>buy</span><b hidden>x</b> b</p>", "a b"),
+        ("<a href=x><div>link</a> words, of the text, that follow</div>", "link words, of the text, that follow"),
+        ("<table><tr><td>a<tr><td>b<td>c</table>", "a b c"),
+    ],
+)
+def test_broken_markup(page, want):
+    assert html.main_text(page) == want
+
+
+def test_deep_pages_take_linear_time():
+    for page in ("<div>x" * 30000, "<div>" * 30000 + "x" + "</b>" * 30000, "<span>" * 30000 + "<div>x</div>" * 30000, "<title/>" * 30000 + "<p>x", "<div class=ad>" * 30000 + "x"):
+        began = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - began < 5
+
+
+def plain_scores(tree):
+    """Points of every container by the rule itself, on nested (tag, children or text) tuples; tag -> points, for trees with a tag a node."""
+    found = collections.Counter()
+
+    def walk(node, above):
+        tag, below = node
+        if isinstance(below, str):
+            points = len(below) / 100 if len(below) < 25 else 1 + below.count(",") + min(len(below) // 100, 3) + len(below) / 1000
+            for up, share in zip(reversed(above), (1, 0.5, 0.2, 0.1), strict=False):
+                found[up] += points * share
+        else:
+            for b in below:
+                walk(b, [*above, tag])
+
+    walk(tree, ["#"])
+    return found
+
+
+def test_scores_match_the_rule():
+    rng = random.Random(21)
+    for _ in range(100):
+        names = (f"x{i}" for i in range(1000))
+
+        def made(depth):
+            if depth > 4 or rng.random() < 0.3:
+                return "p", " ".join(rng.choice(["word", "word,", "longerword"]) for _ in range(rng.randrange(1, 60)))
+            return next(names), [made(depth + 1) for _ in range(rng.randrange(1, 4))]
+
+        tree = (next(names), [made(1), made(1)])
+        show = lambda n: f"<{n[0]}>" + (n[1] if isinstance(n[1], str) else "".join(map(show, n[1]))) + f"</{n[0]}>"  # noqa: B023, E731
+        nodes, parts = html._read(show(tree))
+        html._score(nodes, parts)
+        want = plain_scores(tree)
+        for n in nodes:
+            if n.tag != "p":
+                assert abs(n.score - want[n.tag]) < 1e-9
+                assert n.size == sum(len(" ".join(t.split())) for b, t, _, _ in (x for x in parts if x) if n.depth == 0 or _under(b, n))
+
+
+def _under(node, top):
+    while node is not None and node is not top:
+        node = node.up
+    return node is top
+
+
+def test_no_pages(spark):
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
+def test_containers_that_score_the_same_give_the_first():
+    part = f"<p>{LONG_P}</p>"
+    page = f"<body><td><section>{part}</section></td><td><section>{part.replace('word', 'other')}</section></td></body>"
+    assert html.main_text(page).split()[: len(LONG_P.split())] == LONG_P.split()
