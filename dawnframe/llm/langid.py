@@ -1,6 +1,6 @@
 """Language identification by nearest centroid.
 
-A text is lower-cased, runs of non-letters become one space, and its character 1-, 2- and 3-grams are counted in
+A text is lower-cased, runs of anything but letters and their combining marks become one space, and its character 1-, 2- and 3-grams are counted in
 ``DIMENSIONS`` hashed buckets; the vector is root term frequency times inverse document frequency, normalised.  Each
 language has up to ``CENTROIDS`` centroids by spherical k-means; a text takes the language of the centroid with
 the highest cosine.  It is rejected if that cosine is under ``SLACK`` times the ``LOW`` quantile of the training
@@ -9,18 +9,21 @@ a class with fewer than ``ENOUGH`` training texts takes in its nearest ones.  Be
 falls as the root of the length, as the cosine of so few n-grams does; above the longest it stays.  Texts alone in their
 cluster don't count, as their cosine is 1 whatever they hold; a language with no others takes the least bound of the rest.
 
-Training takes at most ``PER_LANGUAGE`` labelled documents of each language (those with the least hash of their id,
-so the choice doesn't depend on the partitioning); whole texts of these are read.  Prediction covers every row and
+Training takes at most ``PER_LANGUAGE`` labelled documents of each of the ``LANGUAGES`` most frequent languages (those with the
+least hash of their id, so the choice doesn't depend on the partitioning); whole texts of these are read.  These two numbers bound
+what the driver holds and broadcasts.  Prediction covers every row and
 whole texts.  Each language is clustered in a task of its own, over a bounded number of vectors of fixed length.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; without any labelled
-document everything is; ties go to the language that sorts first; repeated rows are predicted one by one; columns
+Defined results: a null text, or one without a letter (Unicode category L; number forms such as ½ or Ⅷ are none), is ``und``
+with score 0 and rejected; without any labelled document everything is; an empty table gives an empty table; ties go to the language that sorts first; repeated rows are predicted one by one; columns
 other than those named pass through or are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import sys
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -36,6 +39,7 @@ from dawnframe.llm.sampling import least_hashed
 DIMENSIONS = 4096
 CENTROIDS = 3
 PER_LANGUAGE = 800
+LANGUAGES = 1000
 SLACK, LOW, ENOUGH = 0.55, 0.01, 50
 #: Classes of length: bit lengths of the number of n-grams.
 CLASSES = 64
@@ -45,7 +49,24 @@ FOLDS = 5
 #: Characters turned into n-grams at once; bounds the memory of a very long text.
 BLOCK = 1 << 18
 
-_BETWEEN = re.compile(r"[\W\d_]+")
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """By code point: 2 for letters, 1 for combining marks, 0 for the rest."""
+    return np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)), np.uint8)
+
+
+def _plain(text: str) -> np.ndarray | None:
+    """Code points in lower case with one space for each run of what isn't a word, or None without a letter."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    kinds = _kinds()[codes]
+    if not (kinds == 2).any():
+        return None
+    inside = kinds > 0
+    start = ~inside
+    start[1:] &= inside[:-1]  # the first of each run of non-words stands for it
+    codes = np.where(inside, codes, np.uint32(32))[inside | start]
+    return np.pad(codes, (int(codes[0] != 32), int(codes[-1] != 32)), constant_values=32)
 
 
 def held_out() -> Column:
@@ -57,13 +78,12 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
     """Counts of hashed 1- to 3-grams, or None without a letter."""
     if not text:
         return None
-    plain = _BETWEEN.sub(" ", text.lower()).strip()
-    if not plain:
+    codes = _plain(text)
+    if codes is None:
         return None
     counts = np.zeros(DIMENSIONS, np.int64)
-    codes = np.frombuffer(f" {plain} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     for at in range(0, len(codes) - 2, BLOCK):
-        c = codes[at : at + BLOCK + 2]
+        c = codes[at : at + BLOCK + 2].astype(np.uint64)
         one, two = c[1:-1], c[:-1] * np.uint64(0x1F123BB5) + c[1:]
         three = two[:-1] * np.uint64(0x5BD1E995) + c[2:]
         for salt, grams in ((1, one), (2, two[:-1]), (3, three)):
@@ -102,6 +122,8 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """(doc_id, text, lang): at most so many labelled documents of each language outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ids = labelled.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    frequent = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    ids = ids.join(F.broadcast(frequent), "lang")
     chosen = least_hashed(ids, "doc_id", per_language, by="lang")
     texts = labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen: per_language ids of each language
     return texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("lang").alias("lang"))
@@ -171,13 +193,18 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
-    """The documents that are not rejected, with the columns of ``docs``."""
+    """The documents that are not rejected, with the columns of ``docs``; a null or blank ``lang`` becomes the predicted one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
+    named = [i for i, f in enumerate(schema.fields) if f.name == "lang" and isinstance(f.dataType, T.StringType)]
 
     def run(batches):
         one = _predictor(shared.value)
         for batch in pieces(batches):
-            yield batch.filter(pa.array([not one(t)[2] for t in batch.column("text").to_pylist()], pa.bool_()))
+            found = [one(t) for t in batch.column("text").to_pylist()]
+            for i in named:
+                langs = [g if g and g.strip() else f[0] for g, f in zip(batch.column(i).to_pylist(), found, strict=True)]
+                batch = batch.set_column(i, batch.schema.field(i), pa.array(langs, batch.schema.field(i).type))
+            yield batch.filter(pa.array([not f[2] for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

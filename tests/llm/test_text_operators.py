@@ -110,16 +110,23 @@ def languages(rng, n):
 
 def test_language_is_learned_and_odd_texts_are_unknown(spark):
     made = languages(random.Random(4), 300)
-    rows = [(i, t, g, "s", 0, "clash") for i, g, t in made] + [(1000 + i, t, None, "s", 0, "clash") for i, t in enumerate([None, "", "123 !!"])] + [(2000, "thing ouen " * 9000, None, "s", 0, "c")]
+    rows = [(i, t, g, "s", 0, "clash") for i, g, t in made] + [(1000 + i, t, None, "s", 0, "clash") for i, t in enumerate([None, "", "123 !!", "½ ² ①② Ⅷ", "\u0301 \u093f"])] + [(2000, "thing ouen " * 9000, None, "s", 0, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string")
     model = langid.fit(docs)
     found = {r.doc_id: r for r in langid.identify(docs, model).collect()}
     held = [(i, g) for i, g, _ in made if zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(held) > 30 and all(found[i].held_out and found[i].lang_pred == g for i, g in held)
-    assert all((found[1000 + i].lang_pred, found[1000 + i].score) == ("und", 0.0) for i in range(3))
+    assert all((found[1000 + i].lang_pred, found[1000 + i].score) == ("und", 0.0) for i in range(5))
     assert all(0 <= r.score <= 1 for r in found.values())
-    kept = {r.doc_id for r in langid.keep_identified(docs, model).collect()}
-    assert kept == {i for i, _, _ in made} | {2000}
+    kept = {r.doc_id: r.lang for r in langid.keep_identified(docs, model).collect()}
+    assert kept == {i: g for i, g, _ in made} | {2000: "aa"}
+
+
+def test_words_keep_their_vowel_signs():
+    plain = lambda t: "".join(map(chr, langid._plain(t)))
+    assert plain("Héllo,  wörld 42!") == " héllo wörld "
+    assert plain("हिन्दी में") == " हिन्दी में "
+    assert langid._plain("12 ½") is None
 
 
 def test_texts_of_unlearned_languages_are_rejected_at_every_length(spark):
