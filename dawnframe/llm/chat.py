@@ -1,17 +1,22 @@
 """Chat formatting by cumulative-snapshot collapse, with DataFrame functions alone.
 
 Logs often store a conversation again after every turn.  Each turn gets a rolling hash of the conversation up to
-it: the XOR, over the turns so far, of two 64-bit hashes of (position, role, text), 128 bits in all.  A conversation
+it: the XOR, over the turns so far, of two 64-bit hashes of (position, role, digest of the text), 128 bits in all.  A conversation
 whose whole hash is the prefix hash of a longer one is a snapshot of it and is dropped by an anti-join; of equal
 conversations the one with the least id stays.  The maximal conversations are rendered turn by turn.
 
+The collapse works on digests: texts are read once to be hashed, where they lie, and shuffled once, for the rendering.
 Positions and rolling hashes are running totals, so a conversation may hold any share of all turns: turns are
 numbered and hashed inside chunks of ``CHUNK`` turn numbers, the chunks' totals are accumulated (a row for each chunk)
-and added back.  Rendering likewise gives one row for each ``PART`` turns of a conversation (``part`` 0, 1, ...), so no
-group outgrows a task; nearly every conversation is one part.
+and added back.  A chunk is rendered as one row, ``part`` 0, 1, ... of ``n_parts``, so no group outgrows a task; nearly every
+conversation is one part.  Should many turns share their numbers, so that a chunk has over ``PIECE`` turns, it is rendered as
+pieces of that many turns, each a part.
 
-Defined results: exact repeats of a turn row count once; turns with the same number are ordered by role and then
-text; a null turn number stands before all others; a null role or text renders as an empty string and differs from
+A marker inside a text or role is broken by a blank before its last bar (``<|im_end |>``), and line breaks in a role become
+blanks, so no turn can pass for another.
+
+Defined results: exact repeats of a turn row count once; turns with the same number are ordered by role and then by the
+MD5 of the text; a null turn number stands before all others; a null role or text renders as an empty string and differs from
 an empty one; rows without a conversation id form no conversation; an empty table gives an empty table; further
 columns are ignored.
 """
@@ -21,55 +26,92 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 256
-PART = 1000
+from dawnframe.durable import written
+
+CHUNK_BITS = 10
+CHUNK = 1 << CHUNK_BITS
+PIECE = 2000
 START, END = "<|im_start|>", "<|im_end|>"
+TURN = ["turn", "role", "digest"]
 
 
-def _hash(seed: int, position: Column) -> Column:
+def _hash(seed: int) -> Column:
     null = lambda c: F.col(c).isNull()
-    return F.xxhash64(F.lit(seed), position, null("role"), F.col("role"), null("text"), F.col("text"))
+    return F.xxhash64(F.lit(seed), "position", null("role"), "role", null("digest"), "digest")
+
 
+def _placed(turns: DataFrame) -> DataFrame:
+    """The turns of conversations with their ``chunk``; a null turn number has one before all others."""
+    chunk = F.coalesce(F.shiftright("turn", CHUNK_BITS), F.lit(-(1 << 62))).cast("long")
+    return turns.where(F.col("conv_id").isNotNull()).select("conv_id", chunk.alias("chunk"), "turn", "role", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """``conv_id``, ``position`` (from 1), ``role``, ``text`` and the rolling hash ``h1``, ``h2`` up to the turn."""
-    rows = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text").distinct()
-    rows = rows.withColumn("chunk", F.floor(F.col("turn") / CHUNK))
+
+def chunks(rows: DataFrame) -> DataFrame:
+    """(conv_id, chunk): ``size``, the turns ``before`` it, ``n_turns`` of the conversation, its first part and ``n_parts``."""
     sizes = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("conv_id", "chunk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    order = Window.partitionBy("conv_id", "chunk").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    ranked = rows.withColumn("nth", F.row_number().over(order))
-    same = (F.col("c.conv_id") == F.col("s.conv_id")) & F.col("c.chunk").eqNullSafe(F.col("s.chunk"))
-    placed = ranked.alias("c").join(starts.alias("s"), same).select("c.conv_id", "c.chunk", "c.role", "c.text", (F.col("nth") + F.col("start")).alias("position"))
-    hashed = placed.withColumns({f"x{i}": _hash(i, F.col("position")) for i in (1, 2)})
-    totals = hashed.groupBy("conv_id", "chunk").agg(F.bit_xor("x1").alias("t1"), F.bit_xor("x2").alias("t2"))
+    own = Window.partitionBy("conv_id")
+    upto = own.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = F.ceil(F.col("size") / PIECE)
+    return sizes.select(
+        "conv_id", "chunk", "size",
+        (F.sum("size").over(upto) - F.col("size")).alias("before"), F.sum("size").over(own).alias("n_turns"),
+        (F.sum(parts).over(upto) - parts).alias("part"), F.sum(parts).over(own).alias("n_parts"),
+    )
+
+
+def prefixes(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``conv_id``, ``n_turns``, ``position`` (from 1) and the rolling hash ``h1``, ``h2`` up to the turn."""
+    order = [F.asc_nulls_first(c) for c in TURN]
+    inside = Window.partitionBy("conv_id", "chunk").orderBy(*order)
+    ranked = rows.withColumn("nth", F.row_number().over(inside))
+    hashed = ranked.join(places, ["conv_id", "chunk"]).withColumn("position", F.col("nth") + F.col("before"))
+    hashed = hashed.select("conv_id", "chunk", "n_turns", "position", *[_hash(i).alias(f"x{i}") for i in (1, 2)])
+    totals = hashed.groupBy("conv_id", "chunk").agg(*[F.bit_xor(f"x{i}").alias(f"t{i}") for i in (1, 2)])
+    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select("conv_id", "chunk", *[F.coalesce(F.bit_xor(f"t{i}").over(before), F.lit(0)).alias(f"b{i}") for i in (1, 2)])
-    upto = Window.partitionBy("conv_id", "chunk").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    within = hashed.select("conv_id", "chunk", "role", "text", "position", *[F.bit_xor(f"x{i}").over(upto).alias(f"w{i}") for i in (1, 2)])
-    joined = within.alias("c").join(carried.alias("s"), same)
-    return joined.select("c.conv_id", "position", "role", "text", *[F.col(f"w{i}").bitwiseXOR(F.col(f"b{i}")).alias(f"h{i}") for i in (1, 2)])
+    upto = Window.partitionBy("conv_id", "chunk").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = hashed.join(carried, ["conv_id", "chunk"])
+    return joined.select("conv_id", "n_turns", "position", *[F.bit_xor(f"x{i}").over(upto).bitwiseXOR(F.col(f"b{i}")).alias(f"h{i}") for i in (1, 2)])
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
-    """``conv_id``, ``n_turns`` and ``n_copies`` of the conversations that no other one contains as a prefix."""
-    whole = hashed.groupBy("conv_id").agg(F.max(F.struct("position", "h1", "h2")).alias("last"))
-    whole = whole.groupBy(F.col("last.position").alias("n_turns"), F.col("last.h1").alias("h1"), F.col("last.h2").alias("h2"))
-    whole = whole.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
-    longest = hashed.groupBy("conv_id").agg(F.max("position").alias("size"))
-    inner = hashed.join(longest, "conv_id").where("position < size").select(F.col("position").alias("n_turns"), "h1", "h2").distinct()
-    return whole.join(inner, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_turns", "n_copies")
+    """``conv_id`` and ``n_copies`` of the conversations that no other one contains as a prefix."""
+    whole = hashed.where("position = n_turns").groupBy("position", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    inner = hashed.where("position < n_turns").select("position", "h1", "h2").distinct()
+    return whole.join(inner, ["position", "h1", "h2"], "left_anti").select("conv_id", "n_copies")
+
+
+def _safe(value: str | Column) -> Column:
+    value = F.coalesce(value, F.lit(""))
+    for mark in (START, END):
+        value = F.replace(value, F.lit(mark), F.lit(mark.replace("|>", " |>")))
+    return value
 
 
-def render(hashed: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row for each part of each kept conversation: ``conv_id``, ``part``, ``n_turns``, ``n_copies``, ``rendered``."""
-    turn = F.concat(F.lit(START), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(END))
-    lines = hashed.select("conv_id", F.floor((F.col("position") - 1) / PART).alias("part"), F.struct("position", turn.alias("line")).alias("t"))
-    joined = lines.join(kept, "conv_id")
-    parts = joined.groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_sort(F.collect_list("t")).alias("t"))
-    return parts.select("conv_id", "part", "n_turns", "n_copies", F.array_join(F.col("t.line"), "\n").alias("rendered"))
+def _joined(turns: Column) -> Column:
+    """The text of turns given as an array of (turn, role, digest, text)."""
+    line = lambda t: F.concat(F.lit(START), F.regexp_replace(_safe(t.role), r"[\r\n]", " "), F.lit("\n"), _safe(t.text), F.lit(END))
+    return F.array_join(F.transform(F.array_sort(turns), line), "\n")
 
 
 def collapse(turns: DataFrame) -> DataFrame:
-    hashed = prefixes(turns)
-    return render(hashed, maximal(hashed))
+    """One row for each part of each maximal conversation: ``conv_id``, ``part``, ``n_parts``, ``n_turns``, ``n_copies``, ``rendered``."""
+    texts = _placed(turns)
+    rows = written(texts.select("conv_id", "chunk", *TURN).distinct(), "chat-turns")
+    places = written(chunks(rows), "chat-chunks")
+    kept = maximal(written(prefixes(rows, places), "chat-prefixes"))
+    kept = written(kept.join(places, "conv_id").select("conv_id", "chunk", "size", "part", "n_parts", "n_turns", "n_copies"), "chat-kept")
+    crowded = kept.where(F.col("size") > PIECE)
+    one = F.collect_set(F.struct(*TURN, "text"))
+    columns = ["conv_id", "part", "n_parts", "n_turns", "n_copies"]
+
+    if crowded.isEmpty():
+        found = texts.groupBy("conv_id", "chunk").agg(one.alias("t")).join(kept, ["conv_id", "chunk"])
+        return found.select(*columns, _joined(F.col("t")).alias("rendered"))
+    plain = texts.join(crowded, ["conv_id", "chunk"], "left_anti").groupBy("conv_id", "chunk").agg(one.alias("t")).join(kept, ["conv_id", "chunk"])
+    inside = Window.partitionBy("conv_id", "chunk").orderBy(*[F.asc_nulls_first(c) for c in TURN])
+    piece = F.floor((F.row_number().over(inside) - 1) / PIECE)
+    numbered = rows.join(crowded, ["conv_id", "chunk"]).withColumn("part", F.col("part") + piece).select("chunk", *TURN, *columns)
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("conv_id", "chunk", *TURN)]
+    split = texts.alias("x").join(numbered.alias("n"), same).select(*[f"n.{c}" for c in (*columns, *TURN)], "x.text").groupBy(*columns).agg(one.alias("t"))
+    return plain.select(*columns, "t").unionByName(split).select(*columns, _joined(F.col("t")).alias("rendered"))

@@ -1,10 +1,16 @@
 """SQL for the chat query: the same collapse over whole turn lists instead of hashes."""
 
-COLLAPSE = """
+
+def _safe(column: str) -> str:
+    return f"replace(replace(coalesce({column}, ''), '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>')"
+
+
+COLLAPSE = f"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT DISTINCT conv_id, turn, role, text, md5(text) AS digest, coalesce(CAST(floor(turn / 1024.0) AS BIGINT), -(1::BIGINT << 62)) AS chunk
+  FROM conversations WHERE conv_id IS NOT NULL
 ), c AS (
-  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l
+  SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, digest NULLS FIRST) AS l
   FROM t GROUP BY conv_id
 ), u AS (
   SELECT min(conv_id) AS conv_id, l, count(*) AS n_copies FROM c GROUP BY l
@@ -12,11 +18,15 @@ WITH t AS (
   SELECT DISTINCT list_slice(l, 1, n) AS l FROM (SELECT l, unnest(range(1, len(l))) AS n FROM u)
 ), k AS (
   SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l = u.l)
+), n AS (
+  SELECT t.*, (row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn NULLS FIRST, role NULLS FIRST, digest NULLS FIRST) - 1) // 2000 AS piece
+  FROM t
 ), parts AS (
-  SELECT conv_id, l, n_copies, unnest(range(0, (len(l) - 1) // 1000 + 1)) AS part FROM k
+  SELECT conv_id, chunk, piece, string_agg('<|im_start|>' || regexp_replace({_safe("role")}, '[\\r\\n]', ' ', 'g') || chr(10) || {_safe("text")} || '<|im_end|>', chr(10)
+    ORDER BY turn NULLS FIRST, role NULLS FIRST, digest NULLS FIRST) AS rendered
+  FROM n GROUP BY conv_id, chunk, piece
 )
-SELECT conv_id, CAST(part AS BIGINT) AS part, CAST(len(l) AS BIGINT) AS n_turns, CAST(n_copies AS BIGINT) AS n_copies,
-  array_to_string(list_transform(list_slice(l, part * 1000 + 1, part * 1000 + 1000),
-    lambda x: '<|im_start|>' || coalesce(x.r, '') || chr(10) || coalesce(x.t, '') || '<|im_end|>'), chr(10)) AS rendered
-FROM parts
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY chunk, piece) - 1 AS BIGINT) AS part,
+  CAST(count(*) OVER (PARTITION BY conv_id) AS BIGINT) AS n_parts, CAST(len(l) AS BIGINT) AS n_turns, CAST(n_copies AS BIGINT) AS n_copies, rendered
+FROM parts JOIN k USING (conv_id)
 """
