@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,59 @@ def test_the_draw_repeats_and_keeps_columns(spark):
     assert once == again
     assert mixing.mixed(docs).columns == ["doc_id", "text", "lang", "source", "n_chars", "weight", "topic", "probability"]
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def plain_raking(tokens, wanted, budget):
+    """Textbook raking of a (source, lang, topic) array, weights capped at the tokens."""
+    factors = [np.ones(n) for n in tokens.shape]
+    for _ in range(3000):
+        for axis in range(3):
+            shaped = [f.reshape([-1 if i == j else 1 for j in range(3)]) for i, f in enumerate(factors)]
+            drawn = np.minimum(tokens, tokens * budget * shaped[0] * shaped[1] * shaped[2])
+            has = drawn.sum(tuple(i for i in range(3) if i != axis)) / (budget * tokens.sum())
+            factors[axis] = factors[axis] * np.divide(wanted[axis], has, out=np.zeros_like(has), where=has > 0)
+    shaped = [f.reshape([-1 if i == j else 1 for j in range(3)]) for i, f in enumerate(factors)]
+    return np.minimum(1, budget * shaped[0] * shaped[1] * shaped[2]) * (tokens > 0)
+
+
+@pytest.mark.parametrize("cells", [mixing.CELLS, 0])  # in memory, and round by round in tables
+def test_three_targets_match_plain_raking(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-6 if cells else 0.02)
+    rng = np.random.default_rng(5)
+    counts = rng.integers(5, 60, (3, 2, 2))
+    rows = [(i, "w " * 10, f"l{b}", f"s{a}", "x", f"t{c}") for i, (a, b, c) in enumerate((a, b, c) for a in range(3) for b in range(2) for c in range(2) for _ in range(counts[a, b, c]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string, theme string")
+    wanted = [np.array([0.3, 0.7, 0.0]), np.array([0.6, 0.4]), np.array([0.45, 0.55])]
+    shares = {"source": {"s0": 0.3, "s1": 0.7, "s2": 0.0}, "lang": {"l0": 0.6, "l1": 0.4}, "topic": {"t0": 0.45, "t1": 0.55}}
+    want = plain_raking(counts * 10.0, wanted, 0.3)
+    plan = mixing.plan(docs, 0.3, shares, F.col("theme"))
+    found = {(r.source, r.lang, r.topic): r.probability for r in plan.select(*mixing.MARGINS, "probability").distinct().collect()}
+    assert len(found) == 12
+    assert all(abs(found[f"s{a}", f"l{b}", f"t{c}"] - want[a, b, c]) < (1e-4 if cells else 0.05) for a in range(3) for b in range(2) for c in range(2))
+    met = mixing.margins(docs, 0.3, shares, F.col("theme")).collect()
+    assert len(met) == 7 and all(abs(r.target - r.expected) < (0.005 if cells else 0.03) for r in met)
+
+
+def test_default_targets_in_tables_match_those_in_memory(spark):
+    tokens = [1000, 400, 30, 2, 1]
+    cells = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(tokens)], "source string, tokens long")
+    found = [r.target for r in mixing._targets(cells, "source", float(sum(tokens)), 0.8, None).orderBy("source").collect()]
+    assert np.allclose(found, mixing._flattened(np.array(tokens), 0.8)) and abs(sum(found) - 1) < 1e-9
+    assert found[4] * 0.8 * sum(tokens) <= 1.0001
+
+
+def test_default_targets_can_be_met_and_impossible_ones_are_reported(spark):
+    docs = documents(spark, 3000)
+    met = mixing.margins(docs).collect()
+    assert all(abs(r.target - r.expected) < 0.001 for r in met)
+    assert all(abs(sum(r.target for r in met if r.margin == m) - 1) < 1e-6 for m in mixing.MARGINS)
+    short = {r.value: r for r in mixing.margins(docs, 0.5, {"lang": {"de": 1.0}}).collect() if r.margin == "lang"}
+    assert short["de"].target == 1.0 and short["de"].expected < 0.6 and short["en"].expected == 0.0
+
+
+def test_a_value_without_a_share_is_not_drawn(spark):
+    docs = documents(spark, 600)
+    plan = mixing.plan(docs, 0.3, {"lang": {"en": 1.0, "de": 0.0}})
+    assert plan.count() == docs.count()
+    assert {r.lang for r in plan.where("drawn").select("lang").distinct().collect()} == {"en"}
