@@ -8,8 +8,8 @@ nothing.  The posterior probability of the good class replaces all-must-pass fil
 ``KEEP`` or more.
 
 One pass over the texts reduces each document to a few numbers and its votes, which are written out.  The EM runs
-over vote patterns (at most 3 to the number of rules, whatever the corpus size) and reads no text; a round is one
-aggregation that returns a row for each class, rule and vote.
+over the counts of vote patterns (at most 3 to the number of rules, whatever the corpus size, so they fit in the driver) until it
+converges, and reads no text.
 
 Base figures of the contract: words ``[^\\x20\\x09-\\x0D]+``; ``word_chars`` code points in words; ``n_symbols``
 characters of ``[#*$%&|<>]``; ``n_dup_lines`` lines with a word that equal an earlier one; ``n_repeat_words`` words
@@ -24,27 +24,30 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dawnframe.durable import written
-from dawnframe.llm.native import occurrences, shifted, words
+from dawnframe.llm.native import let, occurrences, shifted, words
 
 WINDOW = 8
 KEEP = 0.5
-ROUNDS, TOLERANCE = 20, 1e-3
+#: EM ends when no estimate moves by more than ``TOLERANCE`` in a round; ``ROUNDS`` only guards against a fault.
+TOLERANCE, ROUNDS = 1e-9, 1_000_000
 #: Where EM starts, and what a prior of the weight of ``PRIOR`` times the corpus holds on to: the share of good
 #: documents, how often a rule objects to its own kind of bad document, and how often to any other document.
 GOOD, HIT, SLIP, PRIOR = 0.8, 0.9, 0.005, 0.05
 
 
 def repeated_window_words(windows: Column) -> Column:
-    """Words covered by windows that occur at least twice; only evaluated where some window does."""
+    """Words covered by windows that occur at least twice."""
     placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-    pairs = F.zip_with(placed, shifted(placed, 1), lambda a, b: F.when(a.h == b.h, F.array(a["at"], b["at"])).otherwise(F.array().cast("array<int>")))
-    at = F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
-    steps = F.zip_with(at, shifted(at, 1), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
+    none = F.array().cast("array<int>")
+    places = lambda p: F.zip_with(p, shifted(p, 1), lambda a, b: F.when(a.h == b.h, F.array(a["at"], b["at"])).otherwise(none))
+    at = F.array_sort(F.array_distinct(F.flatten(let(placed, places))))
+    steps = lambda a: F.zip_with(a, shifted(a, 1), lambda x, y: F.least(F.lit(WINDOW), F.coalesce(y - x, F.lit(WINDOW))))
+    return F.aggregate(let(at, steps), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
 def figures(docs: DataFrame) -> DataFrame:
@@ -53,19 +56,21 @@ def figures(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.withColumn("words", words(F.col("text")))
     rows = rows.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
-    for reach in (1, 2, 4):  # hashes of 2, 4 and 8 words from those of 1, 2 and 4
-        rows = rows.withColumn("hashes", F.zip_with("hashes", shifted(F.col("hashes"), reach), lambda a, b: F.xxhash64(a, b)))
-    rows = rows.withColumn("windows", F.slice("hashes", 1, F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))))
+    further = lambda h, reach: F.zip_with(h, shifted(h, reach), lambda a, b: F.xxhash64(a, b))
+    for reach in (1, 2):  # hashes of 2 and 4 words from those of 1 and 2
+        rows = rows.withColumn("hashes", further(F.col("hashes"), reach))
+    windows = F.slice(further(F.col("hashes"), 4), 1, F.greatest(F.size("words") - (WINDOW - 1), F.lit(0)))
+    again = F.size(F.array_distinct("hashes")) < F.size("hashes")  # no window repeats unless four of its words do
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("lines", lines)
-    count = lambda c: c.cast("long")
+    count, none = lambda c: c.cast("long"), F.lit(0).cast("long")
     return rows.select(
         "doc_id",
         count(F.size("words")).alias("n_words"),
         count(F.length(F.array_join("words", ""))).alias("word_chars"),
         count(occurrences(F.col("text"), r"[#*$%&|<>]+")).alias("n_symbols"),
         count(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("windows")) < F.size("windows"), repeated_window_words(F.col("windows"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
+        F.when((F.size("words") > WINDOW) & again, let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), repeated_window_words(w)).otherwise(none))).otherwise(none).alias("n_repeat_words"),
         count(F.size("lines")).alias("n_lines"),
         count(occurrences(F.col("text"), r"[A-Z]+")).alias("n_capitals"),
         count(F.length("text") - F.length(F.replace(F.col("text"), F.lit("!"), F.lit("")))).alias("n_shouts"),
@@ -113,26 +118,36 @@ def _start(k: int) -> dict:
     return {"share": [GOOD] + [(1 - GOOD) / k] * k, "objects": [[SLIP] * k] + [[HIT if i == c else SLIP for i in range(k)] for c in range(k)]}
 
 
-def estimate(votes: DataFrame, k: int) -> dict:
-    """EM over the vote patterns: ``share`` of each class, and ``objects``: each class's chance of an objection by rule."""
-    patterns = written(votes.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "vote-patterns")
-    total = patterns.agg(F.sum("n")).first()[0]
+def _e_step(model: dict, votes: np.ndarray) -> np.ndarray:
+    """Posterior of every class for every pattern."""
+    objects = np.array(model["objects"])
+    fit = np.log(model["share"]) + (votes < 0) @ np.log(objects).T + (votes > 0) @ np.log(1 - objects).T
+    raised = np.exp(fit - fit.max(1, keepdims=True))
+    return raised / raised.sum(1, keepdims=True)
+
+
+def fit_patterns(votes: np.ndarray, n: np.ndarray, tolerance: float = TOLERANCE) -> dict:
+    """EM to convergence over vote patterns (rows of -1, 0, 1) and how many documents have each."""
+    k, total = votes.shape[1], float(n.sum())
     start = model = _start(k)
+    held = PRIOR * total * np.array(start["share"])
+    slips = held[:, None] * np.array(start["objects"])
     for _ in range(ROUNDS if total else 0):
-        by_class = patterns.select("votes", "n", F.posexplode(_posterior(model, F.col("votes"))).alias("class", "p"))
-        by_rule = by_class.select("class", (F.col("n") * F.col("p")).alias("w"), F.posexplode("votes").alias("rule", "vote"))
-        mass = {(r["class"], r.rule, r.vote): r.w for r in by_rule.groupBy("class", "rule", "vote").agg(F.sum("w").alias("w")).collect()}  # classes x rules x votes
-        new = {"share": [], "objects": []}
-        for c in range(k + 1):
-            held = PRIOR * total * start["share"][c]
-            new["share"].append((sum(mass.get((c, 0, v), 0.0) for v in (-1, 0, 1)) + held) / (total * (1 + PRIOR)))
-            against = [mass.get((c, i, -1), 0.0) for i in range(k)]
-            new["objects"].append([(a + held * s) / (a + mass.get((c, i, 1), 0.0) + held) for i, (a, s) in enumerate(zip(against, start["objects"][c], strict=True))])
-        moved = sum(abs(x - y) for a, b in zip([new["share"], *new["objects"]], [model["share"], *model["objects"]], strict=True) for x, y in zip(a, b, strict=True))
+        mass = _e_step(model, votes) * n[:, None]
+        against, for_it = mass.T @ (votes < 0), mass.T @ (votes > 0)
+        new = {"share": (mass.sum(0) + held) / (total * (1 + PRIOR)), "objects": (against + slips) / (against + for_it + held[:, None])}
+        moved = max(np.abs(np.array(new[x]) - np.array(model[x])).max() for x in new)
         model = new
-        if moved < TOLERANCE:
+        if moved < tolerance:
             break
-    return model
+    return {x: np.array(model[x]).tolist() for x in model}
+
+
+def estimate(votes: DataFrame, k: int) -> dict:
+    """``share`` of each class, and ``objects``: each class's chance of an objection by rule."""
+    patterns = votes.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 to the number of rules
+    patterns.sort(key=lambda r: list(r.votes))
+    return fit_patterns(np.array([r.votes for r in patterns], float).reshape(-1, k), np.array([r.n for r in patterns], float))
 
 
 def judge(docs: DataFrame) -> DataFrame:

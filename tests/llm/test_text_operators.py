@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 
+import numpy as np
 import pytest
 
 from dawnframe.llm import decontaminate, html, langid, pii, quality, toxicity
@@ -368,3 +369,31 @@ def test_containers_that_score_the_same_give_the_first():
     part = f"<p>{LONG_P}</p>"
     page = f"<body><td><section>{part}</section></td><td><section>{part.replace('word', 'other')}</section></td></body>"
     assert html.main_text(page).split()[: len(LONG_P.split())] == LONG_P.split()
+
+
+def test_em_converges_and_finds_the_rules_accuracies():
+    """On votes drawn from known accuracies; more rounds or a stricter tolerance change nothing."""
+    rng = np.random.default_rng(4)
+    n, k = 20000, 4
+    kind = rng.choice(k + 1, n, p=[0.85, 0.06, 0.04, 0.03, 0.02])
+    chance = np.vstack([np.full(k, 0.01), np.where(np.eye(k) > 0, 0.85, 0.02)])[kind]
+    votes = np.where(rng.random((n, k)) < 0.2, 0, np.where(rng.random((n, k)) < chance, -1, 1))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model, closer = quality.fit_patterns(patterns, counts), quality.fit_patterns(patterns, counts, 1e-13)
+    assert np.allclose(model["share"], closer["share"], atol=1e-6) and np.allclose(model["objects"], closer["objects"], atol=1e-6)
+    assert np.allclose(model["share"], [0.85, 0.06, 0.04, 0.03, 0.02], atol=0.03)
+    assert all(abs(model["objects"][i + 1][i] - 0.85) < 0.1 for i in range(k))
+
+
+def test_posteriors_match_bayes_rule(spark):
+    """The posterior column against the product of the model's chances, pattern by pattern."""
+    rng = random.Random(6)
+    texts = ["word " * 60, "UP!! " * 60, "a|b # " * 60, "1234 5678 " * 60, None, *("plain words, of some length. " * rng.randrange(1, 9) for _ in range(30))]
+    rows = quality.judge(frame(spark, texts)).collect()
+    names = list(quality.rules())
+    votes = [tuple(r[f"vote_{x}"] for x in names) for r in rows]
+    counts = collections.Counter(votes)
+    model = quality.fit_patterns(np.array(sorted(counts), float), np.array([counts[v] for v in sorted(counts)], float))
+    for r, v in zip(rows, votes, strict=True):
+        fit = [s * np.prod([p if x < 0 else 1 - p if x > 0 else 1 for p, x in zip(o, v, strict=True)]) for s, o in zip(model["share"], model["objects"], strict=True)]
+        assert abs(r.posterior - fit[0] / sum(fit)) < 1e-9
