@@ -21,18 +21,21 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def add_columns(frame: DataFrame, source: str, fields: list[tuple[str, T.DataType, pa.DataType]], make: Callable) -> DataFrame:
     """``frame`` without ``source`` and with new columns computed from it, row by row inside Arrow batches.
 
+    A new column replaces one of the same name.
+
     ``make()`` is called once in each task and returns ``value -> tuple``, one element for each field.
     """
-    kept = [f for f in frame.schema.fields if f.name != source]
+    made = {n for n, _, _ in fields}
+    kept = [f for f in frame.schema.fields if f.name != source and f.name not in made]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t, _ in fields])
 
     def run(batches):
         one = make()
         for batch in pieces(batches):
-            made = [one(x) for x in batch.column(source).to_pylist()]
+            rows = [one(x) for x in batch.column(source).to_pylist()]
             columns = {f.name: batch.column(f.name) for f in kept}
             for i, (name, _, kind) in enumerate(fields):
-                columns[name] = pa.array([m[i] for m in made], kind)
+                columns[name] = pa.array([r[i] for r in rows], kind)
             yield pa.RecordBatch.from_pydict(columns)
 
     return frame.mapInArrow(run, schema)

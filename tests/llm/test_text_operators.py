@@ -93,6 +93,9 @@ def test_checksums_and_context_decide_on_more_kinds():
     kinds = lambda t: [k for _, _, k in pii.find(t)[1]]
     assert kinds("GB82 WEST 1234 5698 7654 32") == ["iban"]
     assert kinds("GB82 WEST 1234 5698 7654 33") == []
+    assert kinds("DE89 3704 0044 0532 0130 00 AND MORE") == kinds("DE89370400440532013000 12") == ["iban"]
+    assert kinds("GB82WEST12345698765432X") == kinds("DE8937040044053201300") == []
+    assert pii.find("to NO93 8601 1117 947 or DE89370400440532013000, now")[1] == [(3, 21, "iban"), (25, 47, "iban")]
     assert kinds("my ssn is 123-45-6789") == ["national_id"]
     assert kinds("part 123-45-6789") == []
     assert kinds("call 030 1234 5678") == ["local_phone"]
@@ -397,3 +400,38 @@ def test_posteriors_match_bayes_rule(spark):
     for r, v in zip(rows, votes, strict=True):
         fit = [s * np.prod([p if x < 0 else 1 - p if x > 0 else 1 for p, x in zip(o, v, strict=True)]) for s, o in zip(model["share"], model["objects"], strict=True)]
         assert abs(r.posterior - fit[0] / sum(fit)) < 1e-9
+
+
+def brute_iban(text):
+    """Every start and end, nothing shared with the operator but the lengths."""
+    found, at = [], 0
+    for a in range(len(text)):
+        if a < at or (a and text[a - 1].isascii() and text[a - 1].isalnum()):
+            continue
+        for b in range(len(text), a + 14, -1):
+            part = text[a:b]
+            code = part.replace(" ", "")
+            if "  " in part or part != part.strip() or not re.fullmatch("[A-Z]{2}[0-9]{2} ?[A-Z0-9 ]+", part) or len(code) != pii.IBAN_LENGTHS.get(code[:2]):
+                continue
+            if b < len(text) and text[b].isascii() and text[b].isalnum():
+                continue
+            if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                found.append((a, b, "iban"))
+                at = b
+                break
+    return found
+
+
+def test_ibans_match_brute_force():
+    rng = random.Random(17)
+    good = ["DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S"]
+    for _ in range(300):
+        text = ""
+        for _ in range(rng.randrange(1, 4)):
+            code = rng.choice(good)
+            if rng.random() < 0.3:
+                code = code[:8] + rng.choice("0123456789AB") + code[9:]
+            if rng.random() < 0.5:
+                code = " ".join(code[i : i + 4] for i in range(0, len(code), 4))
+            text += code + rng.choice([" ", " AND ", "x", ", é", " 12 ", "\n", "ü"])
+        assert [s for s in pii.find(text)[1] if s[2] == "iban"] == brute_iban(text), text
