@@ -23,7 +23,7 @@ One pass over the texts writes the spans and classes; the threshold is then one
 
 Defined results: a null or empty text has no span; offsets are code points, end exclusive; whole texts of any
 length are read; a candidate that touches a base span adds nothing; repeated rows are reported one by one and each
-counts as a candidate; an empty table gives an empty table; further columns are ignored.
+counts as a candidate; an empty table gives an empty table; further columns, whatever their names, are ignored by ``report`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dawnframe.durable import written
-from dawnframe.llm.native import shifted, spans
+from dawnframe.llm.native import by_block, let, masked, shifted, spans, touched
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -115,15 +115,17 @@ def _marked(found: Column, kind: int) -> Column:
 
 
 def scanned(docs: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
-    """The ``kept`` columns, ``_base`` (start, end, kind) and ``_candidates`` (start, end, n, p)."""
+    """``kept`` (a struct of these columns), ``base`` (start, end, kind) and ``candidates`` (start, end, n, p)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*kept, *[spans(whole, p).alias(n) for n, p in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_token", CANDIDATE))])
-    assign = F.filter("_assign", lambda f: F.length(F.regexp_extract(f.found, ASSIGN, 2)) >= 6)
-    access = F.filter("_access", lambda f: f.end - f.start >= 20)
-    base = _sorted(F.concat(_marked(assign, 0), _marked(access, 1), _marked(F.col("_hex"), 2)))
-    rows = rows.select(*kept, base.alias("_base"), "_token")
-    free = F.filter("_token", lambda t: ~F.exists("_base", lambda b: (b.start < t.end) & (b.end > t.start)))
-    return rows.select(*kept, "_base", battery(free).alias("_candidates"))
+    own = [F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept")] if kept else []
+    rows = docs.select(*own, *[spans(whole, p).alias(n) for n, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", CANDIDATE))])
+    own = ["kept"] if kept else []
+    assign = F.filter("assign", lambda f: F.length(F.regexp_extract(f.found, ASSIGN, 2)) >= 6)
+    access = F.filter("access", lambda f: f.end - f.start >= 20)
+    base = _sorted(F.concat(_marked(assign, 0), _marked(access, 1), _marked(F.col("hex"), 2)))
+    rows = rows.select(*own, base.alias("base"), "token")
+    free = let(by_block(F.col("base")), lambda b: F.filter("token", lambda t: ~touched(b, t.start, t.end)))
+    return rows.select(*own, "base", battery(F.when(F.size("base") > 0, free).otherwise(F.col("token"))).alias("candidates"))
 
 
 def _bin(p: Column) -> Column:
@@ -132,7 +134,7 @@ def _bin(p: Column) -> Column:
 
 def threshold(rows: DataFrame) -> tuple[float, int]:
     """(mean length, least class of p-values that counts as discovery) over all candidates of ``scanned`` rows."""
-    each = rows.select(F.explode("_candidates").alias("c"))
+    each = rows.select(F.explode("candidates").alias("c"))
     mean = each.agg(F.avg("c.n")).first()[0] or 1.0
     classes = each.select(_bin(F.col("c.p") / F.least(F.col("c.n") / mean, F.lit(MOST_WEIGHT))).alias("bin")).groupBy("bin").count().collect()  # at most BINS + 1
     total, above, least = sum(r["count"] for r in classes), 0, BINS + 1
@@ -145,32 +147,27 @@ def threshold(rows: DataFrame) -> tuple[float, int]:
 
 def _all_spans(mean: float, least: int) -> Column:
     """Base spans and the discoveries among the candidates, by start and then kind."""
-    random = F.filter("_candidates", lambda c: _bin(c.p / F.least(c.n / mean, F.lit(MOST_WEIGHT))) >= least)
-    return _sorted(F.concat("_base", _marked(random, 3)))
+    random = F.filter("candidates", lambda c: _bin(c.p / F.least(c.n / mean, F.lit(MOST_WEIGHT))) >= least)
+    return _sorted(F.concat("base", _marked(random, 3)))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id``, ``base`` and ``spans``: arrays of (start, end, kind), by start and then kind."""
     rows = written(scanned(docs, ["doc_id"], text), "secret-candidates")
-    return rows.select("doc_id", F.col("_base").alias("base"), _all_spans(*threshold(rows)).alias("spans"))
+    return rows.select("kept.doc_id", "base", _all_spans(*threshold(rows)).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "<SECRET>") -> DataFrame:
-    """``docs`` with every secret of ``text`` masked (touching spans become one) and ``n_chars`` brought up to date.
+    """``docs`` with every secret of ``text`` masked (overlapping spans become one) and ``n_chars`` brought up to date.
 
     The texts are scanned twice, for the threshold and for the spans, so none of them is shuffled or joined.
     """
-    found = _all_spans(*threshold(written(scanned(docs, []).where(F.size("_candidates") > 0), "secret-candidates")))
-    rows = scanned(docs, docs.columns).select(*docs.columns, found.alias("_spans"))
-    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.when(s.start >= state.at, F.concat(state.done, F.substring("text", (state.at + 1).cast("int"), (s.start - state.at).cast("int")), F.lit(mask))).otherwise(state.done)
-        return F.struct(gap.alias("done"), F.greatest(s.end, state.at).alias("at"))
-
-    masked = F.aggregate("_spans", start, step, lambda s: F.concat(s.done, F.substring("text", (s.at + 1).cast("int"), F.length("text"))))
-    rows = rows.withColumn("text", F.when(F.size("_spans") > 0, masked).otherwise(F.col("text"))).drop("_spans")
-    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
+    limits = threshold(written(scanned(docs, []).where(F.size("candidates") > 0).select("candidates"), "secret-candidates"))
+    rows = scanned(docs, docs.columns).select("kept", _all_spans(*limits).alias("spans"))
+    text = F.when(F.size("spans") > 0, masked(F.col("kept.text"), F.col("spans"), mask)).otherwise(F.col("kept.text"))
+    rows = rows.select("kept", text.alias("text"))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
+    return rows.select(*[new.get(c, F.col("kept").getField(c)).alias(c) for c in docs.columns])
 
 
 def _sorted(found: Column) -> Column:

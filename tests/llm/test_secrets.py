@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from dawnframe.llm import secrets
 
@@ -62,3 +63,38 @@ def test_keys_without_digits_are_found_and_long_words_left(spark):
 
 def test_empty_table(spark):
     assert scan(spark, []) == {}
+
+
+def brute_mask(text, found):
+    out, at = "", 0
+    for start, _, end in found:
+        if start >= at:
+            out += text[at:start] + "<SECRET>"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_masking_matches_brute_force_and_keeps_columns(spark):
+    rng = random.Random(31)
+    pieces = ["password = 'abcdef'", "secret=token: abcdefgh", "AKIA" + "Z9" * 10, "deadbeef" * 4, "é ", "word ", "ü😀" * 300, "token = " + "0f" * 900 + " ", "\n", "api_key=AKIA" + "Q7" * 12 + " "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(25))) for _ in range(80)] + [None, "", "x" * 1024 + "password=abcdefg", "y" * 1020 + "password=abcdefg" + "z" * 3000]
+    rows = [(i, t, "a", 1, 2, 3, 4) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _token string, base int, spans int, kept int, n_chars long")
+    found = secrets.redact(docs)
+    assert found.columns == docs.columns
+    for r in found.collect():
+        text = texts[r.doc_id]
+        if text is not None:
+            assert r.text == brute_mask(text, brute(text)), text
+            assert r.n_chars == len(r.text) and (r._token, r.base, r.spans, r.kept) == ("a", 1, 2, 3)
+
+
+def test_many_secrets_in_one_text_take_linear_time(spark):
+    seconds = []
+    for n in (4000, 16000):
+        docs = spark.createDataFrame([(1, f"password = hunter2hunter{'x' * 190}\n" * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert secrets.redact(docs).first().text == ("<SECRET>\n") * n
+        assert secrets.report(docs).first().n_assign == n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 60 and seconds[1] < 8 * seconds[0] + 10
