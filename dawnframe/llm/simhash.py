@@ -12,8 +12,8 @@ bit of a half: the anchor nearest to the one is within two bits of the other, so
 exact for any data, and an anchor collects 2^-27 of all fingerprints on average.
 
 Exact copies are one fingerprint before the search.  What meets at an anchor is compared in a stream over the
-sorted partition; a crowded anchor passes on a spanning forest of its links, never all pairs, and components are
-the same.
+sorted partition; a crowded anchor is split by the other half's bytes and passes on a spanning forest of its links, never all
+pairs, and components are the same.
 
 Defined results: null or blank text -> fingerprint zero; null ``doc_id`` rows keep their fingerprint and never
 lend their id to a component; repeated rows share a component; an empty table gives an empty table; further
@@ -100,6 +100,8 @@ def replicas(prints: DataFrame) -> DataFrame:
 
 #: Up to so many fingerprints an anchor passes on each of its links; beyond, a spanning forest of them.
 SMALL = 16
+#: An anchor with more fingerprints is split by the four bytes of their other half: of at most three differing bits none falls in one of them.
+CROWDED = 2048
 
 
 def _links(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +120,25 @@ def _links(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarra
         left.append(v[near])
         right.append(v[near + gap])
     for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        a, b = _forest(values[at : at + size], radius)
-        left.append(a)
-        right.append(b)
+        for part in _split(values[at : at + size], int(keys[at])):
+            a, b = _forest(part, radius)
+            left.append(a)
+            right.append(b)
     return np.concatenate([*left, np.empty(0, np.int64)]), np.concatenate([*right, np.empty(0, np.int64)])
 
 
+def _split(values: np.ndarray, anchor: int):
+    """The fingerprints of an anchor, in parts such that every link lies within some part."""
+    if len(values) <= CROWDED:
+        yield values
+        return
+    other = 32 if anchor >> 32 else 0  # the anchor covers one half; this is where the other one starts
+    for shift in range(other, other + 32, 8):
+        byte = (values >> shift) & 0xFF
+        order = np.argsort(byte, kind="stable")
+        yield from (p for p in np.split(values[order], np.flatnonzero(np.diff(byte[order])) + 1) if len(p) > 1)
+
+
 def _forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links of one anchor, by breadth-first search over what is not reached yet."""
     rest, left, right = values, [], []
@@ -184,10 +199,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id stands for their component; one row of each id.  Rows with a null id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    stays = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    kept = docs.join(stays, "doc_id")
-    once = kept.where("_copies = 1").select(docs.columns)
-    again = kept.where("_copies > 1").select(docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each component: a row of its least id.  Rows with a null id stay.
+
+    An id may name several documents, so what stays is a (doc_id, fingerprint), of repeated rows one.  Texts meet only the ids
+    that lose a row; these are written first, so that Spark knows their size and broadcasts them where they are few.
+    """
+    found = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull())
+    stays = F.col("component_id") == F.col("doc_id")
+    by_id = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.when(stays, F.col("fingerprint"))).alias("kept_print"))
+    losers = written(by_id.where("n > 1 or kept_print is null").select("doc_id", "kept_print"), "simhash-losers")
+    rest = docs.join(losers.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    shared = losers.where(F.col("kept_print").isNotNull())  # ids with several rows, one of which stays
+    if shared.isEmpty():
+        return rest
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.join(shared.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.struct(*columns).alias("row"), F.col("text").alias("text"))
+    printed = fingerprints(rows).select("doc_id", "row", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("print"))
+    own = printed.join(shared.withColumnRenamed("kept_print", "print"), ["doc_id", "print"])
+    one = own.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return rest.unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
