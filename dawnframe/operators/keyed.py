@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnframe.operators.topk import first_k
+from dawnframe.operators.topk import first_k, numbered
 
 
 def upsert(base: DataFrame, batch: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def partial_update(base: DataFrame, patch: DataFrame, key: str) -> tuple[DataFra
 def create(base: DataFrame, rows: DataFrame, keys: list[str], order: list) -> tuple[DataFrame, DataFrame]:
     """Rows with new keys, the first of each key; and those refused as duplicates."""
     nth = rows.join(base.select(*keys).withColumn("_there", F.lit(True)), keys, "left")
-    nth = first_k(nth, keys, order, k=2**31 - 1, rank="_nth") if order else nth
+    nth = numbered(nth, keys, order, "_nth")
     accepted = (F.col("_nth") == 1) & F.col("_there").isNull()
     return nth.where(accepted).select(*rows.columns), nth.where(~accepted).select(*rows.columns)
 

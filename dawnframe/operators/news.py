@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dawnframe.functions.exprs import strip
-from dawnframe.operators.topk import dedup_long_text, keep_first, ranked
+from dawnframe.operators.topk import dedup_long_text, keep_first, numbered, ranked
 
+#: Patterns and marks of the report texts.
 REF = r"#(\d+)\s*"
 SOURCE_REF = r"\[來源 #(\d+)\]"
 LINK_MARK = "🔗"
@@ -23,6 +24,13 @@ def union_feeds(feeds: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [f.withColumn("feed_order", F.lit(i)) for i, f in enumerate(feeds)])
 
 
+def order_feeds(rows: DataFrame, feed: str, order: list[str]) -> DataFrame:
+    """Rows of many feeds in one table: ``feed_order`` by the feed's name (from 0) and ``position`` within it (from 0)."""
+    names = rows.select(feed).distinct().select(feed, (F.row_number().over(Window.orderBy(feed)) - 1).alias("feed_order"))  # a row for each feed
+    placed = number_items(rows, feed, order).withColumn("position", F.col("n") - 1).drop("n")
+    return placed.join(names, feed)
+
+
 def dedup_titles(rows: DataFrame, section: str, title: str, order: list[str], row_id: str) -> DataFrame:
     """The earliest row of each section and lower-cased title; digests are shuffled, not titles."""
     return dedup_long_text(rows, [section], F.lower(title), order, row_id)
@@ -35,7 +43,7 @@ def dedup_urls(rows: DataFrame, url: str, order: list[str]) -> DataFrame:
 
 def number_items(rows: DataFrame, report: str, order: list[str]) -> DataFrame:
     """``n`` from 1 within each report, over sections in order."""
-    return ranked(rows, [report], [F.col(c) for c in order], "n")
+    return numbered(rows, [report], [F.col(c) for c in order], "n")
 
 
 def title_link_map(rows: DataFrame, title: str, link: str, order: str) -> DataFrame:
@@ -112,13 +120,9 @@ def fit_to_budget(text: Column, lead: str, budget: int = BUDGET) -> Column:
 
     A line that names the lead starts its section; the next line with a bold header ends it.
     """
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("lines"))
-
-    def step(state: Column, line: Column) -> Column:
-        inside = F.when(line.contains(lead), True).when(line.startswith("**"), False).otherwise(state.inside)
-        return F.struct(inside.alias("inside"), F.array_append(state.lines, F.when(inside, line).otherwise(F.regexp_replace(line, LINK, ""))).alias("lines"))
-
-    trimmed = F.aggregate(F.split(text, "\n", -1), start, step, lambda s: F.array_join(s.lines, "\n"))
+    heads = F.split(text, rf"\n(?=\*\*|[^\n]*\Q{lead}\E)", -1)  # sections: their first line decides for all
+    bare = lambda section: F.array_join(F.transform(F.split(section, "\n", -1), lambda x: F.regexp_replace(x, LINK, "")), "\n")
+    trimmed = F.array_join(F.transform(heads, lambda s: F.when(F.substring_index(s, "\n", 1).contains(lead), s).otherwise(bare(s))), "\n")
     return F.when(F.length(text) <= budget, text).when(F.length(trimmed) <= budget, trimmed).otherwise(F.regexp_replace(text, LINK, ""))
 
 

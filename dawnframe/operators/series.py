@@ -9,6 +9,8 @@ from dawnframe.functions.exprs import percent_change
 from dawnframe.operators.keyed import upsert
 from dawnframe.operators.topk import first_k
 
+#: Signs of the confirmation marks in a report.
+MARKS = {"agree": "✓", "disagree": "✗", "flat": "–"}
 WINDOW_ROWS = 252
 LEAST_ROWS = 20
 
@@ -125,6 +127,27 @@ def percent_text(x: Column) -> Column:
     return F.concat(F.when(x >= 0, "+").otherwise(""), F.format_string("%.1f%%", x))
 
 
+def confirmation_segment(label: Column, change: Column, mark: Column, stale: Column) -> Column:
+    """``Brent ✓ (+0.8%)``, with ``(stale)`` behind it where it is; ``Brent n/a`` without a window."""
+    sign = F.when(mark == "agree", MARKS["agree"]).when(mark == "disagree", MARKS["disagree"]).otherwise(MARKS["flat"])
+    known = F.concat(label, F.lit(" "), sign, F.lit(" ("), percent_text(change), F.lit(")"), F.when(F.coalesce(stale, F.lit(False)), " (stale)").otherwise(""))
+    return F.when(change.isNull(), F.concat(label, F.lit(" n/a"))).otherwise(known)
+
+
+def report_text(found: DataFrame, marks: DataFrame, lead: str, title: str) -> DataFrame:
+    """(``text``, ``status``) of the lead's report: title, warning, price, high, low, and the others' confirmation in their order.
+
+    ``found``: the snapshot of every symbol with ``stale`` and ``warning``; ``marks``: (symbol, change_pct, mark, stale) of the others.
+    """
+    lines = snapshot_text(found.where(F.col("symbol") == lead)).join(found.where(F.col("symbol") == lead).select("symbol", "stale", "warning"), "symbol")
+    segments = marks.select("symbol", confirmation_segment(F.col("symbol"), F.col("change_pct"), F.col("mark"), F.col("stale")).alias("segment"))
+    joined = segments.agg(F.array_join(F.array_sort(F.collect_list(F.struct("symbol", "segment")))["segment"], "   "))  # one short text for each symbol
+    warned = F.when(F.coalesce("warning", F.lit("")) != "", F.concat(F.lit("[WARN: "), F.col("warning"), F.lit("]")))
+    price = F.concat(F.col("line"), F.when(F.coalesce("stale", F.lit(False)), " (stale)").otherwise(""))
+    text = F.concat_ws("\n", F.lit(title), warned, price, F.concat(F.lit("  "), F.col("high_line")), F.concat(F.lit("  "), F.col("low_line")), F.concat(F.lit("確認："), joined.scalar()))
+    return lines.select("symbol", text.alias("text"), F.when(warned.isNotNull(), "degraded").otherwise("ok").alias("status"))
+
+
 def snapshot_text(found: DataFrame) -> DataFrame:
     """``symbol`` and the lines of its report: price, high and low."""
     return found.select(

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dawnframe.functions.exprs import first_filled
-from dawnframe.operators.topk import first_k, ranked
+from dawnframe.operators.topk import first_k, numbered
 
 HIGH_CONFIDENCE = 0.70
+#: Headers of a report's sections: agreed, diverged, one model only.
+SECTION_HEADERS = ["🎯 共識訊號", "⚠️ 分歧訊號", "📊 單一參考"]
 #: Lines of a daily summary that say nothing.
 BOILERPLATE = ["Market closed", "Daily analysis complete", "Tomorrow's outlook prepared"]
 
@@ -21,6 +23,7 @@ def merge_models(tickers: DataFrame, primary: DataFrame, backup: DataFrame, key:
     """One row for each ticker that a model answered: sentiment, confidence, reason, ``diverged``, ``n_models``.
 
     Both agree: mean confidence.  They disagree: the primary wins and the row is marked.  One only: that one.
+    ``primary_*`` and ``backup_*`` keep what each model said; null where it said nothing.
     """
     p = primary.select(key, F.lower("sentiment").alias("p_sent"), F.col("confidence").alias("p_conf"), F.col("reason").alias("p_reason"))
     b = backup.select(key, F.lower("sentiment").alias("b_sent"), F.col("confidence").alias("b_conf"), F.col("reason").alias("b_reason"))
@@ -35,12 +38,13 @@ def merge_models(tickers: DataFrame, primary: DataFrame, backup: DataFrame, key:
         F.coalesce(first_filled(F.col("p_reason"), F.col("b_reason")), F.lit("")).alias("reason"),
         (has_p & has_b & ~agree).alias("diverged"),
         (has_p.cast("int") + has_b.cast("int")).alias("n_models"),
+        *[F.when(has, F.col(f"{m}_{short}")).alias(f"{name}_{long}") for m, name, has in (("p", "primary", has_p), ("b", "backup", has_b)) for short, long in (("sent", "sentiment"), ("conf", "confidence"), ("reason", "reason"))],
     )
 
 
 def rank_signals(rows: DataFrame, report: str, position: str) -> DataFrame:
     """``rank`` within each report: diverged first, then by confidence, then in the given order."""
-    return ranked(rows, [report], [F.col("diverged").desc(), F.col("confidence").desc(), F.col(position)])
+    return numbered(rows, [report], [F.col("diverged").desc(), F.col("confidence").desc(), F.col(position)])
 
 
 def signal_section(rows: DataFrame) -> DataFrame:
@@ -48,6 +52,26 @@ def signal_section(rows: DataFrame) -> DataFrame:
     return rows.withColumn("section", F.when(F.col("diverged"), "diverged").otherwise("consensus"))
 
 
+def report_text(rows: DataFrame, report: str, ticker: str, position: str, label: dict[str, str]) -> DataFrame:
+    """(report, ``text``): the lines of each report's merged signals, by section and then in the given order.
+
+    Sections: agreed by two models, diverged (both answers, reasons cut at 70), one model only (reasons cut at 80); each has its
+    header, and a blank line before it unless it is the first.  A report is one text, so it holds the signals of one report only.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    percent = lambda c: F.concat(whole_percent(F.coalesce(c, F.lit(0.0))).cast("string"), F.lit("%"))
+    said = lambda c, short: F.concat(F.lit(" — "), F.substring(text(c), 1, short))
+    name = lambda c: label_map(F.coalesce(c, F.lit("")), label)
+    one = F.concat(F.lit("  • "), text(ticker), F.lit(" "), name(F.col("sentiment")), F.lit(" "), percent(F.col("confidence")), F.when(F.col("reason") != "", said("reason", 80)).otherwise(""))
+    both = [F.when(F.col(f"{m}_sentiment").isNotNull(), F.concat(F.lit(f"\n      {title}："), name(F.col(f"{m}_sentiment")), F.lit(" "), percent(F.col(f"{m}_confidence")), said(f"{m}_reason", 70))).otherwise("") for m, title in (("primary", "主模型"), ("backup", "備用模型"))]
+    section = F.when(F.col("diverged"), 1).when(F.col("n_models") == 2, 0).otherwise(2)
+    line = F.when(F.col("diverged"), F.concat(F.lit("  • "), text(ticker), *both)).otherwise(one)
+    lines = rows.select(report, section.alias("_s"), F.col(position).alias("_p"), line.alias("_line"))
+    parts = lines.groupBy(report, "_s").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_p", "_line")))["_line"], "\n").alias("_text"))
+    headed = F.concat(F.get(F.array(*[F.lit(h) for h in SECTION_HEADERS]), F.col("_s")), F.lit("\n"), F.col("_text"))
+    return parts.groupBy(report).agg(F.array_join(F.array_sort(F.collect_list(F.struct("_s", headed.alias("t"))))["t"], "\n\n").alias("text"))
+
+
 def top_signals(rows: DataFrame, report: str, position: str, k: int, reason: Column, alternative: Column) -> DataFrame:
     """The first ``k`` of each report in order, with the reason or else its alternative, cut at 80 characters."""
     kept = first_k(rows, [report], [F.col(position)], k, rank="rank")

@@ -9,12 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dawnframe.durable import written
+
 
 def ranked(rows: DataFrame, keys: list, order: list, rank: str = "rank") -> DataFrame:
     """``rows`` with their place (from 1) within the key."""
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list, rank: str = "rank", chunks: int = 64) -> DataFrame:
+    """``rows`` with their place (from 1) within the key, for keys that may hold any share of all rows.
+
+    Rows are dealt to ranges of (key, order) and numbered there; the places before a range are added from one row for each
+    (range, key).  The dealt rows are written out, since a second range shuffle may cut elsewhere.
+    """
+    dealt = rows.repartitionByRange(chunks, *keys, *order).withColumn("_range", F.spark_partition_id())
+    placed = written(dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))), "numbered")
+    sizes = placed.groupBy("_range", *keys).agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_from"))
+    same = [F.col("_range") == F.col("_r"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    return placed.join(starts, same).select(*rows.columns, (F.col("_from") + F.col("_n")).cast("long").alias(rank))
+
+
 def first_k(rows: DataFrame, keys: list, order: list, k: int = 1, rank: str = "_rank") -> DataFrame:
     """The first ``k`` rows of each key; every tie must be settled by ``order``."""
     kept = rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)

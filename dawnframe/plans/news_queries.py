@@ -20,18 +20,18 @@ def pages(spark, sf_dir):
 
 
 def raw_feeds(spark, sf_dir):
-    """One RSS text for each of a hundred slots of pages; the titles hold escaped marks already."""
+    """One RSS text for each forty pages; the titles hold escaped marks already."""
     rows = pages(spark, sf_dir)
     title = F.when(F.col("page_id") % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("title"), F.lit(" ")))
     link = F.when(F.col("page_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("<link>"), feeds.xml_text(F.col("url")), F.lit("</link>")))
     source = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<source>"), F.col("host"), F.lit("</source>"))).otherwise("")
     item = F.concat(F.lit("<item><title>"), title, F.lit("</title>"), link, source, F.lit("<pubDate>day "), F.col("page_id").cast("string"), F.lit("</pubDate></item>"))
-    slots = rows.groupBy((F.col("page_id") % 100).alias("feed")).agg(F.array_sort(F.collect_list(F.struct("page_id", item.alias("x")))).alias("r"))
+    slots = rows.groupBy(F.floor(F.col("page_id") / 40).alias("feed")).agg(F.array_sort(F.collect_list(F.struct("page_id", item.alias("x")))).alias("r"))
     body = F.concat(F.lit("<rss><channel>"), F.array_join(F.col("r.x"), ""), F.when(F.col("feed") == 7, "").otherwise("</channel></rss>"))
     return slots.select("feed", body.alias("raw"))
 
 
-ITEMS = f"""p AS (SELECT page_id, page_id % 100 AS feed, row_number() OVER (PARTITION BY page_id % 100 ORDER BY page_id) - 1 AS position, url,
+ITEMS = f"""p AS (SELECT page_id, page_id // 40 AS feed, row_number() OVER (PARTITION BY page_id // 40 ORDER BY page_id) - 1 AS position, url,
   replace(replace(replace(replace(trim({PAGE_TITLE}), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, {HOST} AS host FROM pages)"""
 
 
@@ -59,21 +59,14 @@ def a4(spark, sf_dir):
     return found.select("event_id", "k", "tag")
 
 
-FEED_ROWS = "(SELECT doc_id, source, lang, CAST(substr(source, 4) AS INT) AS feed_order, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM documents WHERE source IN ('src0', 'src1', 'src2'))"
-
-
-def section(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    parts = []
-    for source in ("src0", "src1", "src2"):
-        one = docs.where(F.col("source") == source).select("doc_id", "source", "lang", "text")
-        parts.append(news.number_items(one, "source", ["doc_id"]).withColumn("position", F.col("n") - 1).drop("n"))
-    return news.union_feeds(parts)
-
-
-@query("n1_union_feeds", f"SELECT doc_id, source, feed_order, position FROM {FEED_ROWS}")
+@query(
+    "n1_union_feeds",
+    """SELECT doc_id, source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INT) AS feed_order, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position
+    FROM documents WHERE source IS NOT NULL""",
+)
 def n1(spark, sf_dir):
-    return section(spark, sf_dir).select("doc_id", "source", "feed_order", "position")
+    rows = table(spark, sf_dir, "documents").where(F.col("source").isNotNull()).select("doc_id", "source")
+    return news.order_feeds(rows, "source", ["doc_id"]).select("doc_id", "source", "feed_order", "position")
 
 
 @query("n2_dedup_titles", "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, lower(text) ORDER BY source, doc_id) AS n FROM documents) SELECT doc_id, lang FROM r WHERE n = 1")
@@ -97,25 +90,26 @@ def n5(spark, sf_dir):
 
 
 def _ref_rows(spark, sf_dir):
-    n = (F.col("doc_id") % 7).cast("string")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.lit("- #"), n, F.lit("  "), F.col("source"), F.lit(" #999 x [來源 #"), n, F.lit("] y")).alias("body"))
+    """Whole texts with references to items of the language, some of them unknown."""
+    n, own = (F.col("doc_id") % 5000).cast("string"), F.replace(F.col("text"), F.lit("#"), F.lit("%"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.lit("- #"), n, F.lit("  | "), own, F.lit(" #0 x [來源 #"), n, F.lit("] y")).alias("body"))
 
 
 def _numbered(spark, sf_dir):
-    rows = news.number_items(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["doc_id"]).where("n <= 4")
+    rows = news.number_items(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["doc_id"])
     link = F.concat(F.lit("http://d/"), F.col("doc_id").cast("string"))
     return rows.select(F.col("lang").alias("report"), "n", F.when(F.col("n") == 3, "").otherwise(link).alias("link"))
 
 
-NUMBERED = "i AS (SELECT lang, n, doc_id AS item FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) WHERE n <= 4)"
+NUMBERED = "i AS (SELECT lang, n, doc_id AS item FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents))"
 
 
 @query(
     "n6_resolve_refs",
     f"""WITH {NUMBERED}
-    SELECT d.doc_id, d.lang, '- ' || CASE WHEN i.n IS NULL OR i.n = 3 THEN '' ELSE '[🔗](http://d/' || i.item || ') ' END || source || ' x [來源 ' ||
+    SELECT d.doc_id, d.lang, '- ' || CASE WHEN i.n IS NULL OR i.n = 3 THEN '' ELSE '[🔗](http://d/' || i.item || ') ' END || '| ' || replace(text, '#', '%') || ' x [來源 ' ||
       CASE WHEN i.n IS NULL OR i.n = 3 THEN '' ELSE '[🔗](http://d/' || i.item || ') ' END || '] y' AS body
-    FROM documents d LEFT JOIN i ON i.lang = d.lang AND i.n = d.doc_id % 7""",
+    FROM documents d LEFT JOIN i ON i.lang = d.lang AND i.n = d.doc_id % 5000""",
 )
 def n6(spark, sf_dir):
     return news.resolve_refs(_ref_rows(spark, sf_dir), "doc_id", "lang", "body", _numbered(spark, sf_dir))
@@ -124,18 +118,18 @@ def n6(spark, sf_dir):
 @query(
     "n7_resolve_source_refs",
     f"""WITH {NUMBERED}
-    SELECT d.doc_id, d.lang, '- #' || d.doc_id % 7 || '  ' || source || ' #999 x ' || CASE WHEN i.n IS NULL THEN '[來源 #' || d.doc_id % 7 || ']' ELSE '[s' || i.n || '](http://d/' || i.item || ')' END || ' y' AS body
-    FROM documents d LEFT JOIN i ON i.lang = d.lang AND i.n = d.doc_id % 7""",
+    SELECT d.doc_id, d.lang, '- #' || d.doc_id % 5000 || '  | ' || replace(text, '#', '%') || ' #0 x ' || CASE WHEN i.n IS NULL THEN '[來源 #' || d.doc_id % 5000 || ']' ELSE '[s' || i.n || '](http://d/' || i.item || ')' END || ' y' AS body
+    FROM documents d LEFT JOIN i ON i.lang = d.lang AND i.n = d.doc_id % 5000""",
 )
 def n7(spark, sf_dir):
-    items = news.number_items(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["doc_id"]).where("n <= 4")
+    items = news.number_items(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["doc_id"])
     items = items.select(F.col("lang").alias("report"), "n", F.concat(F.lit("s"), F.col("n").cast("string")).alias("source"), F.concat(F.lit("http://d/"), F.col("doc_id").cast("string")).alias("url"))
     return news.resolve_source_refs(_ref_rows(spark, sf_dir), "doc_id", "lang", "body", items)
 
 
 @query(
     "n8_attach_links",
-    f"""WITH p AS (SELECT page_id, page_id % 25 AS report, {PAGE_TITLE} AS title, url FROM pages),
+    f"""WITH p AS (SELECT page_id, page_id // 100 AS report, {PAGE_TITLE} AS title, url FROM pages),
     k AS (SELECT report, title, arg_max(url, page_id) AS link, min(page_id) AS position FROM p WHERE title <> '' GROUP BY 1, 2),
     l AS (SELECT report, page_id AS line_no, CASE page_id % 3 WHEN 0 THEN '- ' || title WHEN 1 THEN '- more: ' || title ELSE title END AS line, CASE page_id % 3 WHEN 0 THEN trim(title) WHEN 1 THEN 'more: ' || trim(title) END AS t FROM p),
     x AS (SELECT l.*, e.link AS ex FROM l LEFT JOIN k e ON e.report = l.report AND e.title = l.t),
@@ -143,7 +137,7 @@ def n7(spark, sf_dir):
     SELECT report, x.line_no, line || coalesce(' [🔗](' || coalesce(ex, lo) || ')', '') AS line FROM x LEFT JOIN f USING (line_no)""",
 )
 def n8(spark, sf_dir):
-    rows = pages(spark, sf_dir).withColumn("report", F.col("page_id") % 25)
+    rows = pages(spark, sf_dir).withColumn("report", F.floor(F.col("page_id") / 100))
     kind = F.col("page_id") % 3
     line = F.when(kind == 0, F.concat(F.lit("- "), F.col("title"))).when(kind == 1, F.concat(F.lit("- more: "), F.col("title"))).otherwise(F.col("title"))
     items = rows.where("title <> ''").select("report", F.col("page_id").alias("position"), "title", F.col("url").alias("link"))
@@ -166,16 +160,16 @@ MESSAGE = """'**AI 人工智慧**' || chr(10) || '- ' || substr(t, 1, 20) || ' [
 
 @query(
     "n10_fit_to_budget",
-    f"""WITH d AS (SELECT doc_id, substr(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 1, 100 + doc_id % 60) AS t FROM documents), m AS (SELECT doc_id, t, {MESSAGE} AS full_text FROM d),
+    f"""WITH d AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z]+', ' ', 'g') AS t FROM documents), m AS (SELECT doc_id, t, {MESSAGE} AS full_text FROM d),
     c AS (SELECT doc_id, full_text, regexp_replace(full_text, '\\s*\\[🔗\\]\\(http://b/[0-9]+\\)\\s*', '', 'g') AS trimmed, regexp_replace(full_text, '\\s*\\[🔗\\]\\([^)]+\\)\\s*', '', 'g') AS bare FROM m)
-    SELECT doc_id, CASE WHEN length(full_text) <= 200 THEN full_text WHEN length(trimmed) <= 200 THEN trimmed ELSE bare END AS message FROM c""",
+    SELECT doc_id, CASE WHEN length(full_text) <= 1000 THEN full_text WHEN length(trimmed) <= 1000 THEN trimmed ELSE bare END AS message FROM c""",
 )
 def n10(spark, sf_dir):
-    t = F.substring(F.regexp_replace("text", "[^A-Za-z]+", " "), F.lit(1), (100 + F.col("doc_id") % 60).cast("int"))
+    t = F.regexp_replace("text", "[^A-Za-z]+", " ")
     n = F.col("doc_id").cast("string")
     full = F.concat(F.lit("**AI 人工智慧**\n- "), F.substring(t, 1, 20), F.lit(" [🔗](http://a/"), n, F.lit(")\n**Tech**\n- "), t, F.lit(" [🔗](http://b/"), n, F.lit(") end"))
     rows = table(spark, sf_dir, "documents").select("doc_id", full.alias("m"))
-    return rows.select("doc_id", news.fit_to_budget(F.col("m"), "AI 人工智慧", 200).alias("message"))
+    return rows.select("doc_id", news.fit_to_budget(F.col("m"), "AI 人工智慧", 1000).alias("message"))
 
 
 @query("n11_locale_route", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'zh-TW' ELSE 'en-US' END AS locale FROM documents")

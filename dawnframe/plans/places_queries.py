@@ -10,20 +10,20 @@ from dawnframe.sources import feeds
 from dawnframe.tables import table
 
 NOW = "2024-01-15 00:00:00"
-RECORDS = """r AS (SELECT 'u' || user_id AS location, CASE event_type WHEN 'view' THEN 'Wx' ELSE event_type END AS element, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS idx,
+RECORDS = """r AS (SELECT 'u' || user_id || '.' || event_id // 1000 AS location, CASE event_type WHEN 'view' THEN 'Wx' ELSE event_type END AS element, row_number() OVER (PARTITION BY user_id, event_id // 1000, event_type ORDER BY event_id) - 1 AS idx,
   CASE WHEN event_id % 13 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS start, 'v' || event_id AS value FROM events)"""
 CHOSEN = f"""c AS (SELECT location, coalesce(arg_min(idx, {{'g': abs(epoch(CAST(date_trunc('second', TRY_CAST(start AS TIMESTAMP)) AS TIMESTAMP)) - 28800 - epoch(TIMESTAMP '{NOW}')), 'i': idx}}) FILTER (start <> 'soon'), 0) AS idx FROM r WHERE element = 'Wx' GROUP BY location)"""
 
 
 def payloads(spark, sf_dir):
-    """A nested forecast payload for each user: an element for each event type, a time for each event."""
+    """A nested forecast payload for each user and thousand event ids: an element for each event type, a time for each event."""
     element = F.when(F.col("event_type") == "view", "Wx").otherwise(F.col("event_type"))
     start = F.when(F.col("event_id") % 13 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     value = F.struct(F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("parameterName"))
-    rows = table(spark, sf_dir, "events").select("user_id", element.alias("elementName"), F.struct("event_id", start.alias("startTime"), value.alias("parameter")).alias("t"))
-    times = rows.groupBy("user_id", "elementName").agg(F.array_sort(F.collect_list("t")).alias("time"))
-    place = times.groupBy("user_id").agg(F.collect_list(F.struct("elementName", "time")).alias("weatherElement"))
-    location = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("locationName"), "weatherElement")
+    rows = table(spark, sf_dir, "events").select(F.concat_ws(".", F.concat(F.lit("u"), F.col("user_id").cast("string")), F.floor(F.col("event_id") / 1000).cast("string")).alias("place"), element.alias("elementName"), F.struct("event_id", start.alias("startTime"), value.alias("parameter")).alias("t"))
+    times = rows.groupBy("place", "elementName").agg(F.array_sort(F.collect_list("t")).alias("time"))
+    place = times.groupBy("place").agg(F.collect_list(F.struct("elementName", "time")).alias("weatherElement"))
+    location = F.struct(F.col("place").alias("locationName"), "weatherElement")
     return place.select(F.to_json(F.struct(F.struct(F.array(location).alias("location")).alias("records"))).alias("raw"))
 
 
@@ -52,15 +52,16 @@ def g2(spark, sf_dir):
     return places.pivot_elements(records, chosen, "location", ["Wx", "click", "error", "purchase"])
 
 
-@query("g3_route_requests", "SELECT n_name AS name, CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN 'inside' ELSE 'outside' END AS route FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("g3_route_requests", "SELECT c_custkey, n_name AS name, CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN 'inside' ELSE 'outside' END AS route FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def g3(spark, sf_dir):
     nations = table(spark, sf_dir, "nation")
-    names = nations.select(F.concat(F.lit("  "), F.lower("n_name"), F.lit(" ")).alias("name"))
+    asked = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    names = asked.select("c_custkey", F.concat(F.lit("  "), F.lower("n_name"), F.lit(" ")).alias("name"))
     region = table(spark, sf_dir, "region").where(F.col("r_name").isin("ASIA", "EUROPE"))
     known = nations.join(region, nations.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("name"))
     inside, outside = places.route_requests(names, "name", known)
     both = inside.withColumn("route", F.lit("inside")).unionByName(outside.withColumn("route", F.lit("outside")))
-    return both.select(F.upper(F.trim("name")).alias("name"), "route")
+    return both.select("c_custkey", F.upper(F.trim("name")).alias("name"), "route")
 
 
 @query("g4_join_requested", "SELECT n_nationkey AS nation, coalesce(CAST(n AS VARCHAR), '資料無法取得') AS suppliers FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) ON s_nationkey = n_nationkey")

@@ -74,18 +74,19 @@ def q5(spark, sf_dir):
     return rows.select("user_id", quotes.index_or_nodata(index, F.array("place")).alias("index"))
 
 
-@query("q6_market_filter", "SELECT n_nationkey, n_name, r_name AS market FROM nation JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) = 'asia'")
+@query("q6_market_filter", "SELECT c_custkey, c_name, r_name AS market FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) = 'asia'")
 def q6(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return quotes.market_filter(rows.select("n_nationkey", "n_name", F.col("r_name").alias("market")), F.col("market"), "asia")
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return quotes.market_filter(rows.select("c_custkey", "c_name", F.col("r_name").alias("market")), F.col("market"), "asia")
 
 
 @query(
     "q7_parse_ticker_list",
-    r"""WITH t AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(CASE WHEN doc_id % 11 = 0 THEN '' ELSE substr(regexp_replace(text, '[^a-z ]', ' ', 'g'), 1, 60) END, '\s+'), lambda x: x <> ''), lambda x: upper(x)) AS f FROM documents)
+    r"""WITH t AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(CASE WHEN doc_id % 11 = 0 THEN '' ELSE regexp_replace(text, '[^a-z ]', ' ', 'g') END, '\s+'), lambda x: x <> ''), lambda x: upper(x)) AS f FROM documents)
     SELECT doc_id, array_to_string(CASE WHEN len(f) > 0 THEN f ELSE ['AAPL', 'MSFT'] END, ' ') AS tickers FROM t""",
 )
 def q7(spark, sf_dir):
-    words = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.substring(F.regexp_replace("text", "[^a-z ]", " "), 1, 60))
+    words = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.regexp_replace("text", "[^a-z ]", " "))
     stored = F.concat(F.lit("signals:tickers: "), words)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(quotes.parse_ticker_list(stored, ["AAPL", "MSFT"]), " ").alias("tickers"))

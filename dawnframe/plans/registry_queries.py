@@ -112,12 +112,12 @@ def r10(spark, sf_dir):
 
 @query(
     "r11_create_plan",
-    """WITH n AS (SELECT p_partkey, p_brand || ' ' || p_type AS slug, p_partkey % 2 AS late FROM part), r AS (SELECT p_partkey, slug, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS nth FROM n WHERE late = 1)
-    SELECT p_partkey, CASE WHEN nth = 1 AND slug NOT IN (SELECT slug FROM n WHERE late = 0 AND p_partkey < 200) THEN 'created' ELSE 'rejected' END AS outcome FROM r""",
+    """WITH n AS (SELECT p_partkey, 's' || p_partkey // 3 AS slug, p_partkey % 2 AS late, p_size FROM part), r AS (SELECT p_partkey, slug, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS nth FROM n WHERE late = 1)
+    SELECT p_partkey, CASE WHEN nth = 1 AND slug NOT IN (SELECT slug FROM n WHERE late = 0 AND p_size < 25) THEN 'created' ELSE 'rejected' END AS outcome FROM r""",
 )
 def r11(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("slug"))
-    there, new = rows.where("p_partkey % 2 = 0 and p_partkey < 200").select("slug").distinct(), rows.where("p_partkey % 2 = 1")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("s"), F.floor(F.col("p_partkey") / 3).cast("string")).alias("slug"), "p_size")
+    there, new = rows.where("p_partkey % 2 = 0 and p_size < 25").select("slug").distinct(), rows.where("p_partkey % 2 = 1").drop("p_size")
     created, rejected = keyed.create(there, new, ["slug"], ["p_partkey"])
     return created.select("p_partkey", F.lit("created").alias("outcome")).unionByName(rejected.select("p_partkey", F.lit("rejected").alias("outcome")))
 
@@ -285,9 +285,9 @@ def _folder(spark, name):
     return f"{shared_folder(spark)}/dawnframe/{name}-{uuid.uuid4().hex}"
 
 
-@query("a6_dump_restore", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("a6_dump_restore", "SELECT * FROM orders", dates=("o_orderdate",))
 def a6(spark, sf_dir):
-    rows, path = table(spark, sf_dir, "nation"), _folder(spark, "dump")
+    rows, path = table(spark, sf_dir, "orders"), _folder(spark, "dump")
     logs.table_dump(rows, path)
     return logs.restore(spark, path, rows.schema)
 

@@ -53,7 +53,7 @@ EVENT_DAYS = "e AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS date, arg_m
 
 @query(
     "a1_chart_rows",
-    """SELECT event_type AS symbol, CAST(ts AS DATE) AS date, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY event_id) - 1 AS "order", CAST(floor(epoch(ts)) AS BIGINT) AS at, value AS close FROM events QUALIFY value IS NOT NULL""",
+    """SELECT event_type AS symbol, CAST(ts AS DATE) AS date, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE), event_id // 1000 ORDER BY event_id) - 1 AS "order", CAST(floor(epoch(ts)) AS BIGINT) AS at, value AS close FROM events QUALIFY value IS NOT NULL""",
     dates=("date",),
 )
 def a1(spark, sf_dir):
@@ -63,8 +63,8 @@ def a1(spark, sf_dir):
 
 @query("t5_fetch_latest", f"WITH {EVENT_DAYS} SELECT symbol, max(date) AS date, arg_max(close, date) AS close FROM e GROUP BY symbol", dates=('date',))
 def t5(spark, sf_dir):
-    days = charts.chart_rows(charts.packed_charts(table(spark, sf_dir, "events")))
-    return series.latest_row(series.daily_close(days, "symbol", "at", "close", "order"))
+    days = charts.chart_rows(charts.packed_charts(table(spark, sf_dir, "events")), "symbol", "slot").withColumn("seq", F.struct("slot", "order"))
+    return series.latest_row(series.daily_close(days, "symbol", "at", "close", "seq"))
 
 
 @query("t6_change_pct", f"WITH {CLOSES}, {LAST}, {CHANGE} SELECT symbol, round(chg, 6) AS change_pct FROM g")
@@ -158,3 +158,20 @@ def t13(spark, sf_dir):
 )
 def t14(spark, sf_dir):
     return series.snapshot_text(_even(series.metrics(series.window_last_n(closes(spark, sf_dir)))))
+
+
+@query(
+    "t14_report_text",
+    f"""WITH {CLOSES}, {LAST}, {EXTREMES}, m AS ({METRICS} FROM x), {STALE}, z AS (SELECT m.*, stale, (SELECT change_pct FROM m WHERE symbol = '{LEAD}') AS lead FROM m JOIN st USING (symbol)),
+    p AS (SELECT *, CASE WHEN change_pct >= 0 THEN '+' ELSE '' END || printf('%.1f', change_pct) || '%' AS t FROM z),
+    seg AS (SELECT string_agg(CASE WHEN change_pct IS NULL THEN symbol || ' n/a' ELSE symbol || ' ' || CASE WHEN change_pct = 0 OR lead = 0 THEN '–' WHEN (change_pct > 0) = (lead > 0) THEN '✓' ELSE '✗' END || ' (' || t || ')' || CASE WHEN stale THEN ' (stale)' ELSE '' END END, '   ' ORDER BY symbol) AS s FROM p WHERE symbol <> '{LEAD}')
+    SELECT symbol, 'Prices' || chr(10) || CASE WHEN stale THEN '[WARN: no close on the last day]' || chr(10) ELSE '' END || symbol || ': $' || printf('%.2f', current_close) || ' (' || t || ')' || CASE WHEN stale THEN ' (stale)' ELSE '' END || chr(10) ||
+      '  high $' || printf('%.2f', high_close) || ', ' || high_day || ', ' || rows_since_high || ' rows ago, ' || CASE WHEN from_high_pct >= 0 THEN '+' ELSE '' END || printf('%.1f', from_high_pct) || '%' || chr(10) ||
+      '  low $' || printf('%.2f', low_close) || ', ' || low_day || ', ' || rows_since_low || ' rows ago, ' || CASE WHEN off_low_pct >= 0 THEN '+' ELSE '' END || printf('%.1f', off_low_pct) || '%' || chr(10) || '確認：' || (SELECT s FROM seg) AS text,
+      CASE WHEN stale THEN 'degraded' ELSE 'ok' END AS status FROM p WHERE symbol = '{LEAD}'""",
+)
+def t14_report(spark, sf_dir):
+    found = _even(series.metrics(series.window_last_n(closes(spark, sf_dir)))).join(_stale(spark, sf_dir)[1].select("symbol", "stale"), "symbol")
+    found = found.withColumn("warning", F.when(F.col("stale"), "no close on the last day"))
+    marks = series.confirmation(found.select("symbol", "change_pct"), LEAD).join(found.select("symbol", "stale"), "symbol")
+    return series.report_text(found, marks, LEAD, "Prices")

@@ -14,7 +14,8 @@ p AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'bullish' ELSE 'bearish' END AS
 b AS (SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'bullish' ELSE 'bearish' END AS s, round(0.3 + (doc_id % 60) / 100.0, 4) AS c, source AS r FROM documents WHERE doc_id % 3 <> 0),
 m AS (SELECT t.doc_id, t.lang, coalesce(p.s, b.s) AS sentiment,
   CASE WHEN p.s = b.s THEN (p.c + b.c) / 2 WHEN p.s IS NOT NULL THEN p.c ELSE b.c END AS confidence, coalesce(nullif(p.r, ''), nullif(b.r, ''), '') AS reason,
-  coalesce(p.s <> b.s, false) AS diverged, CAST((p.s IS NOT NULL) AS INT) + CAST((b.s IS NOT NULL) AS INT) AS n_models
+  coalesce(p.s <> b.s, false) AS diverged, CAST((p.s IS NOT NULL) AS INT) + CAST((b.s IS NOT NULL) AS INT) AS n_models,
+  p.s AS primary_sentiment, p.c AS primary_confidence, p.r AS primary_reason, b.s AS backup_sentiment, b.c AS backup_confidence, b.r AS backup_reason
   FROM t LEFT JOIN p USING (doc_id) LEFT JOIN b USING (doc_id) WHERE p.s IS NOT NULL OR b.s IS NOT NULL)"""
 
 
@@ -31,7 +32,7 @@ def _even(rows):
     return rows.withColumn("confidence", F.round("confidence", 6))
 
 
-COLUMNS = "doc_id, lang, sentiment, round(confidence, 6) AS confidence, reason, diverged, n_models"
+COLUMNS = "doc_id, lang, sentiment, round(confidence, 6) AS confidence, reason, diverged, n_models, primary_sentiment, primary_confidence, primary_reason, backup_sentiment, backup_confidence, backup_reason"
 
 
 @query("s1_merge_models", f"WITH {MODELS_SQL} SELECT {COLUMNS} FROM m")
@@ -44,6 +45,23 @@ def s2(spark, sf_dir):
     return _even(signals.rank_signals(merged(spark, sf_dir), "lang", "doc_id"))
 
 
+NAMES = {"bullish": "看漲", "bearish": "看跌"}
+
+
+@query(
+    "s3_report_text",
+    f"""WITH {MODELS_SQL}, e AS (SELECT *, doc_id // 50 AS report, CASE WHEN diverged THEN 1 WHEN n_models = 2 THEN 0 ELSE 2 END AS sec FROM m),
+    n AS (SELECT report, sec, doc_id, CASE WHEN sec = 1 THEN '  • ' || doc_id || chr(10) || '      主模型：' || CASE primary_sentiment WHEN 'bullish' THEN '看漲' ELSE '看跌' END || ' ' || CAST(trunc(primary_confidence * 100) AS INT) || '% — ' || substr(primary_reason, 1, 70)
+      || chr(10) || '      備用模型：' || CASE backup_sentiment WHEN 'bullish' THEN '看漲' ELSE '看跌' END || ' ' || CAST(trunc(backup_confidence * 100) AS INT) || '% — ' || substr(coalesce(backup_reason, ''), 1, 70)
+      ELSE '  • ' || doc_id || ' ' || CASE sentiment WHEN 'bullish' THEN '看漲' ELSE '看跌' END || ' ' || CAST(trunc(confidence * 100) AS INT) || '%' || CASE WHEN reason <> '' THEN ' — ' || substr(reason, 1, 80) ELSE '' END END AS line FROM e),
+    g AS (SELECT report, sec, CASE sec WHEN 0 THEN '🎯 共識訊號' WHEN 1 THEN '⚠️ 分歧訊號' ELSE '📊 單一參考' END || chr(10) || string_agg(line, chr(10) ORDER BY doc_id) AS t FROM n GROUP BY 1, 2)
+    SELECT report, string_agg(t, chr(10) || chr(10) ORDER BY sec) AS text FROM g GROUP BY 1""",
+)
+def s3_report(spark, sf_dir):
+    rows = merged(spark, sf_dir).withColumn("report", F.floor(F.col("doc_id") / 50))
+    return signals.report_text(rows, "report", "doc_id", "doc_id", NAMES)
+
+
 @query("s3_signal_section", f"WITH {MODELS_SQL} SELECT CASE WHEN diverged THEN 'diverged' ELSE 'consensus' END AS section, n_models, count(*) AS n FROM m GROUP BY 1, 2")
 def s3(spark, sf_dir):
     return signals.signal_section(merged(spark, sf_dir)).groupBy("section", "n_models").agg(F.count("*").alias("n"))

@@ -61,6 +61,17 @@ def stream_status_rollup(stream: DataFrame, job: str, at: str, status: str, late
     return stream.withWatermark(at, late).groupBy(job, F.window(at, "1 day"), status).agg(F.count("*").alias("n"))
 
 
+def latest(result: DataFrame, path: str) -> DataFrame:
+    """A stream's whole result after everything there is, as Parquet: each micro-batch replaces the one before, none is collected."""
+    schema = result.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/v={batch_id}")
+
+    result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return read_snapshot(result.sparkSession, f"{path}/rows", schema)
+
+
 def drained(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over everything there is and write it as Parquet."""
     result.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
