@@ -10,18 +10,23 @@ Windows are laid only where the document has a shingle of some item: a window wi
 nothing is lost, and clean documents cost one pass over their words.  Within reach of such a place windows start at
 every word.
 
-The index is built from all items.  It is broadcast in blocks of at most ``BLOCK_CHARS`` characters of item text; a
+Of what the blocks list, only the items are compared that the document shares a shingle with, which loses nothing either.
+
+The index is built from all items, once in each Python worker.  Its items are broadcast in blocks of at most ``BLOCK_CHARS`` characters of item text; a
 larger benchmark is searched block after block over all documents.
 
 Defined results: an item with fewer than five words is one shingle of all its words; items and documents without
 words never match; a document shorter than an item is one window; null texts and ids match nothing or carry
-their null; repeated rows are reported for each row once per (document, item); ties keep the first window.
+their null; repeated rows are reported for each row once per (document, item); of equally similar windows the first is kept; an empty table
+of documents or items gives an empty result; columns of the input other than ``doc_id`` and ``text`` (``item_id`` and ``text``)
+are ignored by ``contaminations`` and kept by ``keep_uncontaminated``.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -92,7 +97,7 @@ class Index:
                 for block in range(BLOCKS):
                     for flip in near:
                         table[block].setdefault(int(own[block]) ^ flip, []).append(at)
-            self.shapes[shape] = numbers, prints, table
+            self.shapes[shape] = {int(n): at for at, n in enumerate(numbers)}, numbers, prints, [{value: frozenset(x) for value, x in t.items()} for t in table]
 
     @staticmethod
     def _keys(numbers: np.ndarray, k: int) -> np.ndarray:
@@ -124,10 +129,12 @@ class Index:
         if not words:
             return []
         wanted: dict[tuple[int, int], set[int]] = {}
+        shared: dict[tuple[int, int], set[int]] = {}  # by shape, the items that share a shingle with the text
         for number, places in self._touched(words):
             _, size, k, _ = self.items[number]
             last = max(0, len(words) - size)
             starts = wanted.setdefault((size, k), set())
+            shared.setdefault((size, k), set()).add(self.shapes[size, k][0][number])
             done = -1
             for place in places:
                 low = max(done + 1, place - size + k, 0)
@@ -135,7 +142,8 @@ class Index:
                 starts.update(range(min(low, last), done + 1))
         best: dict[int, tuple[float, int]] = {}
         for (size, k), starts in wanted.items():
-            numbers, prints, table = self.shapes[size, k]
+            _, numbers, prints, table = self.shapes[size, k]
+            own, none = frozenset(shared[size, k]), frozenset()
             runs = np.split(order := np.array(sorted(starts)), np.flatnonzero(np.diff(order) > 1) + 1)
             for run in runs:  # neighbouring windows share their shingles
                 first, stop = int(run[0]), int(run[-1]) + size
@@ -146,7 +154,7 @@ class Index:
                 sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(shingles), axis=0)])
                 windows = _prints(sums[run - first + width] - sums[run - first])
                 for at, window in zip((run - first).tolist(), windows, strict=True):
-                    found = {i for block in range(BLOCKS) for i in table[block].get(int(window[block]), ())}
+                    found = set().union(*(own & table[block].get(int(window[block]), none) for block in range(BLOCKS)))
                     for i in found:
                         if int(np.bitwise_count(window ^ prints[i]).sum()) <= RADIUS:
                             number = int(numbers[i])
@@ -161,6 +169,17 @@ def _similarity(a: Counter, b: Counter) -> float:
     return common / (a.total() + b.total() - common)
 
 
+_BUILT: dict[str, Index] = {}
+
+
+def _index(key: str, items: list) -> Index:
+    """The index of a block of items, kept by the worker for its next tasks; only the newest one."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Index(items)
+    return _BUILT[key]
+
+
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
     """The items in lists of about ``block_chars`` characters."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
@@ -177,8 +196,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLO
     for items in item_blocks(benchmark, block_chars):
         shared = spark.sparkContext.broadcast(items)
 
-        def run(batches, shared=shared):
-            index = Index(shared.value)
+        def run(batches, shared=shared, key=uuid.uuid4().hex):
+            index = _index(key, shared.value)
             for batch in pieces(batches):
                 rows = [(d, *hit) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for hit in index.search(t)]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -196,8 +215,8 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int
     for items in item_blocks(benchmark, block_chars):
         shared = spark.sparkContext.broadcast(items)
 
-        def run(batches, shared=shared):
-            index = Index(shared.value)
+        def run(batches, shared=shared, key=uuid.uuid4().hex):
+            index = _index(key, shared.value)
             for batch in pieces(batches):
                 yield batch.filter(pa.array([not index.search(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 

@@ -11,7 +11,7 @@ Scoring covers every row and whole texts.
 
 Defined results: a text without a known word (null and empty ones too) scores the training share of toxic
 texts; without any label every score is 0; several labels of one document count as their highest; repeated rows are scored one
-by one; further columns are ignored.
+by one; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dawnframe.llm.arrow import add_columns, pieces
-from dawnframe.llm.langid import held_out
+from dawnframe.llm.langid import FOLDS, held_out
 from dawnframe.llm.sampling import least_hashed
 
 BUCKETS = 1 << 20
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict[int, f
         return {}
     offset = math.log(((toxic or 0) + 1) / (n - (toxic or 0) + 1))
     shards = max(1, math.ceil(min(n, rows) / SHARD_ROWS))
+    shards += shards % FOLDS == 0  # folds go by the same hash, so that a shard would stay empty
 
     def learn(part: pa.Table) -> pa.Table:
         mixed = np.array([zlib.crc32(str(d).encode()) for d in part["doc_id"].to_pylist()])
