@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dawnframe.durable import written
+from dawnframe.durable import discard_since, mark, written
 from dawnframe.llm import decontaminate, langid, mixing, secrets, simhash
 from dawnframe.shipping import ship
 from dawnframe.tables import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is near no language's centroids go (no letters, or far from all training texts)."""
+    """Documents whose text is near no language's centroids go (no letters, or far from all training texts); a missing ``lang`` is filled in."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 
@@ -53,7 +53,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, start = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard_since(spark, start)  # the stage before, and what the operators wrote on the way
     return docs

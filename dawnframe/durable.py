@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Paths of the tables that ``written`` made and nobody has discarded, oldest first.
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,4 +33,19 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/dawnframe/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def mark() -> int:
+    """Where tables written from now on begin; for ``discard_since``."""
+    return len(_MADE)
+
+
+def discard_since(spark: SparkSession, start: int) -> None:
+    """Delete the tables written since a mark, but for the newest one; for a caller whose result no longer reads the others."""
+    gone = _MADE[start:-1]
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _MADE[start : start + len(gone)]

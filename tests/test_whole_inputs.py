@@ -34,3 +34,15 @@ def test_no_group_becomes_one_value(spark):
     assert "collect_set" not in plan("q5_index_or_nodata")
     below = plan("n13_extract_links").split("collect_list", 1)[1]
     assert "row_number()" in below  # what is collected are the first links by rank
+
+
+def test_written_tables_are_discarded_but_for_the_newest(spark):
+    from dawnframe import durable
+
+    start = durable.mark()
+    first, second, last = (durable.written(spark.range(n), "discard") for n in (1, 2, 3))
+    durable.discard_since(spark, start)
+    assert last.count() == 3 and durable.mark() == start + 1
+    for gone in (first, second):
+        with pytest.raises(Exception, match="exist|FileNotFound|FAILED_READ"):
+            gone.count()
