@@ -154,7 +154,7 @@ def lenient_json(rows: DataFrame, text: str, into: str = "object") -> DataFrame:
     """``rows`` with the JSON object that stands somewhere in ``text``, as JSON text; null if there is none.
 
     Fences go, then the outermost braces are tried as they are and without trailing commas, all in the engine.  Only
-    rows that still have braces and no object reach the scanner, in Arrow batches.
+    texts that still have braces and no object reach the scanner, in Arrow batches that hold null for the others.
     """
     scanner = F.pandas_udf(_scan_batch, "string")
     bare = F.regexp_replace(F.regexp_replace(F.trim(F.col(text)), r"^```[^\n]*\n", ""), r"\n```\s*$", "")
@@ -162,14 +162,13 @@ def lenient_json(rows: DataFrame, text: str, into: str = "object") -> DataFrame:
     clean = F.regexp_replace(span, r",\s*([}\]])", "$1")
     rows = rows.withColumns({"_bare": bare, "_span": span, "_clean": clean})
     whole = F.when(F.try_parse_json("_span").isNotNull(), F.col("_span")).when(F.try_parse_json("_clean").isNotNull(), F.col("_clean"))
-    rows = rows.withColumn(into, whole)
-    easy = rows.where(F.col(into).isNotNull() | F.col("_span").isNull())
-    hard = rows.where(F.col(into).isNull() & F.col("_span").isNotNull()).withColumn(into, scanner("_bare"))
-    return easy.unionByName(hard).drop("_bare", "_span", "_clean")
+    rows = rows.withColumn("_whole", whole)
+    left = F.when(F.col("_whole").isNull() & F.col("_span").isNotNull(), F.col("_bare"))
+    return rows.withColumn(into, F.coalesce("_whole", scanner(left))).drop("_bare", "_span", "_clean", "_whole")
 
 
 def _scan_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(scan_object)
+    return texts.map(scan_object, na_action="ignore")
 
 
 def model_output_rows(rows: DataFrame, object_text: str, keys: list[str]) -> DataFrame:

@@ -38,8 +38,9 @@ def o1(spark, sf_dir):
     path = _folder(spark, "series")
     # A file's place in the stream follows no order of events, so the last write is told by the event's number.
     schema = "symbol string, date date, user_id long, close double, event_id long"
-    polls.stream_upsert_series(stream, path, _folder(spark, "offsets"), ("symbol", "date", "user_id"), "event_id").awaitTermination()
-    found = polls.read_snapshot(spark, path, schema)
+    day = F.date_format("date", "yyyy-MM-dd")
+    polls.stream_upsert_series(stream, path, _folder(spark, "offsets"), ("symbol", "date", "user_id"), "event_id", day).awaitTermination()
+    found = polls.read_parts(spark, path, schema)
     return found.select("symbol", F.col("date").cast("string").alias("date"), "user_id", "close")
 
 

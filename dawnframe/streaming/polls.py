@@ -8,45 +8,93 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dawnframe.operators.keyed import upsert
 from dawnframe.operators.topk import first_k
 
+PART = "snapshot_part"
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, so any store works, and the maker of its paths."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, hadoop = _files(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(hadoop(path))] if fs.exists(hadoop(path)) else []
+
 
 def snapshot_versions(spark: SparkSession, path: str) -> list[int]:
-    """Completed versions under a path, by Hadoop's file system, so any store works."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return []
-    found = [re.fullmatch(r"v=(\d+)", s.getPath().getName()) for s in fs.listStatus(root)]
-    done = lambda m: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{m[0]}/_SUCCESS"))
-    return sorted(int(m[1]) for m in found if m and done(m))
+    """Completed versions under a path."""
+    fs, hadoop = _files(spark, path)
+    found = [re.fullmatch(r"v=(\d+)", n) for n in _names(spark, path)]
+    return sorted(int(m[1]) for m in found if m and fs.exists(hadoop(f"{path}/{m[0]}/_SUCCESS")))
+
+
+def snapshot_parts(spark: SparkSession, path: str, before: int | None = None) -> dict[str, list[int]]:
+    """The versions (below ``before``) that hold each part of a partitioned snapshot, oldest first."""
+    parts: dict[str, list[int]] = {}
+    for v in snapshot_versions(spark, path):
+        for name in _names(spark, f"{path}/v={v}") if before is None or v < before else ():
+            if name.startswith(f"{PART}="):
+                parts.setdefault(name, []).append(v)
+    return parts
+
+
+def read_parts(spark: SparkSession, path: str, schema, before: int | None = None, only: set[str] | None = None) -> DataFrame:
+    """The newest version of every part, or of some; an empty table if there is none."""
+    parts = snapshot_parts(spark, path, before)
+    found = [f"{path}/v={versions[-1]}/{part}" for part, versions in sorted(parts.items()) if only is None or part in only]
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
+def prune_parts(spark: SparkSession, path: str, before: int) -> None:
+    """Delete what later versions below ``before`` have replaced, and versions that hold nothing any more."""
+    fs, hadoop = _files(spark, path)
+    parts = snapshot_parts(spark, path, before)
+    for part, versions in parts.items():
+        for v in versions[:-1]:
+            fs.delete(hadoop(f"{path}/v={v}/{part}"), True)
+    current = {versions[-1] for versions in parts.values()}
+    for v in snapshot_versions(spark, path):
+        if v < before and v not in current:
+            fs.delete(hadoop(f"{path}/v={v}"), True)
 
 
 def read_snapshot(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
-    """The newest version (below ``before``); an empty table if there is none."""
+    """The newest version (below ``before``) of a snapshot without parts; an empty table if there is none."""
     versions = [v for v in snapshot_versions(spark, path) if before is None or v < before]
     return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
-def stream_upsert_series(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "date"), order: str = "seq") -> StreamingQuery:
+def stream_upsert_series(
+    stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "date"), order: str = "seq", part: Column | None = None
+) -> StreamingQuery:
     """Every micro-batch is a poll that is merged into the snapshot: the row with the largest ``order`` wins on the keys.
 
-    ``order`` tells which write is the last, so polls may arrive in any order and twice.
+    ``order`` tells which write is the last, so polls may arrive in any order and twice.  The snapshot is kept in parts, by
+    ``part`` (a text of letters, digits and dashes made from the keys; without one there is a single part).  A poll rewrites the parts
+    that it touches and no other.  What it replaced goes when the next poll begins: until then a retry needs it, and
+    readers have that long to finish.  Read the result with ``read_parts``.
     """
     schema = stream.schema
+    of = F.lit("all") if part is None else F.coalesce(part, F.lit("none"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        base = read_snapshot(batch.sparkSession, path, schema, before=batch_id)
+        spark = batch.sparkSession
+        prune_parts(spark, path, batch_id)
         newest = first_k(batch, list(keys), [F.col(order).desc()])
+        touched = {f"{PART}={r[0]}" for r in batch.select(of).distinct().collect()}  # the parts of one poll
+        base = read_parts(spark, path, schema, before=batch_id, only=touched)
         older = base.join(newest.select(*keys, F.col(order).alias("_order")), list(keys)).where(F.col(order) > F.col("_order"))
         newest = newest.join(older.select(*keys), list(keys), "left_anti")
-        upsert(base, newest, list(keys)).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        merged = upsert(base, newest, list(keys)).withColumn(PART, of).hint("rebalance", PART)  # few files a part, large parts split
+        merged.write.mode("overwrite").partitionBy(PART).parquet(f"{path}/v={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -66,6 +114,10 @@ def latest(result: DataFrame, path: str) -> DataFrame:
     schema = result.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark, (fs, hadoop) = batch.sparkSession, _files(batch.sparkSession, path)
+        for v in snapshot_versions(spark, f"{path}/rows"):
+            if v < batch_id - 1:
+                fs.delete(hadoop(f"{path}/rows/v={v}"), True)
         batch.write.mode("overwrite").parquet(f"{path}/rows/v={batch_id}")
 
     result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
