@@ -10,7 +10,8 @@ the element holds most of the page's points and no article, main or article-name
 can't empty a page.  From the best container the
 way leads up to its article or main element, or else through parents that score alike.  What is reached is kept, with all
 beside it that has less than half its text in links or scores well, however short.  Of what is kept every block but lists
-of links is returned in page order: character references decoded, white space inside a block made one space, blocks joined by one space.
+of links is returned in page order: character references decoded, white space and line breaks inside a block made one space, blocks joined by one space; images, scripts and the like inside a
+line leave no space behind.
 
 Unclosed paragraphs, list items and cells are closed as browsers do; broken markup never fails.  A page is read in time
 proportional to its length, however deep its tags nest: totals are summed from the leaves up, open tags are found by name.
@@ -32,7 +33,12 @@ from dawnframe.llm.arrow import add_columns
 # Element names of HTML by role, and the class and id words of page furniture.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+BREAKS = {"br", "hr"}
+BLOCKS = {
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "colgroup", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "legend", "li", "listing",
+    "main", "menu", "nav", "ol", "optgroup", "option", "p", "plaintext", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+}
 CUT_TAGS = RAW | {"nav", "header", "footer", "aside", "button", "select", "option", "input", "fieldset", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "head"}
 CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 FURNITURE = set(
@@ -79,11 +85,21 @@ class _Node:
         self.score = 0.0  # points passed up by paragraphs
         self.size = self.linked = self.links = 0  # characters below, those in links, and links
         self.own = self.commas = 0  # of a block: its own characters and commas
-        self.block = self if tag not in INLINE else up.block  # the block that its text belongs to
+        self.block = self if _encloses(tag) else up.block  # the block that its text belongs to
         self.ended = False  # a link whose end tag came while blocks inside it were open
         self.below = []
 
 
+def _inline(tag: str) -> bool:
+    """Whether an element stands within a line; those that pages define themselves (with a dash) count as blocks."""
+    return tag not in BLOCKS and tag != "#" and "-" not in tag
+
+
+def _encloses(tag: str) -> bool:
+    """Whether what stands in an element belongs to it alone: blocks, and what is cut within a line (buttons, drawings)."""
+    return tag in CUT_TAGS or not _inline(tag)
+
+
 def _furniture(names: str) -> tuple[bool, bool, bool]:
     """Whether class and id names say page furniture, reader comments, or article."""
     cut = reader = good = False
@@ -113,7 +129,7 @@ def _node(tag: str, rest: str, up: _Node, depth: int) -> _Node:
             soft |= named and not good
             cut |= found.get("role", "").lower() in CUT_ROLES
             cut |= found.get("aria-hidden") == "true" or bool(_STYLED_AWAY.search(found.get("style", ""))) or bool(_HIDDEN.search(_ATTRIBUTE.sub(" ", rest)))
-        weight += 25.0 * (good and tag not in INLINE)
+        weight += 25.0 * (good and not _inline(tag))
     return _Node(tag, up, depth, cut, soft, reader, weight)
 
 
@@ -134,7 +150,7 @@ def _read(page: str):
         for n in stack[depth:]:
             opened[n.tag].pop()
             link -= n.tag == "a" and not n.ended
-            if n.tag not in INLINE:
+            if not _inline(n.tag):
                 parts.append(None)
         del stack[depth:]
 
@@ -146,18 +162,22 @@ def _read(page: str):
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)  # a comment without an end hides the rest
+                break
             continue
         if m[1]:
             depth = deepest((tag,))
-            if depth and (tag not in INLINE or depth > stack[-1].block.depth):
+            if depth and (_encloses(tag) or depth > stack[-1].block.depth):
                 close_to(depth)
             elif depth and tag == "a" and not stack[depth].ended:
                 stack[depth].ended, link = True, link - 1
-            elif tag not in INLINE:
+            elif not _inline(tag):
                 parts.append(None)
             continue
         if tag in VOID:
-            parts.append(None)
+            if tag in BREAKS:
+                parts.append(None)
             continue
         if tag in RAW:
             if tag not in stops or (stops[tag] is not None and stops[tag].start() < at):
@@ -166,13 +186,12 @@ def _read(page: str):
             if m[0].endswith("/>") and (stop is None or _AGAIN[tag].search(page, at, stop.start())):
                 continue  # written as an empty element, and without an end tag of its own
             at = stop.end() if stop else len(page)
-            parts.append(None)
             if at >= end:
                 break
             continue
-        if tag not in INLINE:
+        if not _inline(tag):
             block = stack[-1].block  # an open paragraph or heading ends where the next block begins
-            if block.tag == "p" or (block.tag == tag and tag in HEADINGS):
+            if tag in BLOCKS and (block.tag == "p" or (block.tag == tag and tag in HEADINGS)):
                 close_to(block.depth)
             while tag in CLOSES and (depth := deepest(CLOSES[tag])) > deepest(CLOSE_LIMIT[tag]):
                 close_to(depth)
@@ -292,7 +311,7 @@ def main_text(page: str | None) -> str:
     parts = _score(nodes, parts)
     kept, beside = set(), None
     if nodes[0].size:
-        best = max((n for n in nodes if n.size and n.tag not in INLINE), key=_value)
+        best = max((n for n in nodes if n.size and not _inline(n.tag)), key=_value)
         best_score = _value(best)
         if best_score <= 0:
             return ""

@@ -247,6 +247,32 @@ def test_page_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("super<wbr>cali", "supercali"),
+        ("word<img src=x>.", "word."),
+        ("word<script>x()</script>, more", "word, more"),
+        ("word<svg><path d='x'/><title>t</title></svg>, more", "word, more"),
+        ("word<button>press</button>, more", "word, more"),
+        ("E=<math><mi>m</mi><mo>c</mo></math>.", "E=mc."),
+        ("a<o:p>b</o:p>c", "abc"),
+        ("a<br>b", "a b"),
+        ("one<hr>two", "one two"),
+        ("a <x-name>b</x-name> c", "a b c"),
+        ("x<select><option>1<option>2</select>y", "x y"),
+        ("a<picture><source srcset=x><img src=y></picture>b", "ab"),
+    ],
+)
+def test_what_stands_within_a_line_leaves_no_space(inner, want):
+    text = "A paragraph, with commas, and length enough to count as the article's text."
+    assert html.main_text(f"<article><p>{text}</p><p>{inner}</p><p>{text}</p></article>") == f"{text} {want} {text}"
+
+
+def test_a_comment_without_an_end_hides_the_rest():
+    assert html.main_text("<p>shown</p><!-- a > b") == "shown"
+
+
 LONG_P, SHORT_P = "a, b, c, d, e, " + "word " * 57, "Short one."
 
 
