@@ -21,14 +21,14 @@ def list_keys(base: DataFrame, key: str) -> DataFrame:
     return base.select(key).orderBy(key)
 
 
-def record_history(history: DataFrame, batch: DataFrame, order: list[str], chunks: int = 64) -> DataFrame:
+def record_history(history: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     """``history`` with the batch appended; new ids follow the largest one in the batch's order.
 
-    The batch is range-partitioned by its order; ids are the partition's offset plus the place in it, so no task sees
+    The batch is range-partitioned by its order, into the session's number of shuffle partitions; ids are the partition's offset plus the place in it, so no task sees
     the whole batch.  The numbered batch is written out, since a second range shuffle may cut elsewhere.  The offsets
     are one row for each partition.
     """
-    dealt = batch.repartitionByRange(chunks, *order).withColumn("_p", F.spark_partition_id())
+    dealt = batch.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     placed = written(dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order))), "numbered")
     counts = placed.groupBy("_p").agg(F.count("*").alias("_size"))
     before = counts.withColumn("_from", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

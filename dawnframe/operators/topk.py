@@ -17,13 +17,13 @@ def ranked(rows: DataFrame, keys: list, order: list, rank: str = "rank") -> Data
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list, rank: str = "rank", chunks: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list, rank: str = "rank") -> DataFrame:
     """``rows`` with their place (from 1) within the key, for keys that may hold any share of all rows.
 
-    Rows are dealt to ranges of (key, order) and numbered there; the places before a range are added from one row for each
+    Rows are dealt to ranges of (key, order), as many as the session has shuffle partitions, and numbered there; the places before a range are added from one row for each
     (range, key).  The dealt rows are written out, since a second range shuffle may cut elsewhere.
     """
-    dealt = rows.repartitionByRange(chunks, *keys, *order).withColumn("_range", F.spark_partition_id())
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
     placed = written(dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))), "numbered")
     sizes = placed.groupBy("_range", *keys).agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -46,3 +46,29 @@ def test_written_tables_are_discarded_but_for_the_newest(spark):
     for gone in (first, second):
         with pytest.raises(Exception, match="exist|FileNotFound|FAILED_READ"):
             gone.count()
+
+
+def test_only_the_own_threads_tables_are_discarded(spark):
+    import threading
+
+    from dawnframe import durable
+
+    others = []
+    start = durable.mark()
+    durable.written(spark.range(1), "own")
+    thread = threading.Thread(target=lambda: others.append(durable.written(spark.range(4), "other")))
+    thread.start()
+    thread.join()
+    durable.written(spark.range(2), "own")
+    durable.discard_since(spark, start)
+    assert others[0].count() == 4 and durable.mark() == start + 1
+
+
+def test_hot_keys_are_numbered_over_all_partitions(spark):
+    from dawnframe.operators.topk import numbered
+
+    rows = spark.range(0, 5000, 1, 7).selectExpr("CASE WHEN id % 3 < 2 THEN 'hot' WHEN id % 2 = 0 THEN NULL ELSE concat('k', id % 11) END AS k", "id * 7919 % 5003 AS v")
+    got = {(r.k, r.v): r.n for r in numbered(rows, ["k"], [F.col("v").desc()], "n").collect()}
+    pairs = [(r.k, r.v) for r in rows.collect()]
+    want = {(k, v): n for k in {k for k, _ in pairs} for n, v in enumerate(sorted((v for o, v in pairs if o == k), reverse=True), 1)}
+    assert got == want
