@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dawnframe.llm import chat, chat_sql, decontaminate, html, langid, mixing, pii, quality, secrets, simhash, toxicity
+from dawnframe.llm import chat, chat_sql, decontaminate, html, langid, mixing, pii, quality, repair, secrets, sharding, simhash, toxicity, whitening
 from dawnframe.tables import table
 
 
@@ -50,6 +50,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.manifest(table(spark, sf_dir, "documents"), sharding.even())
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -61,6 +73,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_html_text": op10_html_text,
+    "op11_whitening": op11_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
