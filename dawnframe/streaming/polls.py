@@ -1,127 +1,104 @@
 """Structured Streaming forms of the polling jobs.
 
-Batches of an upsert go to versioned snapshots: ``<path>/v=<batch id>``.  A batch that is run again after a failure
-writes the same version from the same predecessor, so results don't depend on retries.
+Streams that change a table write change parts (``changes``); the others keep their state in Spark and append.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dawnframe.operators.keyed import upsert
 from dawnframe.operators.topk import first_k
+from dawnframe.streaming import changes
 
-PART = "snapshot_part"
 
+def _newest(keys: tuple[str, ...], order: str) -> changes.Merge:
+    return lambda rows: first_k(rows, list(keys), [F.col(order).desc()])
 
-def _files(spark: SparkSession, path: str):
-    """Hadoop's file system of a path, so any store works, and the maker of its paths."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
+def stream_upsert_series(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "date"), order: str = "seq", ratio: float = changes.RATIO) -> StreamingQuery:
+    """Every micro-batch is a poll that is merged into the table: the row with the largest ``order`` wins on the keys.
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    fs, hadoop = _files(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(hadoop(path))] if fs.exists(hadoop(path)) else []
+    ``order`` tells which write is the last, so polls may arrive in any order and twice.  A poll writes its own rows;
+    ``ratio`` says when the table is compacted.  Read the result with ``read_series``.
+    """
+    write = lambda batch, batch_id: changes.change(batch, path, batch_id, _newest(keys, order), ratio)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot_versions(spark: SparkSession, path: str) -> list[int]:
-    """Completed versions under a path."""
-    fs, hadoop = _files(spark, path)
-    found = [re.fullmatch(r"v=(\d+)", n) for n in _names(spark, path)]
-    return sorted(int(m[1]) for m in found if m and fs.exists(hadoop(f"{path}/{m[0]}/_SUCCESS")))
+def read_series(spark: SparkSession, path: str, schema, keys: tuple[str, ...] = ("symbol", "date"), order: str = "seq") -> DataFrame:
+    """What ``stream_upsert_series`` wrote."""
+    return changes.read(spark, path, schema, _newest(keys, order))
 
 
-def snapshot_parts(spark: SparkSession, path: str, before: int | None = None) -> dict[str, list[int]]:
-    """The versions (below ``before``) that hold each part of a partitioned snapshot, oldest first."""
-    parts: dict[str, list[int]] = {}
-    for v in snapshot_versions(spark, path):
-        for name in _names(spark, f"{path}/v={v}") if before is None or v < before else ():
-            if name.startswith(f"{PART}="):
-                parts.setdefault(name, []).append(v)
-    return parts
+def _last(keys: list[str], at: str, fields: list[str]) -> changes.Merge:
+    def merge(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy(*keys).agg(F.max(F.struct(at, *fields)).alias("_last"), F.min("first_at").alias("first_at"))
+        return found.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in (at, *fields)], "first_at")
 
+    return merge
 
-def read_parts(spark: SparkSession, path: str, schema, before: int | None = None, only: set[str] | None = None) -> DataFrame:
-    """The newest version of every part, or of some; an empty table if there is none."""
-    parts = snapshot_parts(spark, path, before)
-    found = [f"{path}/v={versions[-1]}/{part}" for part, versions in sorted(parts.items()) if only is None or part in only]
-    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
+def stream_latest_status(stream: DataFrame, path: str, checkpoint: str, keys: list[str], at: str, started: str, fields: list[str], ratio: float = changes.RATIO) -> StreamingQuery:
+    """Every micro-batch adds the last heartbeat of each of its keys; beats may arrive in any order.  Read with ``read_latest_status``.
 
-def prune_parts(spark: SparkSession, path: str, before: int) -> None:
-    """Delete what later versions below ``before`` have replaced, and versions that hold nothing any more."""
-    fs, hadoop = _files(spark, path)
-    parts = snapshot_parts(spark, path, before)
-    for part, versions in parts.items():
-        for v in versions[:-1]:
-            fs.delete(hadoop(f"{path}/v={v}/{part}"), True)
-    current = {versions[-1] for versions in parts.values()}
-    for v in snapshot_versions(spark, path):
-        if v < before and v not in current:
-            fs.delete(hadoop(f"{path}/v={v}"), True)
+    Keys that send nothing cost nothing: there is no state to go through, and a poll writes a row for each of its own keys.
+    """
+    rows = stream.select(*keys, at, *fields, F.col(started).alias("first_at"))
+    write = lambda batch, batch_id: changes.change(batch, path, batch_id, _last(keys, at, fields), ratio)
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_snapshot(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
-    """The newest version (below ``before``) of a snapshot without parts; an empty table if there is none."""
-    versions = [v for v in snapshot_versions(spark, path) if before is None or v < before]
-    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}") if versions else spark.createDataFrame([], schema)
+def read_latest_status(spark: SparkSession, path: str, schema, keys: list[str], at: str, fields: list[str]) -> DataFrame:
+    """Keys, last heartbeat with its fields, and the seconds since the first start; ``schema``: keys, at, fields, first_at."""
+    found = changes.read(spark, path, schema, _last(keys, at, fields))
+    elapsed = (F.unix_micros(at) - F.unix_micros("first_at")) / 1e6
+    return found.select(*keys, at, *fields, elapsed.alias("elapsed_sec"))
 
 
-def stream_upsert_series(
-    stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "date"), order: str = "seq", part: Column | None = None
-) -> StreamingQuery:
-    """Every micro-batch is a poll that is merged into the snapshot: the row with the largest ``order`` wins on the keys.
+def stream_dedup_items(stream: DataFrame, keys: list[str], at: str, horizon: str = "24 hours") -> DataFrame:
+    """The first processed row of each key within the horizon.
 
-    ``order`` tells which write is the last, so polls may arrive in any order and twice.  The snapshot is kept in parts, by
-    ``part`` (a text of letters, digits and dashes made from the keys; without one there is a single part).  A poll rewrites the parts
-    that it touches and no other.  What it replaced goes when the next poll begins: until then a retry needs it, and
-    readers have that long to finish.  Read the result with ``read_parts``.
+    A key is forgotten once the watermark passes its row's instant plus the horizon, and its next row comes back; rows at or before
+    the watermark are late and dropped.  The state holds the keys of about two horizons.
     """
-    schema = stream.schema
-    of = F.lit("all") if part is None else F.coalesce(part, F.lit("none"))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prune_parts(spark, path, batch_id)
-        newest = first_k(batch, list(keys), [F.col(order).desc()])
-        touched = {f"{PART}={r[0]}" for r in batch.select(of).distinct().collect()}  # the parts of one poll
-        base = read_parts(spark, path, schema, before=batch_id, only=touched)
-        older = base.join(newest.select(*keys, F.col(order).alias("_order")), list(keys)).where(F.col(order) > F.col("_order"))
-        newest = newest.join(older.select(*keys), list(keys), "left_anti")
-        merged = upsert(base, newest, list(keys)).withColumn(PART, of).hint("rebalance", PART)  # few files a part, large parts split
-        merged.write.mode("overwrite").partitionBy(PART).parquet(f"{path}/v={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def stream_dedup_items(stream: DataFrame, keys: list[str], at: str, horizon: str = "24 hours") -> DataFrame:
-    """The first processed row of each key within the horizon; later rows than the watermark are dropped."""
     return stream.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)
 
 
 def stream_status_rollup(stream: DataFrame, job: str, at: str, status: str, late: str = "1 day") -> DataFrame:
-    """Counts by job, day and status in daily windows; append mode emits a day once it can't change."""
+    """Counts by job, day and status in daily windows.  In append mode a day comes out once the watermark has passed it, and its state goes.
+
+    Rows of a day that has come out are late and don't count; ``late_rows`` tells how many.
+    """
     return stream.withWatermark(at, late).groupBy(job, F.window(at, "1 day"), status).agg(F.count("*").alias("n"))
 
 
-def latest(result: DataFrame, path: str) -> DataFrame:
-    """A stream's whole result after everything there is, as Parquet: each micro-batch replaces the one before, none is collected."""
-    schema = result.schema
+def late_rows(arrived: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """What closed windows counted (``n``) and how many of their rows came too late (``late``); ``arrived`` has every row's count (``read_tally``)."""
+    every = arrived.withColumnRenamed("n", "_all")
+    closed = counted.select("window").distinct()
+    found = every.join(closed, "window", "left_semi").join(counted, keys, "left")
+    return found.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), (F.col("_all") - F.coalesce("n", F.lit(0))).alias("late"))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("n"))
+
+
+def tally(stream: DataFrame, path: str, checkpoint: str, keys: list, ratio: float = changes.RATIO) -> StreamingQuery:
+    """Counts by ``keys`` of everything that arrives, late or not.  Read with ``read_tally``.
+
+    Each batch writes its own counts; a base holds every batch up to its own once, so sums don't change when a batch runs again.
+    """
+    ones = stream.select(*keys, F.lit(1).cast("long").alias("n"))
+    write = lambda batch, batch_id: changes.change(batch, path, batch_id, _summed, ratio)
+    return ones.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark, (fs, hadoop) = batch.sparkSession, _files(batch.sparkSession, path)
-        for v in snapshot_versions(spark, f"{path}/rows"):
-            if v < batch_id - 1:
-                fs.delete(hadoop(f"{path}/rows/v={v}"), True)
-        batch.write.mode("overwrite").parquet(f"{path}/rows/v={batch_id}")
 
-    result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return read_snapshot(result.sparkSession, f"{path}/rows", schema)
+def read_tally(spark: SparkSession, path: str, schema) -> DataFrame:
+    """``schema``: the keys and n."""
+    return changes.read(spark, path, schema, _summed)
 
 
 def drained(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -88,29 +88,13 @@ def _polled(spark, tmp_path, rows, polls_of):
     return frame.schema, spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
 
-@pytest.mark.parametrize("by_day", [False, True])
-def test_streamed_upsert_equals_the_batch_form(spark, tmp_path, by_day):
+@pytest.mark.parametrize("ratio", [0.0, 1.0, 1e9])
+def test_streamed_upsert_equals_the_batch_form(spark, tmp_path, ratio):
     rng = random.Random(6)
     rows = [(rng.choice("AB"), rng.randrange(5) or None, float(i), i) for i in range(60)]
     schema, stream = _polled(spark, tmp_path, rows, F.col("seq") % 3)
-    path, part = str(tmp_path / "series"), F.concat(F.lit("d"), F.col("date").cast("string")) if by_day else None
-    polls.stream_upsert_series(stream.where("date is not null"), path, str(tmp_path / "offsets"), part=part).awaitTermination()
-    found = polls.read_parts(spark, path, schema).collect()
+    path = str(tmp_path / "series")
+    polls.stream_upsert_series(stream.where("date is not null"), path, str(tmp_path / "offsets"), ratio=ratio).awaitTermination()
+    found = polls.read_series(spark, path, schema).collect()
     want = {(s, d): c for s, d, c, _ in rows if d is not None}
     assert {(r.symbol, r.date): r.close for r in found} == want and len(found) == len(want)
-    assert len(polls.snapshot_parts(spark, path)) == (4 if by_day else 1)
-
-
-def test_polls_rewrite_only_their_parts_and_old_versions_go(spark, tmp_path):
-    rows = [(s, 10 * p + d, float(p), 10 * p + d) for s in "AB" for p in range(3) for d in range(3)] + [("A", 0, 9.0, 99)]
-    schema, stream = _polled(spark, tmp_path, rows, F.when(F.col("seq") == 99, 2).otherwise(F.floor(F.col("seq") / 10)))
-    path, day = str(tmp_path / "series"), F.concat(F.lit("d"), F.col("date").cast("string"))
-    polls.stream_upsert_series(stream, path, str(tmp_path / "offsets"), part=day).awaitTermination()
-    parts = polls.snapshot_parts(spark, path)
-    assert len(parts) == 9 and sum(map(len, parts.values())) == 10  # only what the poll of day 0 alone came after has two versions
-    assert len(parts[f"{polls.PART}=d0"]) == 2
-    polls.prune_parts(spark, path, 3)
-    assert all(len(v) == 1 for v in polls.snapshot_parts(spark, path).values())
-    found = {(r.symbol, r.date): r.close for r in polls.read_parts(spark, path, schema).collect()}
-    assert found == {(s, d): c for s, d, c, _ in sorted(rows, key=lambda r: r[3])}
-    assert {r.date for r in polls.read_parts(spark, path, schema, only={f"{polls.PART}=d11"}).collect()} == {11}
