@@ -3,6 +3,11 @@
 A change set is usually far smaller than its table.  Upserts keep the untouched part by an anti-join on the key (a
 broadcast when the change set is small) and append the new rows, so the table isn't sorted.  Operators that can refuse
 a change return the accepted rows and the refused ones.
+
+A key may be in a change set several times.  ``order`` then names the columns that tell which change came before which (all
+columns, where it isn't given; changes that agree in every column are one change), and each operator says which of them counts: keys of a
+table stay unique.  What counts is found by a partial aggregate, so a key with any share of all changes sends few rows.
+Null is a key like any other.
 """
 
 from __future__ import annotations
@@ -10,28 +15,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnframe.operators.topk import first_k, numbered
+from dawnframe.operators.topk import first_k
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on null-safe keys that keeps the left side's."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    found = left.join(renamed, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], how)
+    return found.drop(*[f"_key_{k}" for k in keys])
+
+
+def _place(changes: DataFrame, order: list[str] | None) -> Column:
+    """A change's place among those of its key: greater is later."""
+    return F.struct(*(order or changes.columns))
+
+
+def last_of_each(changes: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The last change of each key."""
+    fields = [c for c in changes.columns if c not in keys]
+    found = changes.groupBy(*keys).agg(F.max(F.struct(_place(changes, order).alias("_place"), *fields)).alias("_last"))
+    return found.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in changes.columns])
 
 
 def upsert(base: DataFrame, batch: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
-    """``base`` with the rows of ``batch``; the batch wins, and within it the last by ``order``."""
-    last = first_k(batch, keys, order) if order else batch
+    """``base`` with the rows of ``batch``; the batch wins, and within it the first by ``order`` (columns such as ``F.col("seq").desc()``)."""
+    last = first_k(batch, keys, order) if order else last_of_each(batch, keys)
     last = last.select(*base.columns)
-    return base.join(last.select(*keys), keys, "left_anti").unionByName(last)
+    return _matched(base, last.select(*keys), keys, "left_anti").unionByName(last)
 
 
-def upsert_entity(base: DataFrame, batch: DataFrame, key: str, now: Column, cleared: tuple[str, ...] = ()) -> DataFrame:
-    """Insert or replace; ``created_at`` stays that of the first insert, ``updated_at`` becomes ``now``.
+def upsert_entity(base: DataFrame, batch: DataFrame, key: str, now: Column, cleared: tuple[str, ...] = (), order: list[str] | None = None) -> DataFrame:
+    """Insert or replace by the last change of each key; ``created_at`` stays that of the first insert, ``updated_at`` becomes ``now``.
 
     ``cleared`` columns become null on every row that the batch touches.
     """
+    last = last_of_each(batch, [key], order)
     old = base.select(F.col(key), F.col("created_at").alias("_created"))
     fields = [c for c in base.columns if c not in (key, "created_at", "updated_at", *cleared)]
-    new = batch.join(old, key, "left").select(
+    new = _matched(last, old, [key], "left").select(
         key, *fields, *[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in cleared],
         F.coalesce("_created", now).alias("created_at"), now.alias("updated_at"),
     )
-    return base.join(batch.select(key), key, "left_anti").unionByName(new)
+    return _matched(base, last.select(key), [key], "left_anti").unionByName(new)
 
 
 def lookup(keys: DataFrame, base: DataFrame, key: str) -> DataFrame:
@@ -45,26 +70,28 @@ def delete_cascade(parent: DataFrame, child: DataFrame, gone: DataFrame, key: st
     return parent.join(dropped, key, "left_anti"), child.join(dropped.withColumnRenamed(key, child_key), child_key, "left_anti")
 
 
-def partial_update(base: DataFrame, patch: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``base`` with the set (non-null) fields of ``patch``; and the patches of unknown keys."""
-    fields = [c for c in patch.columns if c != key]
-    renamed = patch.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields])
-    merged = base.join(renamed, key, "left").select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else c for c in base.columns])
-    return merged, patch.join(base.select(key), key, "left_anti")
+def partial_update(base: DataFrame, patch: DataFrame, key: str, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``base`` with the set (non-null) fields of ``patch``, the last that is set of each field; and the patches of unknown keys."""
+    fields = [c for c in patch.columns if c != key and c not in (order or ())]
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(_place(patch, order).alias("_place"), F.col(c).alias("_value")))).alias(f"_new_{c}") for c in fields]
+    merged = _matched(base, patch.groupBy(key).agg(*last), [key], "left")
+    merged = merged.select(*[F.coalesce(F.col(f"_new_{c}._value"), F.col(c)).alias(c) if c in fields else c for c in base.columns])
+    return merged, _matched(patch, base.select(key), [key], "left_anti")
 
 
-def create(base: DataFrame, rows: DataFrame, keys: list[str], order: list) -> tuple[DataFrame, DataFrame]:
-    """Rows with new keys, the first of each key; and those refused as duplicates."""
-    nth = rows.join(base.select(*keys).withColumn("_there", F.lit(True)), keys, "left")
-    nth = numbered(nth, keys, order, "_nth")
-    accepted = (F.col("_nth") == 1) & F.col("_there").isNull()
-    return nth.where(accepted).select(*rows.columns), nth.where(~accepted).select(*rows.columns)
+def create(base: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with new keys, the first of each key by ``order`` (which tells all rows apart); and those refused as duplicates."""
+    place = F.struct(*order)
+    first = _matched(rows, base.select(*keys).distinct(), keys, "left_anti").groupBy(*keys).agg(F.min(place).alias("_first"))
+    found = _matched(rows, first, keys, "left").withColumn("_new", F.coalesce(place == F.col("_first"), F.lit(False)))
+    return found.where("_new").select(*rows.columns), found.where("not _new").select(*rows.columns)
 
 
-def update_by_id(base: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The named columns replaced where the id matches, null included."""
-    new = updates.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
-    joined = base.join(new, key, "left")
+def update_by_id(base: DataFrame, updates: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """The named columns replaced where the id matches, null included; the last update of each id counts."""
+    last = last_of_each(updates, [key], order)
+    new = last.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    joined = _matched(base, new, [key], "left")
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else c for c in base.columns])
 
 
@@ -74,30 +101,41 @@ def with_parent(rows: DataFrame, parent: DataFrame, key: str, parent_key: str) -
     return rows.join(known, key, "left_semi"), rows.join(known, key, "left_anti")
 
 
-def transition(rows: DataFrame, requests: DataFrame, key: str, allowed_from: str) -> tuple[DataFrame, DataFrame]:
+def transition(rows: DataFrame, requests: DataFrame, key: str, allowed_from: str, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Move rows in state ``allowed_from`` to the requested ``new_status`` (with ``history_id``); and refused requests.
 
-    A request is refused if the row is in another state or unknown.  One request for a key is expected.
+    A row moves by its first request.  A request is refused if the row is unknown, in another state, or has moved by then.
+    ``requests.fold`` is for machines in which a row can move more than once.
     """
-    asked = requests.select(key, F.col("new_status"), F.col("history_id").alias("_history"))
-    joined = rows.join(asked, key, "left")
-    moves = (F.col("status") == allowed_from) & F.col("new_status").isNotNull()
-    out = joined.select(*[
-        F.when(moves, F.col("new_status")).otherwise(F.col("status")).alias("status") if c == "status"
-        else F.when(moves, F.col("_history")).otherwise(F.col("history_id")).alias("history_id") if c == "history_id" else F.col(c)
+    place = _place(requests, order)
+    asked = requests.where(F.col("new_status").isNotNull())
+    first = asked.groupBy(key).agg(F.min(F.struct(place.alias("_place"), F.col("new_status"), F.col("history_id"))).alias("_first"))
+    moves = (F.col("status") == allowed_from) & F.col("_first").isNotNull()
+    out = _matched(rows, first, [key], "left").select(*[
+        F.when(moves, F.col("_first.new_status")).otherwise(F.col("status")).alias("status") if c == "status"
+        else F.when(moves, F.col("_first.history_id")).otherwise(F.col("history_id")).alias("history_id") if c == "history_id" else F.col(c)
         for c in rows.columns
     ])
     open_rows = rows.where(F.col("status") == allowed_from).select(key)
-    return out, requests.join(open_rows, key, "left_anti")
+    granted = _matched(first, open_rows, [key], "left_semi").select(key, F.col("_first._place").alias("_granted"))
+    refused = _matched(requests, granted, [key], "left").where(F.col("new_status").isNull() | ~F.coalesce(place == F.col("_granted"), F.lit(False)))
+    return out, refused.select(*requests.columns)
 
 
-def guarded_write(base: DataFrame, writes: DataFrame, key: str, version: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Writes whose ``version`` is still the row's are applied; the others are returned as skipped."""
-    new = writes.select(key, F.col(version).alias("_seen"), *[F.col(c).alias(f"_new_{c}") for c in columns])
-    joined = base.join(new, key, "left")
-    hit = F.col("_seen").eqNullSafe(F.col(version)) & F.col("_seen").isNotNull()
-    applied = joined.select(*[F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else c for c in base.columns])
-    return applied, writes.join(base.select(key, version), [key, version], "left_anti")
+def guarded_write(base: DataFrame, writes: DataFrame, key: str, version: str, columns: list[str], order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Writes whose ``version`` is still the row's are applied; the others are returned as skipped.
+
+    Of several such writes the first is applied; the others saw a version that is gone by then.
+    """
+    place = _place(writes, order)
+    now = base.select(key, F.col(version).alias("_now"))
+    seen = _matched(writes, now, [key], "inner").where(F.col(version) == F.col("_now"))
+    first = seen.groupBy(key).agg(F.min(F.struct(place.alias("_place"), *columns)).alias("_first"))
+    joined = _matched(base, first, [key], "left")
+    applied = joined.select(*[F.when(F.col("_first").isNotNull(), F.col(f"_first.{c}")).otherwise(F.col(c)).alias(c) if c in columns else c for c in base.columns])
+    granted = first.select(key, F.col("_first._place").alias("_granted"))
+    skipped = _matched(writes, granted, [key], "left").where(~F.coalesce(place.eqNullSafe(F.col("_granted")) & F.col("_granted").isNotNull(), F.lit(False)))
+    return applied, skipped.select(*writes.columns)
 
 
 def audit(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from dawnframe.durable import shared_folder
-from dawnframe.operators import keyed, registry, series
+from dawnframe.operators import keyed, registry, requests, series
 from dawnframe.plans.registry import query
 from dawnframe.plans.series_queries import CLOSES, EXTREMES, LAST, closes
 from dawnframe.sources import logs
@@ -162,6 +162,98 @@ def r15(spark, sf_dir):
     return moved.withColumn("kind", F.lit("topic")).unionByName(refused.select("id", F.col("new_status").alias("status"), "history_id", F.lit("refused").alias("kind")))
 
 
+SEVERAL = "CASE WHEN n % 3 = 0 THEN 2 + n % 2 ELSE 1 END"
+
+
+def _changes(spark, sf_dir, name, number):
+    """A change for each row of a table, and two or three for a third of them; ``seq`` is their order."""
+    n = F.col(number)
+    copies = F.when(n % 3 == 0, 2 + n % 2).otherwise(1).cast("int")
+    return table(spark, sf_dir, name).withColumn("seq", F.explode(F.sequence(F.lit(1), copies)))
+
+
+ENTITY_CHANGES = f"""WITH c AS (SELECT c_custkey AS n, * FROM customer), x AS (SELECT n, {SEVERAL} AS k, c_name, c_mktsegment FROM c)"""
+
+
+@query(
+    "r1_upsert_several_changes",
+    f"""{ENTITY_CHANGES} SELECT n AS slug, CASE WHEN n % 2 = 0 THEN c_name || k ELSE c_name END AS name, CASE WHEN n % 2 = 0 THEN NULL ELSE 'p' END AS preview_text, CASE WHEN n % 5 = 0 THEN '{NEW}' ELSE '{OLD}' END AS created_at, CASE WHEN n % 2 = 0 THEN '{NEW}' ELSE '{OLD}' END AS updated_at
+    FROM x WHERE n % 2 = 0 OR n % 5 <> 0""",
+    dates=STAMPS,
+)
+def r1_several(spark, sf_dir):
+    """The last of a key's changes counts, its preview goes; keys stay unique."""
+    base = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("slug"), F.col("c_name").alias("name"), F.lit("p").alias("preview_text"), _day(OLD).alias("created_at"), _day(OLD).alias("updated_at"))
+    batch = _changes(spark, sf_dir, "customer", "c_custkey").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("slug"), F.concat("c_name", F.col("seq").cast("string")).alias("name"), F.lit("q").alias("preview_text"), "seq")
+    return keyed.upsert_entity(base, batch, "slug", _day(NEW), cleared=("preview_text",), order=["seq"])
+
+
+@query(
+    "r6_partial_update_several_changes",
+    f"""{ENTITY_CHANGES} SELECT n AS slug, CASE WHEN n % 2 = 0 THEN 'name1' ELSE c_name END AS name, CASE WHEN n % 2 = 0 AND k > 1 THEN 'role' || k ELSE c_mktsegment END AS role, 0 AS rejected FROM x WHERE n % 5 <> 0
+    UNION ALL SELECT n, NULL, NULL, k FROM x WHERE n % 5 = 0 AND n % 2 = 0""",
+)
+def r6_several(spark, sf_dir):
+    """The first patch of a key sets its name, later ones its role: each field takes the last that is set."""
+    base = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("slug"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("role"))
+    text = F.col("seq").cast("string")
+    patch = _changes(spark, sf_dir, "customer", "c_custkey").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("slug"), F.when(F.col("seq") == 1, F.concat(F.lit("name"), text)).alias("name"), F.when(F.col("seq") > 1, F.concat(F.lit("role"), text)).alias("role"), "seq")
+    merged, rejected = keyed.partial_update(base, patch, "slug", ["seq"])
+    none = F.lit(None).cast("string")
+    refused = rejected.groupBy("slug").agg(F.count("*").cast("int").alias("rejected")).select("slug", none.alias("name"), none.alias("role"), "rejected")
+    return merged.withColumn("rejected", F.lit(0)).unionByName(refused)
+
+
+ORDER_CHANGES = f"WITH c AS (SELECT o_orderkey AS n, * FROM orders), x AS (SELECT *, {SEVERAL} AS k FROM c)"
+
+
+@query("r9_update_by_id_several_changes", f"{ORDER_CHANGES} SELECT n AS id, CASE WHEN n % 5 = 0 THEN CASE WHEN k = 3 THEN NULL ELSE k END ELSE o_custkey END AS remote_id FROM x")
+def r9_several(spark, sf_dir):
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("remote_id"))
+    updates = _changes(spark, sf_dir, "orders", "o_orderkey").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("seq") < 3, F.col("seq").cast("long")).alias("remote_id"), "seq")
+    return keyed.update_by_id(base, updates, "id", ["remote_id"], ["seq"])
+
+
+@query(
+    "r15_transition_several_requests",
+    f"""{ORDER_CHANGES}, r AS (SELECT n, o_orderstatus, unnest(range(1, k + 1)) AS seq FROM x)
+    SELECT n AS id, CASE WHEN o_orderstatus = 'O' THEN CASE WHEN n % 2 = 0 THEN 'published' ELSE 'skipped' END ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'O' THEN 10 * n + 1 END AS history_id, 'topic' AS kind FROM x
+    UNION ALL SELECT n, CASE WHEN (n + seq) % 2 = 1 THEN 'published' ELSE 'skipped' END, 10 * n + seq, 'refused' FROM r WHERE o_orderstatus <> 'O' OR seq > 1""",
+)
+def r15_several(spark, sf_dir):
+    """A planned topic moves by its first request; what comes after it is refused."""
+    topics = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "planned").otherwise(F.col("o_orderstatus")).alias("status"), F.lit(None).cast("long").alias("history_id"))
+    status = F.when((F.col("o_orderkey") + F.col("seq")) % 2 == 1, "published").otherwise("skipped")
+    asked = _changes(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("id"), status.alias("new_status"), (F.col("o_orderkey") * 10 + F.col("seq")).alias("history_id"), "seq")
+    moved, refused = keyed.transition(topics, asked, "id", "planned", ["seq"])
+    return moved.withColumn("kind", F.lit("topic")).unionByName(refused.select("id", F.col("new_status").alias("status"), "history_id", F.lit("refused").alias("kind")))
+
+
+MOVES = [("planned", "published"), ("planned", "skipped"), ("skipped", "planned")]
+GRANTED = " OR ".join(f"(s = '{a}' AND want = '{b}')" for a, b in MOVES)
+
+
+@query(
+    "r15_request_fold",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'published' WHEN 'view' THEN 'planned' ELSE 'skipped' END AS want, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    f AS (SELECT user_id, 0 AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS before, CAST(NULL AS VARCHAR) AS want, false AS granted, CASE user_id % 5 WHEN 0 THEN 'published' WHEN 1 THEN 'draft' ELSE 'planned' END AS s FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 7 <> 0
+      UNION ALL SELECT e.user_id, e.i, e.event_id, f.s, e.want, ({GRANTED.replace("want", "e.want")}), CASE WHEN {GRANTED.replace("want", "e.want")} THEN e.want ELSE f.s END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+    SELECT user_id, event_id, before, granted, s AS after FROM f WHERE i > 0 UNION ALL SELECT user_id, event_id, NULL, false, NULL FROM e WHERE user_id % 7 = 0
+    UNION ALL SELECT user_id, NULL, NULL, NULL, s FROM f WHERE i = (SELECT max(i) FROM e WHERE e.user_id = f.user_id)""",
+)
+def r15_fold(spark, sf_dir):
+    """A topic for each user, that can be skipped and planned again until it is published; each event is a request."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    begin = F.when(F.col("user_id") % 5 == 0, "published").when(F.col("user_id") % 5 == 1, "draft").otherwise("planned")
+    rows = users.where("user_id % 7 <> 0").withColumn("status", begin)
+    want = F.when(F.col("event_type") == "purchase", "published").when(F.col("event_type") == "view", "planned").otherwise("skipped")
+    asked = table(spark, sf_dir, "events").select("user_id", "event_id", want.alias("new_status"))
+    after, told = requests.fold(rows, asked, "user_id", ["event_id"], MOVES)
+    none = lambda kind: F.lit(None).cast(kind)
+    ends = after.select("user_id", none("long").alias("event_id"), none("string").alias("before"), none("boolean").alias("granted"), F.col("status").alias("after"))
+    return told.select("user_id", "event_id", "before", "granted", "after").unionByName(ends)
+
+
 @query(
     "r16_plan_with_topics",
     """WITH t AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS topics, count(*) AS n FROM lineitem GROUP BY 1)
@@ -269,6 +361,23 @@ def r28(spark, sf_dir):
     return applied.select("id", "status", F.lit("row").alias("kind")).unionByName(skipped.select("id", "status", F.lit("skipped").alias("kind")))
 
 
+@query(
+    "r28_guarded_write_several_writes",
+    f"""{ORDER_CHANGES}, r AS (SELECT n, k, unnest(range(1, k + 1)) AS seq FROM x)
+    SELECT n AS id, CASE WHEN n % 4 = 0 OR k = 3 THEN 'NEW' || CASE WHEN n % 4 = 0 THEN 1 ELSE 2 END ELSE o_orderstatus END AS status, 'row' AS kind FROM x
+    UNION ALL SELECT n, 'NEW' || seq, 'skipped' FROM r WHERE CASE WHEN n % 4 = 0 THEN seq > 1 WHEN k = 3 THEN seq <> 2 ELSE true END""",
+)
+def r28_several(spark, sf_dir):
+    """Every write of each fourth row saw its version: the first wins.  Elsewhere the second of three did."""
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("updated_at"))
+    n, seq, day = F.col("o_orderkey"), F.col("seq"), F.to_date("o_orderdate")
+    three = (n % 3 == 0) & (n % 2 == 1)
+    seen = F.when((n % 4 == 0) | (three & (seq == 2)), day).otherwise(F.date_sub(day, 1))
+    writes = _changes(spark, sf_dir, "orders", "o_orderkey").select(n.alias("id"), F.concat(F.lit("NEW"), seq.cast("string")).alias("status"), seen.alias("updated_at"), "seq")
+    applied, skipped = keyed.guarded_write(base, writes, "id", "updated_at", ["status"], ["seq"])
+    return applied.select("id", "status", F.lit("row").alias("kind")).unionByName(skipped.select("id", "status", F.lit("skipped").alias("kind")))
+
+
 @query(
     "r29_series_split",
     """WITH t AS (SELECT o_custkey AS owner, o_orderkey AS id, o_orderdate AS due, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'column' ELSE 'stream' END AS kind FROM orders WHERE o_orderstatus = 'O'),
