@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dawnframe.operators import places
+from dawnframe.operators import asof, places
 from dawnframe.plans.registry import query
 from dawnframe.sources import feeds
 from dawnframe.tables import table
@@ -42,6 +42,48 @@ def g1(spark, sf_dir):
     return _nearest(spark, sf_dir)[1]
 
 
+#: Orders moved into the month of the events: an instant of the day for each order.
+MOMENT = "TIMESTAMP '2024-01-01' + to_seconds(CAST((epoch(o_orderdate) // 86400) % 30 * 86400 + (o_orderkey * 7919) % 86400 AS BIGINT))"
+
+
+def orders_in_january(spark, sf_dir, key):
+    days = F.floor(F.unix_timestamp("o_orderdate") / 86400) % 30
+    moment = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")) + days * 86400 + (F.col("o_orderkey") * 7919) % 86400)
+    return table(spark, sf_dir, "orders").select(key, moment.alias("placed_at"), F.col("o_orderkey").alias("order_id"))
+
+
+def _events(spark, sf_dir, key):
+    return table(spark, sf_dir, "events").select("event_id", key, F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _asof_sql(event_key: str, order_key: str) -> str:
+    """SQL: both neighbours by DuckDB's as-of join; the least order of an instant."""
+    return f"""WITH e AS (SELECT event_id, {event_key} AS k, ts FROM events), o AS (SELECT {order_key} AS k, {MOMENT} AS placed_at, min(o_orderkey) AS order_id FROM orders GROUP BY ALL),
+    b AS (SELECT event_id, order_id, placed_at FROM e ASOF LEFT JOIN o ON e.k = o.k AND e.ts >= o.placed_at), f AS (SELECT event_id, order_id, placed_at FROM e ASOF LEFT JOIN o ON e.k = o.k AND e.ts <= o.placed_at)
+    SELECT event_id, b.order_id AS backward, f.order_id AS forward, CASE WHEN f.placed_at IS NULL OR ts - b.placed_at <= f.placed_at - ts THEN b.order_id ELSE f.order_id END AS nearest,
+    CASE WHEN epoch_us(ts) - epoch_us(b.placed_at) <= 3600000000 THEN b.order_id END AS within_hour FROM e JOIN b USING (event_id) JOIN f USING (event_id)"""
+
+
+def _asof(spark, sf_dir, event_key, order_key):
+    rows, orders = _events(spark, sf_dir, event_key.alias("k")), orders_in_january(spark, sf_dir, order_key.alias("k"))
+    found = asof.neighbours(rows, orders, ["k"], "ts", "placed_at", ["order_id"])
+    pick = lambda *how: asof.chosen(F.col("ts"), *how).getField("order_id")
+    return found.select("event_id", pick("backward").alias("backward"), pick("forward").alias("forward"), pick("nearest").alias("nearest"), pick("backward", 3600).alias("within_hour"))
+
+
+@query("g1_asof_orders", _asof_sql("user_id", "o_custkey"))
+def g1_asof(spark, sf_dir):
+    """The order of the same customer before, after and nearest to each event."""
+    return _asof(spark, sf_dir, F.col("user_id"), F.col("o_custkey"))
+
+
+@query("g1_asof_hot_key", _asof_sql("CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 + user_id % 40 END", "CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 1 + o_custkey % 40 END"))
+def g1_asof_hot(spark, sf_dir):
+    """The same by groups of customers, one of which has a third of all rows."""
+    group = lambda c: F.when(F.col(c) % 3 == 0, 0).otherwise(1 + F.col(c) % 40)
+    return _asof(spark, sf_dir, group("user_id"), group("o_custkey"))
+
+
 @query(
     "g2_pivot_elements",
     f"""WITH {RECORDS}, {CHOSEN} SELECT location, max(value) FILTER (element = 'Wx') AS "Wx", max(value) FILTER (element = 'click') AS click, max(value) FILTER (element = 'error') AS error, max(value) FILTER (element = 'purchase') AS purchase
