@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dawnframe.durable import written
 from dawnframe.functions.exprs import strip
+from dawnframe.operators import containment
 from dawnframe.operators.topk import dedup_long_text, keep_first, numbered, ranked
 
 #: Patterns and marks of the report texts.
@@ -86,20 +88,27 @@ def resolve_source_refs(rows: DataFrame, row_id: str, report: str, text: str, it
 def attach_links(lines: DataFrame, items: DataFrame, line: str = "line") -> DataFrame:
     """Lines ``- title`` of a report with the link of the equal title, else of the first that contains it or is in it.
 
-    ``lines``: (report, line_no, line); ``items``: (report, position, title, link).  The containment join runs within
-    a report only and takes only the lines that the equi-join missed.
+    ``lines``: (report, line_no, line); ``items``: (report, position, title, link).  Equal lines are looked up once; containment goes by an index of
+    pieces (``containment``), so a report may hold any share of all lines.  An empty title lies in every line, and an empty line in every title.
     """
     open_line = F.col(line).startswith("- ") & ~F.col(line).contains(f"[{LINK_MARK}]") & ~F.col(line).contains("http")
     title = strip(F.substring(F.col(line), 3, 1 << 30))
     keyed = lines.withColumn("_title", F.when(open_line, title))
     known = items.groupBy("report", "title").agg(F.max_by("link", "position").alias("link"), F.min("position").alias("position")).where("link <> ''")
+    known = written(known, "titles")  # read by each side of the index
     exact = keyed.join(known.select("report", F.col("title").alias("_title"), F.col("link").alias("_exact")), ["report", "_title"], "left")
-    missed = exact.where(F.col("_exact").isNull() & F.col("_title").isNotNull()).select("report", "line_no", "_title")
-    either = F.col("m._title").contains(F.col("k.title")) | F.col("k.title").contains(F.col("m._title"))
-    loose = missed.alias("m").join(known.alias("k"), (F.col("m.report") == F.col("k.report")) & either)
-    first = loose.groupBy(F.col("m.report").alias("report"), "line_no").agg(F.min_by("k.link", "k.position").alias("_loose"))
+    missed = written(exact.where(F.col("_exact").isNull() & F.col("_title").isNotNull()).groupBy("report", "_title").agg(F.min("line_no").alias("id")), "open-lines")
+
+    there = containment.pairs(missed.select("report", "id", F.col("_title").alias("text")), known.select("report", F.col("position").alias("id"), F.col("title").alias("text")), "report")
+    first = there.groupBy("report", F.col("a").alias("id")).agg(F.min("b").alias("_found"))
+    blank = known.where("title = ''").select("report", F.col("position").alias("_blank"))
+    top = known.groupBy("report").agg(F.min("position").alias("_top"))
+    chosen = missed.join(first, ["report", "id"], "left").join(blank, "report", "left").join(top, "report", "left")
+    chosen = chosen.withColumn("position", F.when(F.col("_title") == "", F.col("_top")).otherwise(F.least("_found", "_blank")))
+    loose = chosen.join(known.select("report", "position", F.col("link").alias("_loose")), ["report", "position"]).select("report", "_title", "_loose")
+
     link = F.coalesce("_exact", "_loose")
-    out = exact.join(first, ["report", "line_no"], "left")
+    out = exact.join(loose, ["report", "_title"], "left")
     return out.select("report", "line_no", F.when(link.isNotNull(), F.concat(F.col(line), F.lit(f" [{LINK_MARK}]("), link, F.lit(")"))).otherwise(F.col(line)).alias(line))
 
 

@@ -127,23 +127,34 @@ def n7(spark, sf_dir):
     return news.resolve_source_refs(_ref_rows(spark, sf_dir), "doc_id", "lang", "body", items)
 
 
-@query(
-    "n8_attach_links",
-    f"""WITH p AS (SELECT page_id, page_id // 100 AS report, {PAGE_TITLE} AS title, url FROM pages),
+def _attached(report: str) -> str:
+    return f"""WITH p AS (SELECT page_id, {report} AS report, {PAGE_TITLE} AS title, url FROM pages),
     k AS (SELECT report, title, arg_max(url, page_id) AS link, min(page_id) AS position FROM p WHERE title <> '' GROUP BY 1, 2),
     l AS (SELECT report, page_id AS line_no, CASE page_id % 3 WHEN 0 THEN '- ' || title WHEN 1 THEN '- more: ' || title ELSE title END AS line, CASE page_id % 3 WHEN 0 THEN trim(title) WHEN 1 THEN 'more: ' || trim(title) END AS t FROM p),
     x AS (SELECT l.*, e.link AS ex FROM l LEFT JOIN k e ON e.report = l.report AND e.title = l.t),
     f AS (SELECT x.line_no, arg_min(k.link, k.position) AS lo FROM x JOIN k ON k.report = x.report AND (contains(x.t, k.title) OR contains(k.title, x.t)) WHERE x.ex IS NULL GROUP BY 1)
-    SELECT report, x.line_no, line || coalesce(' [🔗](' || coalesce(ex, lo) || ')', '') AS line FROM x LEFT JOIN f USING (line_no)""",
-)
-def n8(spark, sf_dir):
-    rows = pages(spark, sf_dir).withColumn("report", F.floor(F.col("page_id") / 100))
+    SELECT report, x.line_no, line || coalesce(' [🔗](' || coalesce(ex, lo) || ')', '') AS line FROM x LEFT JOIN f USING (line_no)"""
+
+
+def _attach(spark, sf_dir, report):
+    rows = pages(spark, sf_dir).withColumn("report", report)
     kind = F.col("page_id") % 3
     line = F.when(kind == 0, F.concat(F.lit("- "), F.col("title"))).when(kind == 1, F.concat(F.lit("- more: "), F.col("title"))).otherwise(F.col("title"))
     items = rows.where("title <> ''").select("report", F.col("page_id").alias("position"), "title", F.col("url").alias("link"))
     return news.attach_links(rows.select("report", F.col("page_id").alias("line_no"), line.alias("line")), items)
 
 
+@query("n8_attach_links", _attached("page_id // 100"))
+def n8(spark, sf_dir):
+    return _attach(spark, sf_dir, F.floor(F.col("page_id") / 100))
+
+
+@query("n8_attach_links_one_report", _attached("1"))
+def n8_one_report(spark, sf_dir):
+    """All pages are one report."""
+    return _attach(spark, sf_dir, F.lit(1))
+
+
 @query(
     "n9_section_top_k",
     """WITH s AS (SELECT * FROM (VALUES ('en', 10), ('de', 8), ('fr', 3), ('zz', 5)) v(lang, cap)), r AS (SELECT lang, 'doc ' || doc_id AS line, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS rank FROM documents)
