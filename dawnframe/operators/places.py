@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the text for what is missing.
 MISSING = "資料無法取得"
 
 

@@ -128,10 +128,44 @@ def scope_filter(rows: DataFrame, actors: DataFrame, owner: str) -> DataFrame:
     return own.select(*rows.columns, "actor").unionByName(rows.select("*", F.explode(admins).alias("actor")))
 
 
+def scope_flags(rows: DataFrame, actors: DataFrame, owner: str) -> DataFrame:
+    """Each row once, with ``actor``, the author who may see it (or null), and ``admins``: whether there are admins, who see everything.
+
+    For many rows and admins: ``scope_filter`` gives a row for each admin.
+    """
+    authors = actors.where("role <> 'admin'").select("actor", F.col("actor").alias("_owner")).distinct()
+    any_admin = actors.where("role = 'admin'").agg(F.count("*") > 0).scalar()
+    return rows.join(authors, rows[owner] == authors["_owner"], "left").select(*[rows[c] for c in rows.columns], "actor", any_admin.alias("admins"))
+
+
 def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """A page by its offset; all pages before it are sorted too.  ``page_after`` goes on from a page's last row instead."""
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def write_paged(rows: DataFrame, path: str, order: list[tuple[str, bool]]) -> None:
+    """Rows as Parquet, dealt to ranges of the order and sorted, so that files and row groups hold neighbours; ``order``: (column, falling)."""
+    by = [F.col(c).desc_nulls_last() if falling else F.col(c).asc_nulls_last() for c, falling in order]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+
+
+def page_after(rows: DataFrame, order: list[tuple[str, bool]], limit: int, last: tuple | None = None) -> DataFrame:
+    """The ``limit`` rows that follow the row with the values ``last`` (None: the first page); nulls come last.
+
+    The bound on the leading column reaches the scan: of a table written by ``write_paged`` only the row groups from the
+    last row on are read, and the top rows are taken in each task, so a page costs the same wherever it is.
+    """
+    if last is not None:
+        beyond = lambda c, falling, v: F.lit(False) if v is None else (F.col(c) < v if falling else F.col(c) > v) | F.col(c).isNull()
+        after = F.lit(False)
+        for (c, falling), v in reversed(list(zip(order, last, strict=True))):
+            after = beyond(c, falling, v) | (F.col(c).eqNullSafe(F.lit(v)) & after)
+        (c, falling), v = order[0], last[0]
+        bound = F.col(c).isNull() if v is None else (F.col(c) <= v if falling else F.col(c) >= v) | F.col(c).isNull()
+        rows = rows.where(bound & after)
+    return rows.orderBy(*[F.col(c).desc_nulls_last() if falling else F.col(c).asc_nulls_last() for c, falling in order]).limit(limit)
+
+
 def match_email(requests: DataFrame, invites: DataFrame) -> DataFrame:
     """Requests with an unused invite for the same address, case folded."""
     unused = invites.where(F.col("used_at").isNull()).select(F.lower("email").alias("_key"), "invite_id")

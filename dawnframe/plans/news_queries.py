@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from dawnframe.durable import shared_folder
 from dawnframe.operators import markdown, news
 from dawnframe.operators.topk import first_k
 from dawnframe.plans.registry import query
@@ -53,6 +56,25 @@ def a3(spark, sf_dir):
     return found.withColumn("title", F.trim("title"))
 
 
+@query(
+    "a2_feed_files",
+    f"""WITH {ITEMS} SELECT 'item' AS kind, title, CASE WHEN page_id % 4 = 0 THEN '' ELSE url END AS link, CASE WHEN page_id % 2 = 0 THEN host ELSE 'Google News' END AS source, 'day ' || page_id AS pub_date FROM p WHERE page_id % 9 <> 0 AND page_id % 11 <> 0 AND title <> ''
+    UNION ALL SELECT 'rejected', NULL, NULL, NULL, 'day ' || page_id FROM p WHERE page_id % 11 = 0""",
+)
+def a2_files(spark, sf_dir):
+    """The feeds as files; every eleventh item isn't well formed."""
+    raw = raw_feeds(spark, sf_dir)
+    items = F.regexp_extract_all("raw", F.lit("<item>.*?</item>"), F.lit(0))
+    number = lambda x: F.regexp_extract(x, "day ([0-9]+)", 1).cast("long")
+    body = F.transform(items, lambda x: F.when(number(x) % 11 == 0, F.replace(x, F.lit("</title>"), F.lit("</titel>"))).otherwise(x))
+    path = f"{shared_folder(spark)}/dawnframe/feeds-{uuid.uuid4().hex}"
+    raw.select(F.concat(F.lit("<rss><channel>"), F.array_join(body, "\n"), F.lit("</channel></rss>")).alias("value")).write.text(path)
+    found, rejected = feeds.feed_files(spark, path)
+    none = F.lit(None).cast("string")
+    bad = rejected.select(F.lit("rejected").alias("kind"), none.alias("title"), none.alias("link"), none.alias("source"), F.regexp_extract("record", "day [0-9]+", 0).alias("pub_date"))
+    return found.select(F.lit("item").alias("kind"), "title", "link", "source", "pub_date").unionByName(bad)
+
+
 @query("a4_json_field_scan", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k, 'none' AS tag FROM events")
 def a4(spark, sf_dir):
     found = feeds.json_field_scan(table(spark, sf_dir, "events").select("event_id", "props"), "props", {"k": ("bigint", -1), "tag": ("string", "none")})

@@ -322,12 +322,35 @@ def r24(spark, sf_dir):
     return registry.scope_filter(rows, actors, "owner")
 
 
+@query("r24_scope_flags", "SELECT c_custkey, c_nationkey AS owner, CASE WHEN c_nationkey >= 2 THEN c_nationkey END AS actor, true AS admins FROM customer")
+def r24_flags(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("owner"))
+    actors = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("actor"), F.when(F.col("n_nationkey") < 2, "admin").otherwise("author").alias("role"))
+    return registry.scope_flags(rows, actors, "owner")
+
+
 @query("r25_page", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 100")
 def r25(spark, sf_dir):
     found = registry.page(table(spark, sf_dir, "orders"), [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 50, 100)
     return found.select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"))
 
 
+PAGED = [("o_orderdate", True), ("o_orderkey", True)]
+
+
+@query("r25_page_after", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 100")
+def r25_after(spark, sf_dir):
+    """The third page, each from the last row of the one before."""
+    path = _folder(spark, "paged")
+    registry.write_paged(table(spark, sf_dir, "orders"), path, PAGED)
+    rows, last = spark.read.parquet(path), None
+    for _ in range(2):
+        found = registry.page_after(rows.select("o_orderdate", "o_orderkey"), PAGED, 50, last)
+        ends = found.agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("last")).first()  # the last row of a page
+        last = tuple(ends["last"]) if ends["last"] else last
+    return registry.page_after(rows, PAGED, 50, last).select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"))
+
+
 @query("r26_match_email", "SELECT c_custkey AS request_id, upper(c_name) AS email, c_custkey AS invite_id FROM customer WHERE c_custkey % 3 <> 0")
 def r26(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")
@@ -349,6 +372,22 @@ def r27(spark, sf_dir):
     return keyed.audit(before, after, "c_custkey", ["c_name", "c_mktsegment"])
 
 
+@query(
+    "r27_audit_stored",
+    """SELECT c_custkey, CASE c_custkey % 997 WHEN 1 THEN 'delete' WHEN 2 THEN 'create' ELSE 'update' END AS action,
+    CASE c_custkey % 997 WHEN 1 THEN '{"c_name":"","c_mktsegment":""}' WHEN 2 THEN '{"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}' ELSE '{"c_name":"' || c_name || '!"}' END AS diff_json
+    FROM customer WHERE c_custkey % 997 IN (1, 2, 3)""",
+)
+def r27_stored(spark, sf_dir):
+    """Two stored versions that differ in a few rows: equal buckets aren't read."""
+    rows, kind = table(spark, sf_dir, "customer"), F.col("c_custkey") % 997
+    after = rows.where(kind != 1).withColumn("c_name", F.when(kind == 3, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")))
+    fields, paths = ["c_name", "c_mktsegment"], [_folder(spark, "version") for _ in range(2)]
+    for version, path in zip((rows.where(kind != 2), after), paths, strict=True):
+        keyed.store_bucketed(version, path, "c_custkey", fields, buckets=32)
+    return keyed.audit_stored(spark, *paths, "c_custkey", fields)
+
+
 @query(
     "r28_guarded_write",
     """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'NEW' ELSE o_orderstatus END AS status, 'row' AS kind FROM orders UNION ALL SELECT o_orderkey, 'NEW', 'skipped' FROM orders WHERE o_orderkey % 4 = 2""",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnframe.functions.exprs import strip
 from dawnframe.operators.topk import first_k
 
 CHANNEL = "channel struct<item: array<struct<title: string, link: string, pubDate: string, source: string>>>"
+#: Fixed value: the text for what is missing.
 DEFAULT_SOURCE = "Google News"
 
 
@@ -36,6 +37,27 @@ def rss_items_with_source(feeds: DataFrame, key: str, raw: str, most: int = 5) -
     return kept.select(key, F.col("position").cast("long").alias("position"), "item.title", "item.link", F.coalesce("item.source", F.lit(DEFAULT_SOURCE)).alias("source"))
 
 
+ITEM = "title string, link string, source string, pubDate string"
+REJECTED = "_rejected"
+
+
+def feed_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Feed files of any size as (items, rejected).
+
+    Records end with ``</item>``, so Spark splits large files among tasks, and an item that isn't well formed spoils no other.  Items: (title,
+    link, source, pub_date), stripped, with a title.  Rejected: ``record``, the text of an element that can't be read.
+    """
+    end = "</item>"
+    records = spark.read.option("lineSep", end).text(path).where(F.col("value").rlike("<item[\\s>]"))
+    record = F.concat(F.regexp_extract("value", "(?s)<item[\\s>].*", 0), F.lit(end))
+    parsed = F.from_xml(record, f"{ITEM}, {REJECTED} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECTED, "ignoreSurroundingSpaces": "false"})
+    rows = records.select(record.alias("record"), parsed.alias("item"))
+    text = lambda name: strip(F.coalesce(F.col(f"item.{name}"), F.lit("")))
+    bad = F.col("item").isNull() | F.col(f"item.{REJECTED}").isNotNull()
+    items = rows.where(~bad).select(text("title").alias("title"), text("link").alias("link"), F.coalesce("item.source", F.lit(DEFAULT_SOURCE)).alias("source"), text("pubDate").alias("pub_date"))
+    return items.where("title <> ''"), rows.where(bad).select("record")
+
+
 def json_field_scan(rows: DataFrame, text: str, fields: dict[str, tuple[str, object]]) -> DataFrame:
     """``rows`` with one column for each field of a JSON text: (type, default for a missing or unreadable one)."""
     parsed = F.from_json(text, "struct<" + ", ".join(f"`{n}`: {kind}" for n, (kind, _) in fields.items()) + ">")
