@@ -102,13 +102,16 @@ def collapse(turns: DataFrame) -> DataFrame:
     kept = maximal(written(prefixes(rows, places), "chat-prefixes"))
     kept = written(kept.join(places, "conv_id").select("conv_id", "chunk", "size", "part", "n_parts", "n_turns", "n_copies"), "chat-kept")
     crowded = kept.where(F.col("size") > PIECE)
+    # Texts of dropped conversations are never collected: what stays of them is found before the aggregate.
+    ours = texts.join(kept.where(F.col("size") <= PIECE).select("conv_id", "chunk"), ["conv_id", "chunk"], "left_semi")
+    plain = ours.groupBy("conv_id", "chunk")
     one = F.collect_set(F.struct(*TURN, "text"))
     columns = ["conv_id", "part", "n_parts", "n_turns", "n_copies"]
 
     if crowded.isEmpty():
-        found = texts.groupBy("conv_id", "chunk").agg(one.alias("t")).join(kept, ["conv_id", "chunk"])
+        found = plain.agg(one.alias("t")).join(kept, ["conv_id", "chunk"])
         return found.select(*columns, _joined(F.col("t")).alias("rendered"))
-    plain = texts.join(crowded, ["conv_id", "chunk"], "left_anti").groupBy("conv_id", "chunk").agg(one.alias("t")).join(kept, ["conv_id", "chunk"])
+    plain = plain.agg(one.alias("t")).join(kept, ["conv_id", "chunk"])
     inside = Window.partitionBy("conv_id", "chunk").orderBy(*[F.asc_nulls_first(c) for c in TURN])
     piece = F.floor((F.row_number().over(inside) - 1) / PIECE)
     numbered = rows.join(crowded, ["conv_id", "chunk"]).withColumn("part", F.col("part") + piece).select("chunk", *TURN, *columns)

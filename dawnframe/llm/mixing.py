@@ -33,7 +33,7 @@ from dawnframe.durable import written
 
 BUDGET = 0.5
 TEMPERATURE = 0.7
-#: Raking ends when no value misses its target by more than this share of the budget, or nothing moves any more.
+#: Raking ends after a round in which no value missed its target by more than this share of the budget when its turn came, or nothing moved any more.
 TOLERANCE = 0.0005
 #: Rounds at most; convergence is geometric, and far sooner, where targets can be met.
 ROUNDS = 2000
@@ -114,14 +114,13 @@ def _rake_in_memory(cells: list, budget: float, shares: dict) -> dict[str, dict]
         return np.bincount(codes[m], drawn, len(values[m])) / whole
 
     for _ in range(ROUNDS):
-        moved = 0.0
+        moved = miss = 0.0
         for m in MARGINS:
             now = has(m)
             by = np.divide(wanted[m], now, out=np.zeros_like(now), where=now > 0)
-            new = np.minimum(factor[m] * by, MOST)
-            moved = max(moved, float(np.abs(np.where(new < MOST, now - wanted[m], 0.0)).max()))
+            new, off = np.minimum(factor[m] * by, MOST), np.abs(now - wanted[m])
+            miss, moved = max(miss, float(off.max())), max(moved, float(np.where(new < MOST, off, 0.0).max()))
             factor[m] = new
-        miss = max(float(np.abs(has(m) - wanted[m]).max()) for m in MARGINS)
         if miss < TOLERANCE or moved < TOLERANCE / 100:
             break
     return {m: {v: (float(f), float(w), float(h)) for v, f, w, h in zip(values[m].tolist(), factor[m], wanted[m], has(m), strict=True)} for m in MARGINS}

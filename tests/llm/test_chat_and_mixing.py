@@ -175,3 +175,26 @@ def test_a_value_without_a_share_is_not_drawn(spark):
     plan = mixing.plan(docs, 0.3, {"lang": {"en": 1.0, "de": 0.0}})
     assert plan.count() == docs.count()
     assert {r.lang for r in plan.where("drawn").select("lang").distinct().collect()} == {"en"}
+
+
+def test_the_same_documents_are_drawn_in_memory_and_in_tables(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, "w " * int(rng.integers(1, 400)), f"l{rng.integers(3)}", f"s{rng.integers(3)}", "x", f"t{rng.integers(2)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string, theme string")
+    drawn = []
+    for cells in (mixing.CELLS, 10):
+        monkeypatch.setattr(mixing, "CELLS", cells)
+        drawn.append({r.doc_id for r in mixing.plan(docs, 0.4, None, F.col("theme")).where("drawn").collect()})
+    assert drawn[0] == drawn[1] and 50 < len(drawn[0]) < 350
+
+
+def test_a_dropped_conversation_is_not_collected(spark):
+    """Five thousand turns of one number, logged again with a later turn: the first log goes, and no row holds over PIECE turns."""
+    first = [(1, 3, "user", f"text {i}") for i in range(5000)]
+    rows = spark.createDataFrame(first + [(2, *r[1:]) for r in first] + [(2, 4, "assistant", "end"), (3, 1, "user", "alone")], "conv_id long, turn long, role string, text string")
+    frame = chat.collapse(rows)
+    got = frame.collect()
+    assert {r.conv_id for r in got} == {2, 3} and [r.n_parts for r in got if r.conv_id == 2] == [3, 3, 3]
+    assert max(r.rendered.count(chat.START) for r in got) <= chat.PIECE and sum(r.rendered.count(chat.START) for r in got) == 5002
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")  # the semi-join stands below
