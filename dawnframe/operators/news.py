@@ -62,7 +62,9 @@ def _rebuilt(rows: DataFrame, row_id: str, report: str, text: str, pattern: str,
     body = F.col(text)
     tokens = F.arrays_zip(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("token"), F.regexp_extract_all(body, F.lit(pattern), F.lit(1)).alias("n"))
     refs = rows.where(body.rlike(pattern)).select(row_id, F.col(report).alias("report"), F.posexplode(tokens).alias("_pos", "_t"))
-    refs = refs.select(row_id, "report", "_pos", F.col("_t.token").alias("_token"), F.col("_t.n").try_cast("long").alias("n"))
+    # Items count from 1.  What names none, often the same number in every row, gets a number of its row that no item has, so it meets in no one task.
+    n = F.col("_t.n").try_cast("long")
+    refs = refs.select(row_id, "report", "_pos", F.col("_t.token").alias("_token"), F.when(n >= 1, n).otherwise(-1 - F.pmod(F.xxhash64(row_id), F.lit(1 << 40))).alias("n"))
     resolved = refs.join(items, ["report", "n"], "left").select(row_id, F.struct("_pos", F.coalesce(made, otherwise).alias("text")).alias("r"))
     by_row = resolved.groupBy(row_id).agg(F.array_sort(F.collect_list("r")).alias("_r"))
     gaps = F.split(body, pattern, -1)
