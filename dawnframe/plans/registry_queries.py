@@ -440,6 +440,14 @@ def a6(spark, sf_dir):
     return logs.restore(spark, path, rows.schema)
 
 
+@query("a6_dump_all", " UNION ALL ".join(f'SELECT \'{t}\' AS "table", count(*) AS n, true AS intact FROM {t}' for t in TABLES))
+def a6_all(spark, sf_dir):
+    """All tables dumped, read back and compared with the manifest."""
+    path = _folder(spark, "dump-all")
+    logs.dump_all({t: table(spark, sf_dir, t) for t in TABLES}, path)
+    return logs.verify_dump(spark, path)
+
+
 LOGGED = f"""WITH {CLOSES}, {LAST}, {EXTREMES} SELECT symbol, round(current_close, 2) AS close, round(hi.c, 2) AS high, CAST(hi.d AS VARCHAR) AS high_day, round(lo.c, 2) AS low, CAST(lo.d AS VARCHAR) AS low_day FROM x"""
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLUG = r"^[a-z][a-z0-9-]*$"
 
@@ -17,6 +21,41 @@ def restore(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+#: Instants with all their digits; the default format drops what is below a millisecond.
+INSTANTS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _facts(name: str, rows: DataFrame) -> DataFrame:
+    """A table's entry in a manifest: its columns, rows, and a digest of them without regard to order."""
+    digest = F.sum(F.xxhash64(F.to_json(F.struct(*rows.columns), INSTANTS)).cast("decimal(38,0)")).cast("string")
+    return rows.agg(F.count("*").alias("n"), digest.alias("digest")).select(F.lit(name).alias("table"), F.lit(rows.schema.json()).alias("columns"), "n", "digest")
+
+
+def dump_all(tables: dict[str, DataFrame], path: str) -> None:
+    """Every table as JSON lines, and then the manifest: a dump without one is unfinished."""
+    for name, rows in tables.items():
+        rows.write.mode("errorifexists").options(**INSTANTS).json(f"{path}/tables/{name}")
+    reduce(DataFrame.unionByName, [_facts(n, t) for n, t in tables.items()]).write.json(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("table string, columns string, n long, digest string").json(f"{path}/manifest")
+
+
+def restore_all(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a dump with the columns that its manifest says."""
+    entries = _manifest(spark, path).collect()  # a row for each table
+    return {e.table: spark.read.schema(T.StructType.fromJson(json.loads(e.columns))).options(**INSTANTS).json(f"{path}/tables/{e.table}") for e in entries}
+
+
+def verify_dump(spark: SparkSession, path: str) -> DataFrame:
+    """(table, n, intact): whether each table of a dump still has the rows of its manifest."""
+    now = reduce(DataFrame.unionByName, [_facts(n, t) for n, t in restore_all(spark, path).items()])
+    found = now.select("table", F.col("n").alias("_n"), F.col("digest").alias("_digest"))
+    intact = F.col("n").eqNullSafe(F.col("_n")) & F.col("digest").eqNullSafe(F.col("_digest"))
+    return _manifest(spark, path).join(found, "table", "left").select("table", "n", intact.alias("intact"))
+
+
 def snapshot_line(at: Column, symbol: Column, close: Column, high: Column, high_day: Column, low: Column, low_day: Column) -> Column:
     """One log line: time, symbol, close, high@day, low@day, two blanks apart."""
     money = lambda x: F.format_string("%.2f", x)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dawnframe.operators import asof, containment, keyed, markdown, news, registry, requests
-from dawnframe.sources import feeds
+from dawnframe.sources import feeds, logs
 
 START = dt.datetime(2026, 1, 1, tzinfo=dt.UTC)
 
@@ -173,3 +173,15 @@ def test_summaries(spark, md, want):
 def test_summary_of_very_many_lines(spark):
     rows = spark.range(1).select(F.concat(F.lit("> q\n"), F.repeat(F.lit("> line\n"), 200000)).alias("md"))
     assert len(rows.select(markdown.intro_summary(F.col("md")).alias("s")).first().s) == 103
+
+
+def test_dump_of_all_tables(spark, tmp_path):
+    a = spark.createDataFrame([(1, None, [1.5, None], START), (1, None, [1.5, None], START), (2, "x\n", [], START + dt.timedelta(microseconds=7))], "k long, s string, v array<float>, at timestamp")
+    logs.dump_all({"a": a, "b": a.select("s").where("false")}, str(tmp_path / "d"))
+    back = logs.restore_all(spark, str(tmp_path / "d"))
+    assert back["a"].schema == a.schema and sorted(map(str, back["a"].collect())) == sorted(map(str, a.collect()))
+    assert {tuple(r) for r in logs.verify_dump(spark, str(tmp_path / "d")).collect()} == {("a", 3, True), ("b", 0, True)}
+    part = next((tmp_path / "d" / "tables" / "a").glob("part-*.json"))
+    part.write_text(part.read_text().replace("1.5", "1.6") + '{"k":3}\n')
+    (part.parent / f".{part.name}.crc").unlink()
+    assert {tuple(r) for r in logs.verify_dump(spark, str(tmp_path / "d")).collect()} == {("a", 3, False), ("b", 0, True)}
