@@ -25,6 +25,19 @@ def q1(spark, sf_dir):
     return found.select("p_partkey", F.round("change", 6).alias("change"), F.round("change_pct", 6).alias("change_pct"))
 
 
+@query(
+    "q1_change_text",
+    f"""WITH q AS (SELECT p_partkey, TRY_CAST({PART_TEXT} AS DOUBLE) AS z, TRY_CAST({PREVIOUS} AS DOUBLE) AS y FROM part), c AS (SELECT p_partkey, z - y AS change, CASE WHEN y <> 0 THEN (z - y) / y * 100 END AS pct, CASE WHEN z >= y THEN '+' ELSE '' END AS sign FROM q)
+    SELECT p_partkey, CASE WHEN pct IS NULL THEN '' ELSE sign || printf('%.2f', round(change, 2)) || ' (' || sign || printf('%.2f', round(pct, 2)) || '%)' END AS text FROM c""",
+)
+def q1_text(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    price = F.when(F.col("p_partkey") % 10 == 0, "-").otherwise(F.col("p_retailprice").cast("string"))
+    previous = F.when(F.col("p_partkey") % 7 == 0, "0").otherwise(F.col("p_size").cast("string"))
+    found = quotes.quote_change(part, price, previous)
+    return found.select("p_partkey", quotes.change_text(F.col("change"), F.col("change_pct")).alias("text"))
+
+
 @query(
     "q2_quote_change_grouped",
     """SELECT c_custkey, round(c_acctbal - 1000.5, 4) AS change, round((c_acctbal - 1000.5) / 1000.5 * 100, 4) AS change_pct FROM customer""",
