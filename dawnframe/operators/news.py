@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dawnframe.durable import written
 from dawnframe.functions.exprs import strip
 from dawnframe.operators import containment
-from dawnframe.operators.topk import dedup_long_text, keep_first, numbered, ranked
+from dawnframe.operators.topk import dedup_long_text, first_k, keep_first, numbered, ranked
 
 #: Patterns and marks of the report texts.
 REF = r"#(\d+)\s*"
@@ -19,6 +19,9 @@ LINK_MARK = "🔗"
 LINK = r"\s*\[🔗\]\([^)]+\)\s*"
 FILLER = "- 今日無相關新聞"
 BUDGET = 4000
+#: The daily report's first line, and its sections in order: name, header, most lines.
+DAILY = "📰 早安新聞摘要 — "
+DAILY_SECTIONS = (("ai", "**🤖 AI 人工智慧**", 10), ("tech", "**💻 科技 & 半導體**", 8), ("general", "**🌏 重大新聞**", 3))
 
 
 def union_feeds(feeds: list[DataFrame]) -> DataFrame:
@@ -48,10 +51,11 @@ def number_items(rows: DataFrame, report: str, order: list[str]) -> DataFrame:
     return numbered(rows, [report], [F.col(c) for c in order], "n")
 
 
-def title_link_map(rows: DataFrame, title: str, link: str, order: str) -> DataFrame:
-    """(title, link) by stripped title; the last one wins and both must be filled."""
-    kept = rows.select(strip(F.col(title)).alias("title"), F.col(link).alias("link"), F.col(order).alias("_at")).where("title <> '' and link <> ''")
-    return kept.groupBy("title").agg(F.max_by("link", "_at").alias("link"))
+def title_link_map(rows: DataFrame, title: str, link: str, order: str | Column, within: tuple[str, ...] = ()) -> DataFrame:
+    """(title, link) by stripped title, for each value of ``within``; the last one wins and both must be filled."""
+    at = F.col(order) if isinstance(order, str) else order
+    kept = rows.select(*within, strip(F.col(title)).alias("title"), F.col(link).alias("link"), at.alias("_at")).where("title <> '' and link <> ''")
+    return kept.groupBy(*within, "title").agg(F.max_by("link", "_at").alias("link"))
 
 
 def _rebuilt(rows: DataFrame, row_id: str, report: str, text: str, pattern: str, items: DataFrame, made: Column, otherwise: Column) -> DataFrame:
@@ -114,18 +118,51 @@ def attach_links(lines: DataFrame, items: DataFrame, line: str = "line") -> Data
     return out.select("report", "line_no", F.when(link.isNotNull(), F.concat(F.col(line), F.lit(f" [{LINK_MARK}]("), link, F.lit(")"))).otherwise(F.col(line)).alias(line))
 
 
-def section_top_k(sections: DataFrame, rows: DataFrame, section: str, order: list[str], line: str) -> DataFrame:
+def section_top_k(sections: DataFrame, rows: DataFrame, section: str, order: list[str], line: str, most: int | None = None) -> DataFrame:
     """The first ``cap`` lines of each section; an empty section has the filler line.  ``sections``: (section, cap).
 
-    The rank filter uses the largest cap, so each section is cut before the shuffle; the exact cap follows.
+    The rank filter uses the largest cap, so each section is cut before the shuffle; the exact cap follows.  A caller that knows the largest
+    cap gives it as ``most``; else a small job reads it, since only a number known to the plan cuts rows before the shuffle.
     """
-    most = sections.agg(F.max("cap")).first()[0] or 0  # one number of a small table
+    most = (sections.agg(F.max("cap")).first()[0] or 0) if most is None else most
     nth = F.row_number().over(Window.partitionBy(section).orderBy(*order))
     top = rows.withColumn("rank", nth).where(F.col("rank") <= most).select(section, F.col("rank").cast("long").alias("rank"), line)
     kept = sections.join(top, section, "left").where(F.col("rank").isNull() | (F.col("rank") <= F.col("cap")))
     return kept.select(section, F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce(line, F.lit(FILLER)).alias(line))
 
 
+def daily_report(reports: DataFrame, items: DataFrame, report: str, date: str, sections: tuple = DAILY_SECTIONS) -> DataFrame:
+    """The text of each report: first line, then each section's header and first lines, or the filler, and a blank line.
+
+    ``reports``: (report, date as text), one row each; ``items``: (report, section, position, title, link), in any number.  A title's link is the
+    last one filled for the equal stripped title anywhere in the report, sections in their order, else its own; without one the title stands
+    alone.  Null titles and links count as empty.  Items of other sections give no line and no link.  Of each section only its first lines are
+    shuffled, and of the links one of each (report, title) and task, so a report may hold any share of all items.  Of equal positions the lesser
+    title, then link, comes first.
+    """
+    place = F.lit(None).cast("int")
+    for i, (name, _, _) in enumerate(sections):
+        place = F.when(F.col("section") == name, i).otherwise(place)
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = items.select(report, place.alias("_place"), "position", filled("title"), filled("link")).where("_place is not null")
+    most = max(cap for _, _, cap in sections)
+    top = first_k(rows, [report, "_place"], [F.col(c) for c in ("position", "title", "link")], most, "_nth")
+    top = top.where(F.col("_nth") <= F.element_at(F.array(*[F.lit(cap) for _, _, cap in sections]), F.col("_place") + 1))
+    links = title_link_map(rows, "title", "link", F.struct("_place", "position", "title", "link"), (report,))
+    linked = top.join(links.withColumnRenamed("link", "_mapped"), [report, "title"], "left")
+    link = F.coalesce("_mapped", "link")
+    line = F.concat(F.lit("- "), F.col("title"), F.when(link != "", F.concat(F.lit(f" [{LINK_MARK}]("), link, F.lit(")"))).otherwise(""))
+    each = linked.groupBy(report).agg(F.collect_list(F.struct("_place", "_nth", line.alias("line"))).alias("_lines"))  # at most the sum of the caps
+
+    def block(i: int, header: str) -> Column:
+        own = F.array_sort(F.filter("_lines", lambda x: x._place == i))["line"]
+        return F.concat(F.lit(header + "\n"), F.when(F.size(own) > 0, F.array_join(own, "\n")).otherwise(FILLER), F.lit("\n"))
+
+    head = F.concat(F.lit(DAILY), F.coalesce(F.col(date), F.lit("")), F.lit("\n"))
+    text = F.array_join(F.array(head, *[block(i, header) for i, (_, header, _) in enumerate(sections)]), "\n")
+    return reports.select(report, date).join(each, report, "left").select(report, text.alias("text"))
+
+
 def fit_to_budget(text: Column, lead: str, budget: int = BUDGET) -> Column:
     """A text within the budget: as it is; else without links outside the lead section; else without links.
 

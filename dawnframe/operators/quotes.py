@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dawnframe.functions.exprs import first_nonzero, number, percent_change
+from dawnframe.operators.topk import first_k
 
 
 def quote_change(quotes: DataFrame, price: Column, previous: Column) -> DataFrame:
@@ -37,6 +38,15 @@ def quote_from_closes(rows: DataFrame, key: str, closes: Column, market: Column,
     return found.select(key, F.round("now", 2).alias("price"), F.round("before", 2).alias("prev_close"), F.round(percent_change(F.col("now"), F.col("before")), 2).alias("pct_change"))
 
 
+def newest_closes(rows: DataFrame, keys: list[str], order: list[str], close: str, k: int = 2) -> DataFrame:
+    """``keys`` and ``closes``: the newest ``k`` known closes of each key, oldest first, for closes that come as rows.
+
+    Only those are shuffled, so a key may hold any share of all rows; a key without a known close has no row.
+    """
+    newest = first_k(rows.where(F.col(close).isNotNull()).select(*keys, *order, F.col(close).alias("_close")), keys, [F.col(c).desc() for c in order], k, "_nth")
+    return newest.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(F.struct("_nth", "_close")))["_close"]).alias("closes"))
+
+
 def quote_with_fallback(primary: DataFrame, secondary: DataFrame, key: str, value: str) -> DataFrame:
     """Every key of either source with the first known value and the source it came from."""
     p = primary.select(key, F.col(value).alias("_p"))

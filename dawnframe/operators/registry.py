@@ -15,6 +15,11 @@ from dawnframe.operators.topk import first_k
 HASHED = ("slug", "role", "name", "expression", "mental_models", "heuristics", "antipatterns", "limits")
 NEWEST_ROWS = 8
 DIRECTION, PLANNED = "tech-first", "planned"
+#: The lines of a topic's block and what each shows, and its closing line.
+TOPIC_HEAD = "=== 本期主題指引（editorial plan） ==="
+TOPIC_LINES = (("系列週次：W", "week"), ("主題提示：", "title_hint"), ("切入角度（angle）：", "angle"), ("觀察視角（lens）：", "lens"), ("方向：", "direction"))
+TOPIC_QUESTION = "核心提問："
+TOPIC_ADVICE = "請以上述主題提示和切入角度為本篇文章的主軸。從素材中選取與此角度相關的新聞，圍繞核心提問展開論述。"
 
 
 def list_keys(base: DataFrame, key: str) -> DataFrame:
@@ -75,6 +80,17 @@ def next_planned(topics: DataFrame, plan: str, week: str, row_id: str, status: s
     return first_k(topics.where(F.col("status") == status), [plan], [F.col(week), F.col(row_id)], 1)
 
 
+def topic_block(topic: Column) -> Column:
+    """The text that hands a topic to a writer, its key question only if there is one; empty for a null topic.
+
+    ``topic``: a struct of week, title_hint, angle, lens, direction and key_question; their nulls stand as empty texts.
+    """
+    shown = [F.concat(F.lit(label), F.coalesce(topic[field].cast("string"), F.lit(""))) for label, field in TOPIC_LINES]
+    asked = F.when(F.coalesce(topic.key_question, F.lit("")) != "", F.concat(F.lit(TOPIC_QUESTION), topic.key_question))
+    text = F.concat(F.concat_ws("\n", F.lit(TOPIC_HEAD), *shown, asked), F.lit(f"\n\n{TOPIC_ADVICE}\n\n"))
+    return F.when(topic.isNull(), "").otherwise(text)
+
+
 def plan_with_topics(plans: DataFrame, topics: DataFrame, key: str, child_key: str, order: str, fields: list[str]) -> DataFrame:
     """Each plan with its topics as an ordered array; a plan without topics has an empty one."""
     nested = topics.groupBy(F.col(child_key).alias(key)).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("topics"))

@@ -106,6 +106,18 @@ def key_events(events: Column, k: int = 3) -> Column:
     return F.slice(F.filter(events, lambda e: ~F.array_contains(stop, e)), 1, k)
 
 
+def first_key_events(rows: DataFrame, keys: list[str], order: list[str], event: str, k: int = 3) -> DataFrame:
+    """``keys`` and ``events``: the first ``k`` events of each key that aren't boilerplate, for events that come as rows.
+
+    Only those are shuffled, so a key may hold any share of all rows; a key without one, or with null events only, has an empty array.
+    """
+    said = rows.select(*keys, *order, F.col(event).alias("_event")).where(~F.col("_event").isin(BOILERPLATE))
+    kept = first_k(said, keys, [F.col(c) for c in order], k, "_nth").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_nth", "_event")))["_event"].alias("_found"))
+    every = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    both = every.unionByName(kept, allowMissingColumns=True).groupBy(*keys).agg(F.max("_found").alias("_found"))
+    return both.select(*keys, F.coalesce("_found", F.array().cast("array<string>")).alias("events"))
+
+
 def weekly_rollup(rows: DataFrame, at: str, value: str, correct: Column) -> DataFrame:
     """For each day and each week (``day`` null): signals, mean, volatility, accuracy, first-to-last return."""
     day = F.to_date(at)

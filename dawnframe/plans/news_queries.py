@@ -185,7 +185,29 @@ def n8_one_report(spark, sf_dir):
 def n9(spark, sf_dir):
     caps = spark.createDataFrame([("en", 10), ("de", 8), ("fr", 3), ("zz", 5)], "lang string, cap int")
     rows = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("line"))
-    return news.section_top_k(caps, rows, "lang", ["source", "doc_id"], "line")
+    return news.section_top_k(caps, rows, "lang", ["source", "doc_id"], "line", most=10)
+
+
+@query(
+    "n9_daily_report",
+    f"""WITH p AS (SELECT page_id, page_id // 50 AS report, page_id % 4 AS place, trim({PAGE_TITLE}) AS title, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS link FROM pages),
+    k AS (SELECT report, title, arg_max(link, place * 1000000000 + page_id) AS link FROM p WHERE (place < 2 OR (place = 2 AND report % 2 = 0)) AND title <> '' AND link <> '' GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY report, place ORDER BY page_id) AS nth FROM p WHERE place < 2 OR (place = 2 AND report % 2 = 0)),
+    l AS (SELECT r.report, r.place, nth, '- ' || r.title || CASE WHEN coalesce(k.link, r.link) <> '' THEN ' [🔗](' || coalesce(k.link, r.link) || ')' ELSE '' END AS line
+      FROM r LEFT JOIN k USING (report, title) WHERE nth <= CASE place WHEN 0 THEN 10 WHEN 1 THEN 8 ELSE 3 END),
+    s AS (SELECT report, place, string_agg(line, chr(10) ORDER BY nth) AS lines FROM l GROUP BY 1, 2),
+    t AS (SELECT q.report, max(CASE place WHEN 0 THEN lines END) AS a, max(CASE place WHEN 1 THEN lines END) AS b, max(CASE place WHEN 2 THEN lines END) AS c FROM (SELECT DISTINCT report FROM p) q LEFT JOIN s ON s.report = q.report GROUP BY 1)
+    SELECT report, '📰 早安新聞摘要 — day ' || report || chr(10) || chr(10) || '**🤖 AI 人工智慧**' || chr(10) || coalesce(a, '- 今日無相關新聞') || chr(10) || chr(10) || '**💻 科技 & 半導體**' || chr(10) || coalesce(b, '- 今日無相關新聞')
+      || chr(10) || chr(10) || '**🌏 重大新聞**' || chr(10) || coalesce(c, '- 今日無相關新聞') || chr(10) AS text FROM t""",
+)
+def n9_report(spark, sf_dir):
+    """Each fifty pages are a report; a quarter of them belongs to no section, and every other report has no general news."""
+    n = F.col("page_id")
+    rows = pages(spark, sf_dir).withColumn("report", F.floor(n / 50))
+    name = F.when(n % 4 == 0, "ai").when(n % 4 == 1, "tech").when((n % 4 == 2) & (F.col("report") % 2 == 0), "general").otherwise("sport")
+    items = rows.select("report", name.alias("section"), n.alias("position"), F.trim("title").alias("title"), F.when(n % 3 == 0, "").otherwise(F.col("url")).alias("link"))
+    dates = rows.select("report").distinct().withColumn("date", F.concat(F.lit("day "), F.col("report").cast("string")))
+    return news.daily_report(dates, items, "report", "date")
 
 
 MESSAGE = """'**AI 人工智慧**' || chr(10) || '- ' || substr(t, 1, 20) || ' [🔗](http://a/' || doc_id || ')' || chr(10) || '**Tech**' || chr(10) || '- ' || t || ' [🔗](http://b/' || doc_id || ') end'"""

@@ -58,10 +58,11 @@ def q2(spark, sf_dir):
 )
 def q3(spark, sf_dir):
     close = F.when(F.col("event_type") != "error", F.col("value"))
-    rows = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day"))
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct("event_id", close.alias("c")))).alias("r"), F.max("value").alias("market"), F.min("value").alias("prev"))
-    rows = rows.withColumn("symbol", F.concat_ws(" ", F.col("user_id").cast("string"), F.col("day").cast("string")))
-    return quotes.quote_from_closes(rows, "symbol", F.col("r.c"), F.col("market"), F.col("prev"), F.lit(None).cast("double"))
+    rows = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "value", close.alias("close"))
+    newest = quotes.newest_closes(rows, ["user_id", "day"], ["event_id"], "close")
+    fields = rows.groupBy("user_id", "day").agg(F.max("value").alias("market"), F.min("value").alias("prev")).join(newest, ["user_id", "day"], "left")
+    fields = fields.withColumn("symbol", F.concat_ws(" ", F.col("user_id").cast("string"), F.col("day").cast("string")))
+    return quotes.quote_from_closes(fields, "symbol", F.coalesce("closes", F.array().cast("array<double>")), F.col("market"), F.col("prev"), F.lit(None).cast("double"))
 
 
 @query(

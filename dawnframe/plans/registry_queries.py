@@ -147,6 +147,25 @@ def r14(spark, sf_dir):
     return registry.next_planned(topics, "plan_id", "week", "id", "O").select("plan_id", F.col("week").cast("string").alias("week"), "id")
 
 
+@query(
+    "r14_topic_block",
+    """WITH n AS (SELECT o_custkey, arg_min(o, o) AS o FROM (SELECT o_custkey, {'d': o_orderdate, 'k': o_orderkey, 'p': o_orderpriority} AS o FROM orders WHERE o_orderstatus = 'O') GROUP BY 1)
+    SELECT c_custkey AS plan_id, CASE WHEN o IS NULL THEN '' ELSE '=== 本期主題指引（editorial plan） ===' || chr(10) || '系列週次：W' || week(o.d) || chr(10) || '主題提示：' || o.p || chr(10) || '切入角度（angle）：' || c_mktsegment || chr(10) || '觀察視角（lens）：'
+      || chr(10) || '方向：tech-first' || chr(10) || CASE WHEN o.k % 2 = 0 THEN '核心提問：why ' || o.k || '?' || chr(10) ELSE '' END
+      || chr(10) || '請以上述主題提示和切入角度為本篇文章的主軸。從素材中選取與此角度相關的新聞，圍繞核心提問展開論述。' || chr(10) || chr(10) END AS block
+    FROM customer LEFT JOIN n ON o_custkey = c_custkey""",
+)
+def r14_block(spark, sf_dir):
+    """Every customer is a plan; some have no planned topic, none has a lens, and every other question is empty."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan_id"), F.to_date("o_orderdate").alias("day"), k.alias("id"), F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    topics = registry.with_defaults(registry.next_planned(orders, "plan_id", "day", "id", "O").withColumn("direction", F.lit(None).cast("string")))
+    plans = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("plan_id"), "c_mktsegment").join(topics, "plan_id", "left")
+    question = F.when(F.col("id") % 2 == 0, F.concat(F.lit("why "), F.col("id").cast("string"), F.lit("?"))).otherwise("")
+    fields = [F.weekofyear("day").alias("week"), F.col("o_orderpriority").alias("title_hint"), F.col("c_mktsegment").alias("angle"), F.lit(None).cast("string").alias("lens"), "direction", question.alias("key_question")]
+    return plans.select("plan_id", registry.topic_block(F.when(F.col("id").isNotNull(), F.struct(*fields))).alias("block"))
+
+
 @query(
     "r15_transition",
     """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 3 = 0 THEN 'published' WHEN o_orderstatus = 'O' AND o_orderkey % 3 = 1 THEN 'skipped' WHEN o_orderstatus = 'O' THEN 'planned' ELSE o_orderstatus END AS status,

@@ -118,9 +118,8 @@ def s7(spark, sf_dir):
 )
 def s8(spark, sf_dir):
     said = F.when(F.col("event_type") == "view", "Market closed").otherwise(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")))
-    rows = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day"))
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct("event_id", said.alias("s")))).alias("r"))
-    return listed.select("user_id", "day", F.array_join(signals.key_events(F.col("r.s")), "; ").alias("events"))
+    rows = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), "event_id", said.alias("said"))
+    return signals.first_key_events(rows, ["user_id", "day"], ["event_id"], "said").select("user_id", "day", F.array_join("events", "; ").alias("events"))
 
 
 @query(
