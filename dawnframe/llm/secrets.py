@@ -5,16 +5,18 @@ Base spans (leftmost, non-overlapping per kind; a match that fails its test is d
 They always count.  The method adds kind ``random``: runs of 20 or more token characters that look drawn at random.
 All of them are tested, with or without digits and letters; of digits alone 24 are ``hex``, and fewer tell too little.
 
-Each candidate's encoding is inferred from its characters (lower or upper hexadecimal, base 32, base 64), which gives
-its alphabet size.  Three tests ask how likely natural text of the same length is to look this random:
+Each candidate's encoding is inferred from its characters (hexadecimal of one case, base 32, base 36, base 64, and letters of one case or
+both where no digit stands), which gives its alphabet.  Three tests ask how likely natural text of the same length is to look this random:
 
-- chi-squared uniformity over the alphabet; natural letters are uneven, and the more so the longer they run;
-- runs: changes of character class (upper, digit, lower or separator), which natural tokens seldom make; a token
-  without a digit is tested for its letters instead, as names and paths change case and hyphenate, while a key of one
-  case never changes: rare letters are as frequent as others in random tokens only;
+- chi-squared uniformity over the alphabet; natural letters are uneven, and the more so the longer they run.  Which letters are frequent counts
+  beside how uneven they are: rare letters are as frequent as others in random tokens only;
+- runs, in two sequences: digits and letters change places seldom in natural tokens and often in random ones; vowels and consonants change places
+  often in words and seldom in random letters.  What a random token does there follows from the shares of digits and vowels in its encoding;
 - serial correlation of neighbouring symbols, which is near zero for random tokens.
 
-Their scores are combined by Stouffer's method, so one test that speaks for natural text counts against the others.  The false-discovery rate over all candidates of the corpus is held
+Their scores are combined by Stouffer's method, each weighted by how far random tokens of that encoding and make lie from natural ones, so a test
+that can't tell the two apart there (unevenness of hexadecimal, digits among letters alone) says nothing, and one that speaks for natural text counts against the others.
+The false-discovery rate over all candidates of the corpus is held
 at ``ALPHA`` by the Benjamini-Hochberg rule with length weights: power grows with length, so a candidate's p-value
 is divided by its length over the mean length, at most ``MOST_WEIGHT``.  The rule needs only how many candidates lie
 in each of ``BINS`` classes of the p-value, one small aggregation; rounding is to the careful side.
@@ -28,6 +30,9 @@ counts as a candidate; an empty table gives an empty table; further columns, wha
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +48,13 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHA = 0.01
 BINS, STEP = 1200, 0.05
 MOST_WEIGHT = 4.0
-#: Sums of squared and cubed letter shares of European prose, its change rate of character classes, and the
-#: size of its serial correlation.
-SQUARES, CUBES, CHANGES, SERIAL = 0.066, 0.0055, 0.12, 0.25
+#: Sums of squared and cubed letter shares of European prose; how often neighbouring letters and digits, and
+#: neighbouring vowels and consonants, change places in names, paths and words; the size of their serial correlation.
+SQUARES, CUBES, DIGIT_CHANGES, VOWEL_CHANGES, SERIAL = 0.066, 0.0055, 0.08, 0.60, 0.25
 #: Log of a random letter's share over its share in prose (mean of English, German, French and Spanish; 1.2 at most),
 #: a to z; the mean over prose, and the spread of one letter, widened since a word's letters depend on each other.
 LETTERS = (-0.81, 0.84, 0.16, -0.18, -1.31, 0.98, 0.68, 0.23, -0.59, 1.2, 1.2, -0.17, 0.31, -0.7, -0.49, 0.69, 1.2, -0.57, -0.67, -0.58, -0.07, 1.16, 1.2, 1.2, 1.2, 1.2)
-LETTER, LETTER_SPREAD = -0.39, 0.9
+LETTER, LETTER_SPREAD = -0.39, 1.0
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 
 
@@ -59,8 +64,38 @@ def _normal(z: Column) -> Column:
     return 1 / (1 + F.exp(-1.5976 * x - 0.070566 * x * x * x))
 
 
-def _alphabet(token: Column) -> Column:
-    return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(token.rlike("^[A-Z2-7=]+$"), 32).otherwise(64)
+class Encoding(NamedTuple):
+    """What random tokens of an encoding are like."""
+
+    symbols: float
+    digit_changes: float  # share of neighbouring letters and digits that change places
+    vowel_changes: float  # the same of neighbouring letters
+    rarity: float  # mean of ``LETTERS``
+
+
+def _encoding(symbols: int, letters: str, digits: int, cases: int = 1) -> Encoding:
+    own, vowels = cases * len(letters), sum(x in VOWELS for x in letters) / len(letters)
+    share = digits / (own + digits)
+    return Encoding(float(symbols), 2 * share * (1 - share), 2 * vowels * (1 - vowels), sum(LETTERS[ord(x) - 97] for x in letters) / len(letters))
+
+
+VOWELS = "aeiouy"
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+#: Letters alone of one case and of both, hexadecimal of one case, base 32, base 36, base 64.
+ENCODINGS = (_encoding(26, ALPHABET, 0), _encoding(52, ALPHABET, 0, 2), _encoding(16, "abcdef", 10), _encoding(32, ALPHABET, 6), _encoding(36, ALPHABET, 10), _encoding(64, ALPHABET, 10, 2))
+
+
+def _inferred(token: Column) -> Column:
+    """Place of a token's encoding in ``ENCODINGS``, from 1."""
+    both = token.rlike("[a-z]") & token.rlike("[A-Z]")
+    alone = F.when(both, 2).otherwise(1)
+    return F.when(~token.rlike("[0-9]"), alone).when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 3).when(token.rlike("^[A-Z2-7=]+$"), 4).when(both, 6).otherwise(5)
+
+
+def _classes(token: Column) -> Column:
+    """The token with v, c, d, s for each vowel, consonant, digit and other character."""
+    kinds = "".join("v" if x.lower() in VOWELS else "c" if x.isalpha() else "d" if x.isdigit() else "s" for x in SYMBOLS)
+    return F.translate(token, SYMBOLS, kinds)
 
 
 def _symbols(token: Column) -> Column:
@@ -71,41 +106,56 @@ def _symbols(token: Column) -> Column:
 def battery(found: Column) -> Column:
     """(start, end, found) -> (start, end, n, p) with p the combined p-value."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    one = F.transform(found, lambda f: F.struct(f.start.alias("start"), f.end.alias("end"), F.length(f.found).cast("double").alias("n"), _alphabet(f.found).cast("double").alias("k"), _symbols(f.found).alias("c")))
+    times = lambda classes, pattern: F.regexp_count(classes, F.lit(pattern)).cast("double")
+    one = F.transform(
+        found,
+        lambda f: F.struct(
+            f.start.alias("start"), f.end.alias("end"), F.length(f.found).cast("double").alias("n"), _inferred(f.found).alias("e"), _symbols(f.found).alias("c"), _classes(f.found).alias("w")
+        ),
+    )
 
     def tested(f: Column) -> Column:
         counts = F.transform(F.array_distinct(f.c), lambda x: F.size(f.c) - F.size(F.array_remove(f.c, x)))
-        pairs = F.zip_with(F.slice(f.c, 1, F.size(f.c) - 1), shifted(f.c, 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        pairs = F.zip_with(F.slice(f.c, 1, F.size(f.c) - 1), shifted(f.c, 1), lambda a, b: (a * b).cast("double"))
         rarity = lambda x: F.element_at(F.array(*[F.lit(v) for v in LETTERS]), ((x - 1) % 26 + 1).cast("int"))
-        kind = lambda x: F.when(x <= 26, 1).when((x > 52) & (x <= 62), 3).otherwise(2)
         return F.struct(
-            f.start.alias("start"), f.end.alias("end"), f.n.alias("n"), f.k.alias("k"),
+            f.start.alias("start"), f.end.alias("end"), f.n.alias("n"), f.e.alias("e"),
             total(F.transform(counts, lambda x: x.cast("double") * x)).alias("squares"),
-            F.size(F.filter(pairs, lambda p: kind(p.a) != kind(p.b))).cast("double").alias("changes"),
-            F.exists(f.c, lambda x: (x > 52) & (x <= 62)).alias("digit"),
-            F.size(F.filter(f.c, lambda x: x <= 52)).cast("double").alias("letters"),
+            times(f.w, "[vcd](?=[vcd])").alias("mixed"), times(f.w, "d(?=[vc])|[vc](?=d)").alias("digit_changes"),
+            times(f.w, "[vc](?=[vc])").alias("spelt"), times(f.w, "v(?=c)|c(?=v)").alias("vowel_changes"),
+            times(f.w, "[vc]").alias("letters"),
             total(F.transform(f.c, lambda x: F.when(x <= 52, rarity(x)).otherwise(0.0))).alias("rare"),
             total(F.transform(f.c, lambda x: x.cast("double"))).alias("s1"),
             total(F.transform(f.c, lambda x: (x * x).cast("double"))).alias("s2"),
-            total(F.transform(pairs, lambda p: (p.a * p.b).cast("double"))).alias("s12"),
+            total(pairs).alias("s12"),
         )
 
     sums = F.transform(one, tested)
 
     def scored(s: Column) -> Column:
-        n, k = s.n, s.k
+        n = s.n
+        of = lambda field: F.element_at(F.array(*[F.lit(getattr(e, field)) for e in ENCODINGS]), s.e)
+        k = of("symbols")
         mean = s.s1 / n
         variance = F.greatest(s.s2 / n - mean * mean, F.lit(1e-9))
         chi = k / n * s.squares - n
         natural = k + k * (n - 1) * SQUARES - n
         spread = k * F.sqrt(4 * n * (CUBES - SQUARES * SQUARES) + 2 * SQUARES * SQUARES)
+        root = lambda x: F.sqrt(F.greatest(x, F.lit(1.0)))
         within = lambda z, most: F.least(F.greatest(z, F.lit(-most)), F.lit(most))
-        even = within((natural - chi) / spread, 12.0)  # how far natural tokens are from being as even as this one
-        runs = within((s.changes - CHANGES * (n - 1)) / F.sqrt(CHANGES * (1 - CHANGES) * (n - 1)), 12.0)
-        letters = within((s.rare - LETTER * s.letters) / (LETTER_SPREAD * F.sqrt(F.greatest(s.letters, F.lit(1.0)))), 12.0)
+        turns = lambda found, usual, places: (found - usual * places) / (root(places) * (usual * (1 - usual)) ** 0.5)
         serial = F.abs((s.s12 / (n - 1) - mean * mean) / variance)
-        apart = within((SERIAL - serial) * F.sqrt(n), 1.5)
-        return F.struct(s.start.alias("start"), s.end.alias("end"), n.alias("n"), _normal(-(even + F.when(s.digit, runs).otherwise(letters) + apart) / 3**0.5).alias("p"))
+        # Each test: how far the token lies from natural ones, and how far random ones of its make do.
+        tests = [
+            ((natural - chi) / spread, (natural - (k - 1)) / spread),
+            ((s.rare - LETTER * s.letters) / (LETTER_SPREAD * root(s.letters)), (of("rarity") - LETTER) * s.letters / (LETTER_SPREAD * root(s.letters))),
+            (turns(s.digit_changes, DIGIT_CHANGES, s.mixed), F.when(of("digit_changes") > 0, turns(of("digit_changes") * s.mixed, DIGIT_CHANGES, s.mixed)).otherwise(0.0)),
+            (-turns(s.vowel_changes, VOWEL_CHANGES, s.spelt), -turns(of("vowel_changes") * s.spelt, VOWEL_CHANGES, s.spelt)),
+            (within((SERIAL - serial) * F.sqrt(n), 1.5), within(SERIAL * F.sqrt(n) - (2 / math.pi) ** 0.5, 1.5)),
+        ]
+        tests = F.array(*[F.struct(within(z, 12.0).alias("z"), F.greatest(far, F.lit(0.0)).alias("far")) for z, far in tests])
+        z = let(tests, lambda t: total(F.transform(t, lambda x: x.z * x.far)) / F.sqrt(total(F.transform(t, lambda x: x.far * x.far)) + 1e-9))
+        return F.struct(s.start.alias("start"), s.end.alias("end"), n.alias("n"), _normal(-z).alias("p"))
 
     return F.transform(sums, scored)
 

@@ -16,24 +16,42 @@ CAPS, SMALL, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.dig
 def plain_p(token):
     """The battery's p-value of one token, character by character."""
     n = len(token)
-    size = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else 32 if re.fullmatch("[A-Z2-7=]+", token) else 64
+    upper, lower, digit = (any(c in alphabet for c in token) for alphabet in (CAPS, SMALL, DIGITS))
+    # symbols, letters, how many digits, cases
+    if not digit:
+        size, own, digits, cases = (52, SMALL, 0, 2) if upper and lower else (26, SMALL, 0, 1)
+    elif re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
+        size, own, digits, cases = 16, "abcdef", 10, 1
+    elif re.fullmatch("[A-Z2-7=]+", token):
+        size, own, digits, cases = 32, SMALL, 6, 1
+    else:
+        size, own, digits, cases = (64, SMALL, 10, 2) if upper and lower else (36, SMALL, 10, 1)
+    vowel = lambda x: x.lower() in "aeiouy"
     at = [secrets.SYMBOLS.index(c) + 1 for c in token]
-    group = [1 if c in CAPS else 3 if c in DIGITS else 2 for c in token]
     letters = [c for c in token if c in CAPS + SMALL]
-    within = lambda z, most: max(-most, min(most, z))
+    neighbours = list(zip(token, token[1:], strict=False))
+    spelt = [(a, b) for a, b in neighbours if a in CAPS + SMALL and b in CAPS + SMALL]
+    mixed = [(a, b) for a, b in neighbours if a in CAPS + SMALL + DIGITS and b in CAPS + SMALL + DIGITS]
     squares = sum(k * k for k in collections.Counter(token).values())
     s, c = secrets.SQUARES, secrets.CUBES
-    spread = size * math.sqrt(4 * n * (c - s * s) + 2 * s * s)
-    even = within((size + size * (n - 1) * s - n - (size / n * squares - n)) / spread, 12.0)
-    changes, rate = sum(a != b for a, b in zip(group, group[1:], strict=False)), secrets.CHANGES
-    runs = within((changes - rate * (n - 1)) / math.sqrt(rate * (1 - rate) * (n - 1)), 12.0)
-    rare = sum(secrets.LETTERS[string.ascii_lowercase.index(x.lower())] for x in letters)
-    uncommon = within((rare - secrets.LETTER * len(letters)) / (secrets.LETTER_SPREAD * math.sqrt(max(len(letters), 1))), 12.0)
+    pairs = n * (n - 1)
+    spread = n * math.sqrt(4 * n * (c - s * s) + 2 * s * s)
+    tests = [((n + pairs * s - squares) / spread, pairs * (s - 1 / size) / spread)]
+    rarity = lambda x: secrets.LETTERS[SMALL.index(x.lower())]
+    root = math.sqrt(max(len(letters), 1)) * secrets.LETTER_SPREAD
+    tests.append(((sum(map(rarity, letters)) - secrets.LETTER * len(letters)) / root, len(letters) * (sum(map(rarity, own)) / len(own) - secrets.LETTER) / root))
+    share, rate = digits / (len(own) * cases + digits), secrets.DIGIT_CHANGES
+    root = math.sqrt(max(len(mixed), 1) * rate * (1 - rate))
+    tests.append(((sum((a in DIGITS) != (b in DIGITS) for a, b in mixed) - rate * len(mixed)) / root, len(mixed) * (2 * share * (1 - share) - rate) / root if digits else 0))
+    share, rate = sum(map(vowel, own)) / len(own), secrets.VOWEL_CHANGES
+    root = math.sqrt(max(len(spelt), 1) * rate * (1 - rate))
+    tests.append(((rate * len(spelt) - sum(vowel(a) != vowel(b) for a, b in spelt)) / root, len(spelt) * (rate - 2 * share * (1 - share)) / root))
     mean = sum(at) / n
     variance = max(sum(x * x for x in at) / n - mean * mean, 1e-9)
     serial = abs((sum(a * b for a, b in zip(at, at[1:], strict=False)) / (n - 1) - mean * mean) / variance)
-    apart = within((secrets.SERIAL - serial) * math.sqrt(n), 1.5)
-    z = max(-12.0, min(12.0, -(even + (runs if 3 in group else uncommon) + apart) / 3**0.5))
+    tests.append((max(-1.5, min(1.5, (secrets.SERIAL - serial) * math.sqrt(n))), min(1.5, secrets.SERIAL * math.sqrt(n) - math.sqrt(2 / math.pi))))
+    tests = [(max(-12.0, min(12.0, z)), max(far, 0.0)) for z, far in tests]
+    z = max(-12.0, min(12.0, -sum(z * far for z, far in tests) / math.sqrt(sum(far * far for _, far in tests) + 1e-9)))
     return 1 / (1 + math.exp(-1.5976 * z - 0.070566 * z**3))
 
 

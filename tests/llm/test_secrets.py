@@ -61,6 +61,28 @@ def test_keys_without_digits_are_found_and_long_words_left(spark):
     assert [t for i, t in enumerate(plain, 160) if "random" in found[i].spans] == []
 
 
+def test_recall_by_encoding_and_length(spark):
+    """From 24 characters on nine of ten keys of every encoding are found, beside as many natural names."""
+    rng = random.Random(11)
+    encodings = {
+        "HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits, "BASE36": string.ascii_uppercase + string.digits,
+        "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "letters": string.ascii_letters, "lower": string.ascii_lowercase, "UPPER": string.ascii_uppercase,
+    }
+    cases = [(name, n) for name in encodings for n in (20, 24, 32, 40) for _ in range(50)]
+    drawn = ["".join(rng.choice(encodings[name]) for _ in range(n)) for name, n in cases]
+    words = "report table annual market window signal history weather station planet garden northern language reading volume section chapter station journey".split()
+    glue = ("-", "_", "/", "")
+    plain = [glue[i % 4].join(rng.choice(words) for _ in range(5)) + ("" if i % 3 else f"{glue[i % 4]}{rng.randrange(2030)}") for i in range(900)]
+    plain += ["".join(rng.choice(words).capitalize() for _ in range(4)) for _ in range(450)] + ["_".join(rng.choice(words).upper() for _ in range(4)) for _ in range(450)]
+    found = scan(spark, [f"see {t} here" for t in drawn + plain])
+    hits = {}
+    for i, case in enumerate(cases):
+        hits[case] = hits.get(case, 0) + ("random" in found[i].spans)
+    assert {case: n for case, n in hits.items() if case[1] >= 24 and n < 45} == {}, hits
+    assert {case: n for case, n in hits.items() if n < 35} == {}, hits
+    assert sum("random" in found[i].spans for i in range(len(drawn), len(drawn + plain))) <= 9
+
+
 def test_empty_table(spark):
     assert scan(spark, []) == {}
 
