@@ -10,11 +10,14 @@ the element holds most of the page's points and no article, main or article-name
 can't empty a page.  From the best container the
 way leads up to its article or main element, or else through parents that score alike.  What is reached is kept, with all
 beside it that has less than half its text in links or scores well, however short.  Of what is kept every block but lists
-of links is returned in page order: character references decoded, white space and line breaks inside a block made one space, blocks joined by one space; images, scripts and the like inside a
+of links is returned in page order (within an article element only lists of ``MENU`` links or more without a heading count as such): character references decoded, white space and line breaks inside a block made one space, blocks joined by one space; images, scripts and the like inside a
 line leave no space behind.
 
 Unclosed paragraphs, list items and cells are closed as browsers do; broken markup never fails.  A page is read in time
 proportional to its length, however deep its tags nest: totals are summed from the leaves up, open tags are found by name.
+Decisions: a name that says a notice (``legal-notice``) is cut wherever it stands, also around prose; a furniture word that leads a phrase
+(``menu-of-the-day``) is no furniture; a paragraph within an article or main element whose name only may be furniture (``social``) stays if it holds
+``PROSE`` characters outside links and more than within; text that stands wholly in links is no article.
 Defined results: a null or empty page, or one without article text, gives an empty string; whole pages of any length are read; of containers that
 score the same the one that starts first is taken; repeated rows are extracted one by one; an empty table gives an empty table; further columns are ignored.
 """
@@ -50,6 +53,8 @@ LOOSE_FURNITURE = set(
     "promo promotion banner side aside rail foot notice notices notification notifications alert alerts disclaimer subscribe subscription "
     "signup login search share sharing social related recommended recommendations latest popular trending widget widgets tags form hidden legal copyright".split()
 )
+#: Those of them that an article's paragraph can be about.
+SUBJECTS = set("side aside rail foot search share sharing social related recommended recommendations latest popular trending tags hidden".split())
 PLAIN = set(
     "head box bar block list links link area section wrapper container inner left right top bottom secondary primary site global "
     "buttons icons posts articles stories news js".split()
@@ -57,6 +62,8 @@ PLAIN = set(
 READERS = set("comment comments commentlist disqus reply replies respond discussion".split())
 #: What follows such a word only says how a page is laid out.
 MODIFIERS = set("has have no not with without is hide show visible hidden on off".split())
+#: What follows such a word only in a phrase.
+PHRASE = {"of", "the"}
 GOOD_WORDS = set("article articlebody body content entry main page post prose story text".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSE_LIMIT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -71,17 +78,20 @@ _AGAIN = {tag: re.compile(rf"<{tag}(?![\w-])", re.I) for tag in RAW}
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/>=]|$)")
 _STYLED_AWAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+PROSE, MENU = 80, 5
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd", "figcaption", *HEADINGS}
 
 
 class _Node:
-    __slots__ = ("tag", "up", "cut", "soft", "reader", "weight", "score", "size", "linked", "links", "own", "commas", "block", "depth", "ended", "below")
+    __slots__ = ("tag", "up", "cut", "soft", "reader", "subject", "headed", "weight", "score", "size", "linked", "links", "own", "commas", "block", "depth", "ended", "below")
 
     def __init__(self, tag, up, depth, cut=False, soft=False, reader=False, weight=0.0):
         self.tag, self.up, self.depth, self.weight = tag, up, depth, weight
         self.cut = cut  # never taken, with all below
         self.soft = soft  # cut by its name; may be taken back
         self.reader = reader  # cut as reader comments; never taken back
+        self.headed = up is not None and (up.below[-1].tag in HEADINGS if up.below else up.headed)  # stands right below a heading
+        self.subject = False  # a paragraph whose name may say what it is about
         self.score = 0.0  # points passed up by paragraphs
         self.size = self.linked = self.links = 0  # characters below, those in links, and links
         self.own = self.commas = 0  # of a block: its own characters and commas
@@ -100,29 +110,35 @@ def _encloses(tag: str) -> bool:
     return tag in CUT_TAGS or not _inline(tag)
 
 
-def _furniture(names: str) -> tuple[bool, bool, bool]:
-    """Whether class and id names say page furniture, reader comments, or article."""
+def _furniture(names: str) -> tuple[bool, bool, bool, bool]:
+    """Whether class and id names say page furniture, reader comments, or article, and whether what says furniture may be a subject."""
     cut = reader = good = False
+    subject = True
     for name in names.split():
         words = _WORDS.findall(_CAMEL.sub("-", name).lower())
+        if any(w in PHRASE for w in words):
+            at = next(i for i, w in enumerate(words) if w in PHRASE)
+            if not set(words[at:]) & READERS:
+                continue
         if len(words) > 1:
             words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
         own = set(words)
         loose = own & LOOSE_FURNITURE
         if own & READERS:
-            reader = True
+            reader, subject = True, False
         elif own & FURNITURE or (loose and own <= LOOSE_FURNITURE | PLAIN | GOOD_WORDS):
             cut = True
+            subject &= own <= SUBJECTS
         elif own & GOOD_WORDS and not loose:
             good = True
-    return cut, reader, good
+    return cut, reader, good, cut and subject
 
 
 def _node(tag: str, rest: str, up: _Node, depth: int) -> _Node:
-    cut, soft, reader, weight = tag in CUT_TAGS, tag == "form", False, 25.0 * (tag in ("article", "main"))
+    cut, soft, reader, subject, weight = tag in CUT_TAGS, tag == "form", False, False, 25.0 * (tag in ("article", "main"))
     if "=" in rest or "hidden" in rest:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
-        named, reader, good = _furniture(f"{found.get('class', '')} {found.get('id', '')}")
+        named, reader, good, subject = _furniture(f"{found.get('class', '')} {found.get('id', '')}")
         good |= found.get("role") in ("main", "article") or found.get("itemprop") == "articleBody"
         reader &= tag not in ("main", "body", "html") and not good
         if tag not in ("article", "main", "body", "html"):
@@ -130,7 +146,9 @@ def _node(tag: str, rest: str, up: _Node, depth: int) -> _Node:
             cut |= found.get("role", "").lower() in CUT_ROLES
             cut |= found.get("aria-hidden") == "true" or bool(_STYLED_AWAY.search(found.get("style", ""))) or bool(_HIDDEN.search(_ATTRIBUTE.sub(" ", rest)))
         weight += 25.0 * (good and not _inline(tag))
-    return _Node(tag, up, depth, cut, soft, reader, weight)
+    node = _Node(tag, up, depth, cut, soft, reader, weight)
+    node.subject = subject and soft and tag == "p"
+    return node
 
 
 def _read(page: str):
@@ -226,9 +244,16 @@ def _points(n: _Node) -> float:
 def _take_back(nodes: list[_Node], parts) -> None:
     """Undo cuts by name of elements that hold most of a page that has no article outside them."""
     for part in parts:
-        if part is not None and not part[2]:
+        if part is not None and part[2]:
+            part[0].linked += len(part[1])
+        elif part is not None:
             part[0].own += len(part[1])
             part[0].commas += _commas(part[1])
+    within: set[_Node] = set()  # article and main elements and all below them
+    for n in nodes:  # parents come first
+        if n.tag in ("article", "main") or n.up in within:
+            within.add(n)
+            n.soft &= not (n.subject and n.own >= PROSE and n.own > n.linked)
     barred: dict[_Node, bool] = {}  # under a cut that stands whatever is below
     for n in nodes:  # parents come first
         barred[n] = n.reader or n.cut or (n.up is not None and barred[n.up])
@@ -256,7 +281,7 @@ def _score(nodes: list[_Node], parts) -> list:
     if any(n.soft for n in nodes):
         _take_back(nodes, parts)
         for n in nodes:
-            n.own = n.commas = 0
+            n.own = n.commas = n.linked = 0
     _cut_below(nodes)
     parts = [p for p in parts if p is None or not p[3].cut]
     for part in parts:
@@ -323,6 +348,7 @@ def main_text(page: str | None) -> str:
             if n is not best and not n.cut and n.size and (_dense(n) < 0.5 or _value(n) >= max(10, 0.2 * best_score)):
                 kept.add(id(n))
     verdict: dict[int, bool] = {}
+    article: dict[int, bool] = {}  # whether a node is an article element or below one
 
     def stays(node) -> bool:
         path, n = [], node
@@ -331,7 +357,9 @@ def main_text(page: str | None) -> str:
             n = n.up
         for n in reversed(path):
             inside = id(n) in kept or (n.up is not None and verdict[id(n.up)])
+            article[id(n)] = n.tag == "article" or (n.up is not None and article[id(n.up)])
             menu = n.tag in ("ul", "ol", "div", "table", "section", "dl") and id(n) not in kept and n.links >= 3 and _dense(n) > 0.6
+            menu &= not article[id(n)] or (n.links >= MENU and not n.headed)
             verdict[id(n)] = inside and not menu
         return verdict[id(node)]
 

@@ -400,6 +400,32 @@ def test_containers_that_score_the_same_give_the_first():
     assert html.main_text(page).split()[: len(LONG_P.split())] == LONG_P.split()
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>{p}</p><h2>Sources</h2><ul><li><a href=1>one</a></li><li><a href=2>two</a></li><li><a href=3>three</a></li></ul></article>", "{p} Sources one two three"),
+        ("<article><p>{p}</p><div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div></article>", "{p} one two three"),
+        ("<article><p>{p}</p><h2>Sources</h2><div><ul>" + "<li><a href=1>one</a></li>" * 9 + "</ul></div></article>", "{p} Sources" + " one" * 9),
+        ("<article><p>{p}</p><ul>" + "<li><a href=1>one</a></li>" * 9 + "</ul></article>", "{p}"),
+        ("<main><p>{p}</p><ul><li><a href=1>one</a></li><li><a href=2>two</a></li><li><a href=3>three</a></li></ul></main>", "{p}"),
+        ("<article><p>{p}</p></article><ul><li><a href=1>one</a></li><li><a href=2>two</a></li><li><a href=3>three</a></li></ul>", "{p}"),
+        ("<article><p>{p}</p><p class=social>{p}</p></article>", "{p} {p}"),
+        ("<article><p>{p}</p><p class=social>Follow us here</p></article>", "{p}"),
+        ("<article><p>{p}</p><p class=related>See also the pages of <a href=1>{p}</a></p></article>", "{p}"),
+        ("<article><p>{p}</p></article><p class=social>{p}</p>", "{p}"),
+        ("<article><p>{p}</p><p class=disclaimer>{p}</p><p class='social disclaimer'>{p}</p></article>", "{p}"),
+        ("<main><p>{p}</p><section class=legal-notice><p>{p}</p></section></main>", "{p}"),
+        ("<article><p>{p}</p><div class=menu-of-the-day><p>{p}</p></div></article>", "{p} {p}"),
+        ("<article><p>{p}</p><section id=comment-on-the-law><p>{p}</p></section></article>", "{p} {p}"),
+        ("<article><p>{p}</p><section id=join-the-discussion><p>{p}</p></section></article>", "{p}"),
+        ("<article><p>{p}</p><div class='menu-of-the-day sidebar'><p>{p}</p></div></article>", "{p}"),
+        ("<body><p><a href=1>{p}</a></p></body>", ""),
+    ],
+)
+def test_names_and_link_lists_within_an_article(page, want):
+    assert html.main_text(page.replace("{p}", LONG_P)).split() == want.replace("{p}", LONG_P).split()
+
+
 def test_em_converges_and_finds_the_rules_accuracies():
     """On votes drawn from known accuracies; more rounds or a stricter tolerance change nothing."""
     rng = np.random.default_rng(4)
