@@ -12,6 +12,8 @@ and added back.  A chunk is rendered as one row, ``part`` 0, 1, ... of ``n_parts
 conversation is one part.  Should many turns share their numbers, so that a chunk has over ``PIECE`` turns, it is rendered as
 pieces of that many turns, each a part.
 
+A part is bounded by its turns, not by bytes: one whose texts together pass 2 GB, the most a value can hold, fails its task.
+
 A marker inside a text or role is broken by a blank before its last bar (``<|im_end |>``), and line breaks in a role become
 blanks, so no turn can pass for another.
 

@@ -214,7 +214,8 @@ def margins(docs: DataFrame, budget: float = BUDGET, shares: dict[str, dict[str,
 def mixed(docs: DataFrame, budget: float = BUDGET, shares: dict[str, dict[str, float]] | None = None, topic_of: Column | None = None) -> DataFrame:
     """The drawn documents, with the columns of ``docs``, their ``topic`` and ``probability`` (in place of such columns of ``docs``)."""
     factors = rake(labelled(docs, topic_of), budget, shares)
-    own = {"_mix_source": F.coalesce("source", F.lit(NONE)), "_mix_lang": F.coalesce("lang", F.lit(NONE)), "_mix_topic": _topic(topic_of), "_mix_u": uniform()}
-    drawn = _with_chance(docs.withColumns(own), factors, {m: f"_mix_{m}" for m in MARGINS}, budget, "_mix_p").where("_mix_u < _mix_p")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("topic", "probability")]
-    return drawn.select(*kept, F.col("_mix_topic").alias("topic"), F.col("_mix_p").alias("probability"))
+    kept = [c for c in docs.columns if c not in ("topic", "probability")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")  # so no column of the documents clashes with one of the work
+    rows = docs.select(whole, F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce("lang", F.lit(NONE)).alias("lang"), _topic(topic_of).alias("topic"), uniform().alias("u"))
+    drawn = _with_chance(rows, factors, {m: m for m in MARGINS}, budget, "probability").where("u < probability")
+    return drawn.select(*[F.col("row").getField(c).alias(c) for c in kept], "topic", "probability")

@@ -16,6 +16,8 @@ characters of ``[#*$%&|<>]``; ``n_dup_lines`` lines with a word that equal an ea
 in eight-word windows that occur twice or more in the text.  ``base_failed``: under 20 words, or more than 30 % of
 the words repeat in windows; such a document is never kept.
 
+A text's words are one array in its task, as long as the text: texts of 100 MB need gigabytes there.
+
 Defined results: a null or blank text has zero words and fails the base rule; repeated rows are judged one by one;
 an empty table gives an empty table; further columns are ignored.
 """

@@ -198,3 +198,17 @@ def test_a_dropped_conversation_is_not_collected(spark):
     assert max(r.rendered.count(chat.START) for r in got) <= chat.PIECE and sum(r.rendered.count(chat.START) for r in got) == 5002
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")  # the semi-join stands below
+
+
+def test_columns_named_like_those_of_the_work_are_kept(spark):
+    names = ["row", "u", "_mix_source", "_mix_u", "_mix_p", "_mix_v_lang", "_mix_f_lang", "f", "tokens", "a.b"]
+    rows = [(i, f"text {i} of some words", f"s{i % 3}" if i % 7 else None, f"l{i % 2}", "old", 0.5, *[f"{n}{i}" for n in names]) for i in range(60)]
+    schema = "doc_id long, text string, source string, lang string, topic string, probability double, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    found = mixing.mixed(docs, budget=150.0)
+    assert found.columns == ["doc_id", "text", "source", "lang", *names, "topic", "probability"]
+    plain = mixing.mixed(docs.select("doc_id", "text", "source", "lang"), budget=150.0)
+    assert {(r.doc_id, r.topic, r.probability) for r in found.collect()} == {(r.doc_id, r.topic, r.probability) for r in plain.collect()}
+    for r in found.collect():
+        assert tuple(r)[:4] == rows[r.doc_id][:4] and tuple(r)[4:14] == rows[r.doc_id][6:]
+        assert r.topic != "old"
