@@ -3,7 +3,7 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written as Parquet and read again before the
 next.  All but the last return the columns of ``documents``.
 
-Defined results: a null or empty text is near no language and goes in the first stage; of repeated rows and equal texts one row stays, that of the least
+Defined results: a null or empty text is near no language and goes in the first stage; of repeated rows and equal texts with ids one row stays, that of the least
 id; further columns, whatever their names, pass through, but for ``topic`` and ``probability``, which the last stage sets; an empty table gives an
 empty table; whole texts of any length are read.
 """
