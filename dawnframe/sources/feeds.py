@@ -88,3 +88,10 @@ def xml_text(x: Column) -> Column:
     for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         x = F.replace(x, F.lit(raw), F.lit(escaped))
     return x
+
+
+def plain_text(x: Column) -> Column:
+    """A text with its references to marks decoded, each once; a bare or cut one stays as it is."""
+    for escaped, raw in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(escaped), F.lit(raw))
+    return x
