@@ -455,7 +455,7 @@ def _folder(spark, name):
 @query("a6_dump_restore", "SELECT * FROM orders", dates=("o_orderdate",))
 def a6(spark, sf_dir):
     rows, path = table(spark, sf_dir, "orders"), _folder(spark, "dump")
-    logs.table_dump(rows, path)
+    logs.table_dump(rows, path, packed=True)
     return logs.restore(spark, path, rows.schema)
 
 
@@ -463,7 +463,7 @@ def a6(spark, sf_dir):
 def a6_all(spark, sf_dir):
     """All tables dumped, read back and compared with the manifest."""
     path = _folder(spark, "dump-all")
-    logs.dump_all({t: table(spark, sf_dir, t) for t in TABLES}, path)
+    logs.dump_all({t: table(spark, sf_dir, t) for t in TABLES}, path, packed=True)
     return logs.verify_dump(spark, path)
 
 

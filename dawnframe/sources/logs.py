@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLUG = r"^[a-z][a-z0-9-]*$"
+#: JSON names every column in every row, so it packs well; a gzipped file is read by one task, so its rows are bounded.
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 250_000}
 
 
-def table_dump(rows: DataFrame, path: str) -> None:
-    """A whole table as JSON lines."""
-    rows.write.mode("errorifexists").json(path)
+def table_dump(rows: DataFrame, path: str, packed: bool = False) -> None:
+    """A whole table as JSON lines; ``packed``: gzipped."""
+    rows.write.mode("errorifexists").options(**(PACKED if packed else {})).json(path)
 
 
 def restore(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -31,10 +33,10 @@ def _facts(name: str, rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), digest.alias("digest")).select(F.lit(name).alias("table"), F.lit(rows.schema.json()).alias("columns"), "n", "digest")
 
 
-def dump_all(tables: dict[str, DataFrame], path: str) -> None:
-    """Every table as JSON lines, and then the manifest: a dump without one is unfinished."""
+def dump_all(tables: dict[str, DataFrame], path: str, packed: bool = False) -> None:
+    """Every table as JSON lines (``packed``: gzipped), and then the manifest: a dump without one is unfinished."""
     for name, rows in tables.items():
-        rows.write.mode("errorifexists").options(**INSTANTS).json(f"{path}/tables/{name}")
+        rows.write.mode("errorifexists").options(**(PACKED if packed else {}), **INSTANTS).json(f"{path}/tables/{name}")
     reduce(DataFrame.unionByName, [_facts(n, t) for n, t in tables.items()]).write.json(f"{path}/manifest")
 
 
