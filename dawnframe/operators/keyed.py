@@ -95,10 +95,26 @@ def update_by_id(base: DataFrame, updates: DataFrame, key: str, columns: list[st
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else c for c in base.columns])
 
 
+#: Rows that a task of ``has_parent`` joins; its sort and hash tables take some hundred bytes a row.
+ROWS_A_TASK = 250_000
+
+
+def has_parent(rows: DataFrame, parent: DataFrame, key: str, parent_key: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: whether their parent exists.
+
+    Both sides are dealt by the key to as many tasks as their rows ask for, so that a task's memory doesn't grow with the tables (Spark merges shuffle
+    partitions by their compressed bytes, which say little of it).  The rows are counted for that: hand it tables or narrow views.  What
+    is grouped by the key afterwards isn't shuffled again.
+    """
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, max(rows.count(), parent.count()) // ROWS_A_TASK + 1)
+    known = parent.select(F.col(parent_key).alias(key)).repartition(parts, key).distinct().withColumn(flag, F.lit(True))
+    return rows.repartition(parts, key).join(known, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def with_parent(rows: DataFrame, parent: DataFrame, key: str, parent_key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose parent exists, and the others."""
-    known = parent.select(F.col(parent_key).alias(key)).distinct()
-    return rows.join(known, key, "left_semi"), rows.join(known, key, "left_anti")
+    """Rows whose parent exists, and the others; ``has_parent`` tells both apart in one pass."""
+    found = has_parent(rows, parent, key, parent_key, "_known").select(*rows.columns, "_known")
+    return found.where("_known").drop("_known"), found.where("not _known").drop("_known")
 
 
 def transition(rows: DataFrame, requests: DataFrame, key: str, allowed_from: str, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
