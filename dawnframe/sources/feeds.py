@@ -95,3 +95,19 @@ def plain_text(x: Column) -> Column:
     for escaped, raw in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         x = F.replace(x, F.lit(escaped), F.lit(raw))
     return x
+
+
+#: What begins a text that is carried percent-encoded, or stands for null.
+ENCODED, NO_TEXT = "encoded:", "null:"
+#: Texts that XML gives back as they are: no other control characters than tab and line feed, white space at neither end, and not empty.
+PLAIN = r"[^\s\x00-\x1F\uFFFE\uFFFF]([^\x00-\x08\x0B-\x1F\uFFFE\uFFFF]*[^\s\x00-\x1F\uFFFE\uFFFF])?"
+
+
+def carried(x: Column) -> Column:
+    """Any text, null too, as one that an XML element gives back whole; ``uncarried`` undoes it."""
+    plain = x.rlike(rf"\A{PLAIN}\z") & ~x.startswith(ENCODED) & ~x.startswith(NO_TEXT)
+    return F.when(x.isNull(), NO_TEXT).when(plain, x).otherwise(F.concat(F.lit(ENCODED), F.url_encode(x)))
+
+
+def uncarried(x: Column) -> Column:
+    return F.when(x.startswith(ENCODED), F.url_decode(F.substr(x, F.lit(len(ENCODED) + 1)))).when(x != NO_TEXT, x)
